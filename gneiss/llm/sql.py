@@ -42,4 +42,77 @@ SELECT page_id, host, path,
 FROM cut
 """
 
-ORACLE = {"op1_chat_format": OP1, "op6_url_filter": OP6}
+OP3 = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)
+), found AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS n FROM grams
+), repeated AS (
+  SELECT id, count(DISTINCT i + k) AS n FROM found, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY id
+), lines AS (
+  SELECT id, unnest(string_split(t, chr(10))) AS line FROM w
+), dups AS (
+  SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+), m AS (
+  SELECT w.id, doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+    coalesce(repeated.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM w LEFT JOIN repeated USING (id) LEFT JOIN dups USING (id)
+), v AS (
+  SELECT id, lang, source, n_words, unnest([
+    {'metric': 'symbols', 'spread': 60, 'v': 1000 * n_symbols // greatest(n_words, 1)},
+    {'metric': 'repeats', 'spread': 60, 'v': 1000 * n_repeat_words // greatest(n_words, 1)},
+    {'metric': 'dup_lines', 'spread': 60, 'v': 1000 * n_dup_lines // greatest(n_lines, 1)},
+    {'metric': 'word_length', 'spread': 500, 'v': 1000 * word_chars // greatest(n_words, 1)}]) AS s FROM m
+), b AS (
+  SELECT lang, source, s.metric AS metric, s.spread AS spread, ((s.v >> greatest(length(bin(s.v)) - 8, 0)) << greatest(length(bin(s.v)) - 8, 0)) AS bin
+  FROM v WHERE n_words > 0
+), counts AS (
+  SELECT lang, source, metric, bin, max(spread) AS spread, count(*) AS n FROM b GROUP BY lang, source, metric, bin
+), own AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM counts
+), merged AS (
+  SELECT metric, bin, max(spread) AS spread, sum(n) AS n FROM counts GROUP BY metric, bin
+), overall AS (
+  SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY metric) AS total FROM merged
+), f AS (
+  SELECT lang, source, metric, max(total) AS total, min(bin) FILTER (100 * upto >= 75 * total) AS high, min(bin) FILTER (100 * upto >= 25 * total) AS low, max(spread) AS spread FROM own GROUP BY lang, source, metric
+), g AS (
+  SELECT metric, min(bin) FILTER (100 * upto >= 75 * total) AS high, min(bin) FILTER (100 * upto >= 25 * total) AS low, max(spread) AS spread FROM overall GROUP BY metric
+), fence AS (
+  SELECT f.lang, f.source, f.metric, CASE WHEN f.total >= 100 THEN f.high + 6 * greatest(f.high - f.low, f.spread) ELSE g.high + 6 * greatest(g.high - g.low, g.spread) END AS fence
+  FROM f JOIN g USING (metric)
+), bad AS (
+  SELECT DISTINCT v.id FROM v JOIN fence ON v.lang IS NOT DISTINCT FROM fence.lang AND v.source IS NOT DISTINCT FROM fence.source AND v.s.metric = fence.metric AND v.s.v > fence.fence
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.id IS NULL AS kept
+FROM m LEFT JOIN bad USING (id)
+"""
+
+OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), q AS (
+  SELECT DISTINCT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), qs AS (
+  SELECT DISTINCT item_id, text, least(5, len(w)) AS k, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM q WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT k FROM qs
+), ds AS (
+  SELECT DISTINCT id, doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT id, doc_id, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, sizes)
+), n AS (
+  SELECT item_id, text, count(*) AS shingles FROM qs GROUP BY ALL
+), hits AS (
+  SELECT id, ds.doc_id, item_id, text, count(*) AS shared FROM ds JOIN qs USING (k, g) GROUP BY ALL
+)
+SELECT doc_id, item_id, shared, shingles, shared / shingles AS containment FROM hits JOIN n USING (item_id, text) WHERE 10 * shared >= 8 * shingles
+"""
+
+ORACLE = {"op1_chat_format": OP1, "op3_quality_rules": OP3, "op6_url_filter": OP6, "op10_decontaminate": OP10}
