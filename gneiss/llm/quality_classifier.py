@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gneiss.llm.session import small_batches
 from gneiss.llm.words import mix, shingles, slices, words
 
-#: Hash space of each of the four feature groups: words, word shapes, and pairs of each.
+#: Hash space of each of the four feature groups: words, word shapes, and pairs of each; pairs of shapes tell
+#: whether both words are the same.
 SPACE = 1 << 16
 GROUPS = 4
 #: The labelled rows that the model is fitted on at most: those with the lowest hashes of their ids.
@@ -25,9 +26,13 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray
     """Ranges of texts with, of each feature group, the feature of each word or pair and where each text's begin."""
     for lo, hi in slices(column):
         found = words(column.slice(lo, hi - lo))
-        groups = []
-        for k, hashed in enumerate((found.hashes(), found.shapes())):
+        groups, plain = [], found.hashes()
+        same, _ = shingles(found, np.append(plain[1:] == plain[:-1], False).astype(np.uint64)[: len(plain)], 1)
+        for k, hashed in enumerate((plain, found.shapes())):
             pairs, first = shingles(found, hashed, 2)
+            if k:
+                at = np.arange(first[-1]) + np.repeat(found.first[:-1] - first[:-1], np.diff(first))
+                pairs = pairs ^ same[at]
             for g, (own, at) in enumerate(((hashed, found.first), (pairs, first))):
                 groups.append(((mix(own) % np.uint64(SPACE)).astype(np.int64) + (2 * k + g) * SPACE, at))
         yield lo, hi, groups

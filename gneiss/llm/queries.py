@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gneiss.llm import sql
 from gneiss.llm.chat_format import digest_chats, format_chats
 from gneiss.llm.decontaminate import leaked_pairs
+from gneiss.llm.license_scan import scan_licenses
 from gneiss.llm.mixing import mix_sources
+from gneiss.llm.pii import find_pii
 from gneiss.llm.quality_classifier import score_quality
 from gneiss.llm.quality_rules import judge_quality
 from gneiss.llm.session import new_path, table
@@ -39,10 +41,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(spark.read.parquet(path))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
@@ -71,7 +81,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op5_mixing, op6_url_filter, op7_quality_classifier, op8_simhash, op9_token_ids, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_quality_rules, op4_license_scan, op5_mixing, op6_url_filter, op7_quality_classifier, op8_simhash, op9_token_ids, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
