@@ -8,14 +8,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from gneiss.llm.components import components
 from gneiss.llm.session import free_name, small_batches, text_or_empty, written
+from gneiss.llm.words import mix, shingles, slices, words
 
 BITS = 64
 SEED = 42
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
+#: Of near copies: words in the shingles that find them and in those that judge them, 32-bit SimHashes that are
+#: searched, 64-bit ones that judge, and the most bits in which those may differ: cos(pi * 90 / 512) = 0.85.
+PAIR, FIVE, TABLES, CHECKS, MOST_BITS = 2, 5, 6, 8, 90
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -37,7 +42,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for k in range(0, len(starts), BLOCK):
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist())], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        counts += bit_counts(hashes)
     return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
 
 
@@ -100,13 +105,107 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
     return prints.join(ids, "fp").select(F.col("doc").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: the rows whose key is the group's component_id.
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """Of each of the 64 bits, lowest first, in how many of the hashes it is set."""
+    total = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[k : k + BLOCK], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # sums of so many bits fit their bytes
+        total += np.add.reduce(bits[:whole].reshape(-1, 255, BITS), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        total += bits[whole:].sum(axis=0, dtype=np.int64)
+    return total
 
-    Rows that repeat the kept key and text are one document and stay once; rows of other keys go, rows with null
-    keys stay only where the group has no key. All columns are kept.
+
+def sketch(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n independent 64-bit SimHashes of a text's shingle hashes."""
+    out = np.zeros(n, np.uint64)
+    for k in range(n):
+        counts = bit_counts(mix(hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))))
+        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def text_sketches(column: pa.Array, tables: int, checks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each text a digest of its words, `tables` 32-bit SimHashes over pairs of words and `checks` 64-bit ones over shingles of five.
+
+    A text of fewer words than a shingle has is one shingle of all its words; without words all are 0.
+    """
+    for lo, hi in slices(column):
+        found = words(column.slice(lo, hi - lo))
+        plain = found.hashes()
+        pairs, fives = shingles(found, plain, PAIR), shingles(found, plain, FIVE)
+        for k in range(hi - lo):
+            own = plain[found.first[k] : found.first[k + 1]]
+            if not len(own):
+                yield 0, np.zeros(tables, np.uint32), np.zeros(checks, np.uint64)
+                continue
+            whole = np.array([xxhash.xxh64_intdigest(own.tobytes(), 1)], np.uint64)
+            runs = [h[first[k] : first[k + 1]] if len(own) >= size else whole for (h, first), size in ((pairs, PAIR), (fives, FIVE))]
+            yield int(whole[0]), sketch(runs[0], -(-tables // 2)).view(np.uint32)[:tables], sketch(runs[1], checks)
+
+
+def similar_groups(docs: DataFrame, tables: int = TABLES, checks: int = CHECKS, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, text_key, node, top) of every distinct doc_id and text: top is the same for all of a group of near copies.
+
+    text_key: xxhash64 of the text. Texts of equal words (A-Z lower-cased) are one node. Two nodes are candidates where one of their 32-bit
+    SimHashes over pairs of words is at most 2 bits apart, which ball hashing finds as in near_pairs; they link where
+    the 64-bit SimHashes over shingles of five words differ in at most most_bits bits altogether. With the default, that
+    is where the share of equal shingles (their Jaccard similarity) is estimated at 0.74 or more: a pair of 0.8 links with
+    a probability of 0.93, one of 0.6 with 0.002.
+
+    Nodes that share a 32-bit SimHash are linked to one of them, and one of them emits its ball; a variant's fingerprints,
+    33 at most, are linked to one of them. Which one differs from table to table, so a large group holds together by
+    many links, and their number is bounded by a figure for each document.
+    """
+    small_batches(docs.sparkSession)
+    given = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            got = list(text_sketches(batch.column(2), tables, checks))
+            nodes = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            prints = pa.array([g[1].tolist() for g in got], pa.list_(pa.int64()))
+            check = pa.array([g[2].view(np.int64).tolist() for g in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), prints, check], ["doc_id", "text_key", "node", "prints", "checks"])
+
+    schema = given.select("doc_id", "text_key").schema.add("node", "long").add("prints", ArrayType(LongType())).add("checks", ArrayType(LongType()))
+    found = written(given.mapInArrow(batches, schema), "near")
+    nodes = written(found.groupBy("node").agg(F.first("prints").alias("prints"), F.first("checks").alias("checks")), "near-nodes")
+    values = nodes.select("node", F.posexplode("prints").alias("table", "value")).withColumn("key", F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("value"))).select("node", "key")
+    order = F.xxhash64("key", "node")
+    heads = values.groupBy("key").agg(F.min_by("node", order).alias("head"))
+    shared = values.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    masks = [0, *(1 << b for b in range(32))]
+    balls = heads.select(F.col("head").alias("node"), F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("key")))).alias("variant"))
+    met = balls.groupBy("variant").agg(F.min_by("node", F.xxhash64("variant", "node")).alias("a"), F.collect_list("node").alias("all")).where(F.size("all") > 1)
+    met = met.select("a", F.explode("all").alias("b")).where("a <> b")
+    pairs = written(shared.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    left = nodes.select(F.col("node").alias("a"), F.col("checks").alias("ca"))
+    right = nodes.select(F.col("node").alias("b"), F.col("checks").alias("cb"))
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    linked = pairs.join(left, "a").join(right, "b").where(apart <= most_bits).select("a", "b")
+    groups = components(linked).select("node", F.col("component").alias("top"))
+    return found.select("doc_id", "text_key", "node").distinct().join(groups, "node", "left").withColumn("top", F.coalesce("top", "node"))
+
+
+def drop_near_copies(docs: DataFrame, **how: int) -> DataFrame:
+    """docs with one row of each group of near copies (similar_groups): the one with the least doc_id, nulls last, then the least text_key.
+
+    Rows that repeat both doc_id and text are copies too. All columns of docs stay. Empty texts are one group.
     """
-    groups = simhash_groups(docs, shingle, radius, key, text)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept_key"), F.col("component_id")).distinct()
-    out = docs.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("kept_key")), "left_semi")
-    return out.dropDuplicates([key]) if key in docs.columns else out
+    groups = written(similar_groups(docs, **how), "near-groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
+    best = groups.groupBy("top").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1")
+    gone = groups.join(best, "top").where(rank != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    gone = written(gone, "near-gone")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key = free_name(docs, "near_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key")), "left_anti")
+    again = docs.groupBy("doc_id", F.xxhash64("text").alias("again_key")).count().where("count > 1").select(F.col("doc_id").alias("again_id"), "again_key")
+    again = written(again, "near-again")
+    if again.isEmpty():
+        return kept.select(*names)
+    twice = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col(key) == F.col("again_key"))
+    once = kept.join(again, twice, "left_anti").select(*names, key)
+    return once.unionByName(kept.join(again, twice, "left_semi").select(*names, key).dropDuplicates(["doc_id", key])).select(*names)
