@@ -19,13 +19,20 @@ MAGIC = b"GNR1"
 LANES = 32
 BLOCK_TOKENS = 1 << 14
 TABLE_BITS = 16
+#: Ids under this are counted in a table.
+DENSE = 1 << 22
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The symbols of ids, their frequencies that sum to a power of two, each at least 1, and that power's bits."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if int(ids.max()) < DENSE:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     bits = max(TABLE_BITS, len(symbols).bit_length() + 1)
     total = 1 << bits
     freq = np.maximum(1, counts * total // max(1, counts.sum())).astype(np.int64)
@@ -47,7 +54,12 @@ def encode(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, befor
     symbols, freq, bits = frequencies(ids) if n else (np.zeros(0, np.uint32), np.zeros(0, np.uint32), TABLE_BITS)
     blocks = -(-n // BLOCK_TOKENS)
     steps = -(-n // (blocks * LANES)) if n else 0
-    place = np.searchsorted(symbols, ids)
+    if n and int(symbols[-1]) < DENSE:
+        place = np.zeros(int(symbols[-1]) + 1, np.int64)
+        place[symbols] = np.arange(len(symbols))
+        place = place[ids]
+    else:
+        place = np.searchsorted(symbols, ids)
     if n:
         pad = blocks * LANES * steps - n
         place = np.concatenate((place, np.full(pad, int(np.argmax(freq))))).reshape(blocks, steps, LANES)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,10 @@ SEGMENT_TOKENS = 1 << 20
 #: Pieces of text that a worker keeps the ids of, and their characters; then it starts anew.
 CACHE_PIECES, CACHE_CHARS = 1_000_000, 16_000_000
 SEGMENTS_IN_BATCH = 8
+#: Signs that are cut off behind a letter: never part of its token. An apostrophe can be.
+SIGNS = ".,!?;:*#$%&|()[]\"-"
+#: New cores that are encoded in one text.
+TOGETHER = 512
 #: A space between two characters that aren't white space: no pre-token reaches over its left side.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -26,74 +32,160 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 class _Pieces(dict):
     """Piece of text to its number; a new one is listed to be encoded."""
 
-    def __init__(self) -> None:
-        self.new: list[str] = []
-        self.chars = 0
+    def __init__(self, listed: list[str]) -> None:
+        self.listed = listed
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        self.chars += len(piece)
+        self[piece] = n = len(self.listed)
+        self.listed.append(piece)
         return n
 
 
 class Encoder:
-    """Byte-level BPE ids of whole texts, through the ids of their pieces between single spaces.
+    """Byte-level BPE ids of whole texts, through the ids of their pieces between single spaces and line ends.
+
+    The pre-tokenizer's pattern takes a space along with the word after it and never joins it to the word before, and a
+    lone line end is a token by itself. So a text's ids are those of its pieces, with the space before them unless they
+    begin a line. A piece that is empty or begins or ends with white space, as next to two spaces, could be read
+    otherwise alone: a text that has one is cut only at spaces between characters that aren't white space.
 
-    The pre-tokenizer's pattern takes a space along with the word after it and never joins it to the word before, so
-    a text's ids are those of its pieces, each with the space before it. A piece that begins or ends with white
-    space, as next to two spaces, could be read otherwise alone: a text that has one is cut only at spaces between
-    characters that aren't white space.
+    A piece is a core and the signs after its last letter, which are always another token. New cores are encoded many at once in one
+    text; a core's ids begin where a token begins with a space, or after a line end.
     """
 
     def __init__(self, path: str, special: bool = True) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.line_end = self._encoded(["\n"])[0][0]
         self._clear()
 
     def _clear(self) -> None:
-        self.pieces, self.odd = _Pieces(), np.zeros(0, bool)
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self) -> None:
-        new = self.pieces.new
+        self.listed: list[str] = []
+        self.heads, self.pieces = _Pieces(self.listed), _Pieces(self.listed)
+        self.cores: dict[str, int] = {"": 0}
+        self.odd, self.core, self.tail = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.chars = 0
+        self.end_number = self.heads["\n"]
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, cores: list[str]) -> None:
+        """Encodes new cores: those of words with the space before them, others as they are."""
+        begin, length = np.zeros(len(cores), np.int64), np.zeros(len(cores), np.int64)
+        parts, size, alone = [self.ids], len(self.ids), []
+        spaced: list[int] = []
+        bare: list[int] = []
+        for k, c in enumerate(cores):
+            inner = c[1:]
+            (alone if " " in inner or "\n" in c or not inner and c == " " else spaced if c[0] == " " else bare).append(k)
+        for kind, joiner in ((spaced, ""), (bare, "\n")):
+            groups = [kind[k : k + TOGETHER] for k in range(0, len(kind), TOGETHER)]
+            for group, ids in zip(groups, self._encoded([joiner.join([cores[k] for k in g]) for g in groups])):
+                if joiner:
+                    cuts = np.flatnonzero(ids == self.line_end)
+                    first, last = np.concatenate(([0], cuts + 1)), np.append(cuts, len(ids))
+                else:
+                    first = np.flatnonzero(self.opens[ids])
+                    last = np.append(first[1:], len(ids))
+                if len(first) != len(group):
+                    alone += group
+                    continue
+                begin[group], length[group] = size + first, last - first
+                parts.append(ids)
+                size += len(ids)
+        for k, ids in zip(alone, self._encoded([cores[k] for k in alone])):
+            begin[k], length[k] = size, len(ids)
+            parts.append(ids)
+            size += len(ids)
+        self.begin, self.length, self.ids = np.concatenate((self.begin, begin)), np.concatenate((self.length, length)), np.concatenate(parts)
+
+    def _learn(self, heads: set[int]) -> None:
+        """Finds the ids of the pieces listed since; heads: the numbers of those that begin a line."""
+        first = len(self.odd)
+        new = self.listed[first:]
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.odd = np.concatenate((self.odd, np.array([len(p) < 2 or p[1].isspace() or p[-1].isspace() if p[:1] == " " else not p or p[-1].isspace() for p in new])))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(i) for i in found])))
-        self.ids = np.concatenate((self.ids, np.array([i for own in found for i in own], np.uint32)))
-        new.clear()
-
-    def _numbers(self, pieces: list[str]) -> list[int]:
-        get = self.pieces.__getitem__
-        return [get(pieces[0]), *map(get, map(" ".__add__, pieces[1:]))]
+        self.chars += sum(map(len, new))
+        cores, fresh, space = self.cores, [], str.isspace
+        odd, core, tail = [], [], []
+
+        def place(text: str) -> int:
+            if (n := cores.get(text)) is None:
+                cores[text] = n = len(cores)
+                fresh.append(text)
+            return n
+
+        for k, piece in enumerate(new, first):
+            head = k in heads
+            odd.append(not piece or space(piece[-1]) or space(piece[0]))
+            stem = piece.rstrip(SIGNS)
+            if len(stem) == len(piece) or not stem or not stem[-1].isalpha():
+                core.append(place(piece if head else " " + piece))
+                tail.append(0)
+            else:
+                core.append(place(stem if head else " " + stem))
+                tail.append(place(piece[len(stem) :]))
+        odd[0] &= first > 0  # the line end
+        self._add(fresh)
+        self.odd = np.concatenate((self.odd, np.array(odd, bool)))
+        self.core, self.tail = np.concatenate((self.core, np.array(core, np.int64))), np.concatenate((self.tail, np.array(tail, np.int64)))
+
+    def _numbers(self, text: str, heads: set[int]) -> list[int]:
+        out: list[int] = []
+        get, end = self.pieces.__getitem__, self.end_number
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            n = self.heads[head]
+            heads.add(n)
+            out.append(n)
+            out.extend(map(get, rest))
+            out.append(end)
+        out.pop()
+        return out
+
+    def _careful(self, text: str, heads: set[int]) -> list[int]:
+        head, *rest = _BETWEEN.split(text)
+        n = self.heads[head]
+        heads.add(n)
+        return [n, *map(self.pieces.__getitem__, rest)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by END_ID, and the number of each text's."""
-        if len(self.pieces) > CACHE_PIECES or self.pieces.chars > CACHE_CHARS:
+        if len(self.listed) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self._clear()
-        numbers = [self._numbers(t.split(" ")) if t else [] for t in texts]
-        self._learn()
-        counts = np.fromiter(map(len, numbers), np.int64, len(numbers))
-        flat = np.fromiter((n for own in numbers for n in own), np.int64, int(counts.sum()))
-        first = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+        heads: set[int] = {self.end_number}
+        numbers = [self._numbers(t, heads) if t else [] for t in texts]
+        self._learn(heads)
+        flat, first = _flat(numbers)
         bad = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.odd[flat])))
         again = np.flatnonzero(bad[first[1:]] > bad[first[:-1]])
         if len(again):
             for k in again:
-                numbers[k] = self._numbers(_BETWEEN.split(texts[k]))
-            self._learn()
-            counts = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            flat = np.fromiter((n for own in numbers for n in own), np.int64, int(counts.sum()))
-            first = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
-        length = self.at[flat + 1] - self.at[flat]
+                numbers[k] = self._careful(texts[k], heads)
+            self._learn(heads)
+            flat, first = _flat(numbers)
+        parts = np.empty((len(flat), 2), np.int64)
+        parts[:, 0], parts[:, 1] = self.core[flat], self.tail[flat]
+        parts = parts.ravel()
+        length = self.length[parts]
         end = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
-        ids = self.ids[np.arange(end[-1]) + np.repeat(self.at[flat] - end[:-1], length)] if len(flat) else np.zeros(0, np.uint32)
-        n = np.diff(end[first])
-        return np.insert(ids, end[first[1:]], np.uint32(END_ID)), n + 1
+        ids = self.ids[np.arange(end[-1]) + np.repeat(self.begin[parts] - end[:-1], length)] if len(flat) else np.zeros(0, np.uint32)
+        stop = end[2 * first]
+        return np.insert(ids, stop[1:], np.uint32(END_ID)), np.diff(stop) + 1
+
+
+def _flat(numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, numbers), np.int64, len(numbers))
+    first = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+    return np.fromiter(chain.from_iterable(numbers), np.int64, int(first[-1])), first
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
