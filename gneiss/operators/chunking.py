@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.functions.text import SPACE, chunk_id
 
@@ -44,38 +44,34 @@ def _units(text: Column, unit: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*" if unit == "tokens" else "(?s)."), F.lit(0))
 
 
-def windows(text: Column, config: ChunkConfig) -> Column:
-    """Overlapping windows of a text: structs of text, start, end (code points) and units, each the text's own characters.
+def with_windows(docs: DataFrame, config: ChunkConfig, text: str, name: str = "windows") -> DataFrame:
+    """docs with an array of overlapping windows of a text: structs of text, start, end (code points) and units, each the text's own characters.
 
-    A window ends the text if it reaches its end; no later one begins.
+    A window ends the text if it reaches its end; no later one begins. The units are found once for each text, and a
+    window's start is the sum of the lengths of the steps before it.
     """
-    step = config.size - config.overlap
-    units = _units(text, config.unit)
-    lead = F.char_length(F.regexp_extract(text, f"^[{SPACE}]*", 0)) if config.unit == "tokens" else F.lit(0)
-    starts = F.when(F.size(units) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(units) - config.size) / step)).cast("int") * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
-
-    def one(k: Column) -> Column:
-        own = F.slice(units, k + 1, F.lit(config.size))
-        joined = F.array_join(own, "")
-        shown = F.regexp_replace(joined, f"[{SPACE}]+$", "") if config.unit == "tokens" else joined
-        begin = lead + F.char_length(F.array_join(F.slice(units, F.lit(1), k), ""))
-        return F.struct(shown.alias("text"), begin.alias("start"), (begin + F.char_length(shown)).alias("end"), F.size(own).alias("units"))
-
-    return F.transform(starts, one)
+    step, word = config.size - config.overlap, config.unit == "tokens"
+    base = docs.withColumn("_units", _units(F.col(text), config.unit)).withColumn("_lead", F.char_length(F.regexp_extract(text, f"^[{SPACE}]*", 0)) if word else F.lit(0))
+    last = F.greatest(F.lit(0), F.ceil((F.size("_units") - config.size) / step)).cast("int") * step
+    base = base.withColumn("_starts", F.when(F.size("_units") > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>")))
+    base = base.withColumn("_steps", F.transform("_starts", lambda k: F.char_length(F.array_join(F.slice("_units", k + 1, F.lit(step)), ""))))
+    cut = F.transform("_starts", lambda k, n: F.struct(F.array_join(F.slice("_units", k + 1, F.lit(config.size)), "").alias("joined"), (F.col("_lead") + F.aggregate(F.slice("_steps", F.lit(1), n), F.lit(0), lambda x, y: x + y)).alias("start"), F.least(F.size("_units") - k, F.lit(config.size)).alias("units")))
+    base = base.withColumn("_cut", cut).withColumn("_shown", F.transform("_cut", lambda w: F.regexp_replace(w["joined"], f"[{SPACE}]+$", "") if word else w["joined"]))
+    out = F.zip_with("_cut", "_shown", lambda w, t: F.struct(t.alias("text"), w["start"].alias("start"), (w["start"] + F.char_length(t)).alias("end"), w["units"].alias("units")))
+    return base.select(*docs.columns, out.alias(name))
 
 
 def fixed_size(docs: DataFrame, config: ChunkConfig, text: str = "text") -> DataFrame:
     """docs' columns with chunk_index, chunk_text, start_char, end_char and token_count. Windows of fewer units than least are left out and not counted, so short texts give none."""
-    found = F.filter(windows(F.col(text), config), lambda w: w["units"] >= config.least)
-    one = docs.select("*", F.posexplode(found).alias("chunk_index", "w"))
+    found = F.filter("_windows", lambda w: w["units"] >= config.least)
+    one = with_windows(docs, config, text, "_windows").select(*docs.columns, F.posexplode(found).alias("chunk_index", "w"))
     return one.select(*docs.columns, "chunk_index", F.col("w.text").alias("chunk_text"), F.col("w.start").alias("start_char"), F.col("w.end").alias("end_char"), F.col("w.units").alias("token_count"))
 
 
 def page_aware(pages: DataFrame, config: ChunkConfig) -> DataFrame:
     """(doc_id, page_number, chunk_index, chunk_text, token_count) from rows (doc_id, page_number, text): no chunk crosses a page, blank pages give none, and tails stay."""
-    from pyspark.sql import Window
-
-    cut = pages.where(F.col("text").rlike(f"[^{SPACE}]")).select("doc_id", "page_number", F.posexplode(windows(F.col("text"), config)).alias("k", "w"))
+    given = pages.where(F.col("text").rlike(f"[^{SPACE}]")).select("doc_id", "page_number", "text")
+    cut = with_windows(given, config, "text", "_windows").select("doc_id", "page_number", F.posexplode(F.filter("_windows", lambda w: w["units"] > 0)).alias("k", "w"))
     order = Window.partitionBy("doc_id").orderBy("page_number", "k")
     return cut.select("doc_id", "page_number", (F.row_number().over(order) - 1).alias("chunk_index"), F.col("w.text").alias("chunk_text"), F.col("w.units").alias("token_count"))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import retrieval
+from gneiss.plans import corpus, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
