@@ -43,8 +43,8 @@ def build_context(hits: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def content_units(text: Column) -> Column:
     """Blocks between blank lines; a block of two lines or more with a bar is a table and gives its lines."""
-    blocks = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda b: b != "")
-    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), F.trim), lambda line: line != "")
+    blocks = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda b: b != "")
+    lines = lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda line: line != "")
     barred = lambda b: F.size(F.filter(lines(b), lambda line: F.contains(line, F.lit("|")))) >= 2
     return F.flatten(F.transform(blocks, lambda b: F.when(barred(b), lines(b)).otherwise(F.array(b))))
 

@@ -63,7 +63,7 @@ def failure(dense: Column, sparse: Column, hybrid: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    return F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), lambda x: F.trim(x))
 
 
 def valid_citations(answer: Column, allowed: Column) -> Column:
@@ -75,7 +75,7 @@ def answer_units(answer: Column) -> Column:
     """Sentences of the answer's lines, without bullets; none of a blank answer or one that abstains."""
     lines = F.transform(F.split(answer, "[\n\r]+"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\s*[-*]\s+", "")))
     cut = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, f"([.!?])[{SPACE}]+", "$1\x01"), "\x01")))
-    units = F.filter(F.transform(cut, F.trim), lambda u: u != "")
+    units = F.filter(F.transform(cut, lambda x: F.trim(x)), lambda u: u != "")
     return F.when(abstains(answer), F.array().cast("array<string>")).otherwise(units)
 
 
@@ -97,8 +97,8 @@ def completeness(answer: Column, allowed: Column) -> Column:
 
 def claims(answer: Column, allowed: Column) -> Column:
     """Structs of claim and citations, for each unit that cites an allowed source. A claim of six words or fewer, or one that begins as a continuation, takes the last uncited unit that can stand before it; that one stays."""
-    lines = F.transform(F.split(F.replace(answer, F.lit("\r\n"), F.lit("\n")), "\n"), F.trim)
-    units = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, f"([.!?])[{SPACE}]+", "$1\x01"), "\x01"))), F.trim), lambda u: u != "")
+    lines = F.transform(F.split(F.replace(answer, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x))
+    units = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, f"([.!?])[{SPACE}]+", "$1\x01"), "\x01"))), lambda x: F.trim(x)), lambda u: u != "")
     kind = "struct<prefix:string,pairs:array<struct<claim:string,citations:array<string>>>>"
     start = F.from_json(F.lit('{"prefix":"","pairs":[]}'), kind)
     words = lambda t: F.size(F.filter(F.split(t, " "), lambda w: w != ""))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import corpus, retrieval
+from gneiss.plans import corpus, retrieval, tables
 
-MODULES = [retrieval, corpus]
+MODULES = [retrieval, corpus, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
