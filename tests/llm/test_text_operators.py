@@ -1,0 +1,223 @@
+"""Chat formatting, URL rules, PII, quality rules, licences: small tables with nulls, ties, repeats, extra columns, and brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import Row, functions as F
+
+from gneiss.llm import chat_format, license_scan, pii, pii_model, quality_rules, url_filter
+
+NULL_TURN = "conv_id long, turn long, role string, text string, example int, loss string"
+
+
+def test_chats_round_trip_with_control_strings_nulls_and_ties(spark):
+    nasty = ["\\", "\\\\<", "</turn>\n", "<turn user>\nx", "\\l\\g", "", None, "### Assistant: </turn>", ">\n"]
+    rng = random.Random(2)
+    rows = []
+    for conv in [None, *range(25)]:
+        for turn in range(rng.randint(1, 5)):
+            rows.append((conv, rng.choice([turn, None, 1]), rng.choice(["user", "assistant", "system", None, "a>b<\\"]), rng.choice(nasty) if rng.random() < 0.7 else rng.choice(nasty[:5]) + rng.choice(nasty[:5]), 7, "x"))
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, NULL_TURN)
+    got = {r.conv_id: r for r in chat_format.digest_chats(chat_format.format_chats(df)).collect()}
+    key = lambda r: tuple((v is not None, v if v is not None else 0) if k == 0 else v for k, v in enumerate((r[1], r[2] or "", r[3] or "")))
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=key)
+        every = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        assert got[conv].n_turns == len(own)
+        assert got[conv].turns_sha256 == hashlib.sha256(every.encode()).hexdigest()
+        assert got[conv].loss_chars == len(loss) and got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_each_example_trains_one_reply_after_all_turns_before_it(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a<1"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "end")], "conv_id long, turn long, role string, text string")
+    rows = chat_format.format_chats(df).orderBy("example").collect()
+    assert [r.trained for r in rows] == [True, True, False]
+    assert rows[0].text == "<turn user>\nq</turn>\n<turn assistant>\na\\l1</turn>\n"
+    assert [r.text[r.loss_start : r.loss_end] for r in rows] == ["a\\l1", "b", ""]
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_url_rules_against_brute_force(spark):
+    hosts = ["example.net", "a.example.net", "badexample.net", "EXAMPLE.com", "x.org", "org", "net", "a..net", "", "u@example.net:80", None]
+    paths = ["", "/", "/en", "/en/", "/en/x?/de/", "/fr/#z", "/de/y", "?q=/en/", "#/", "/EN/"]
+    urls = [None, "no scheme", "http://"] + [f"http://{h}{p}" for h in hosts for p in paths]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de", "block"), ("org", "/fr/", "allow"), ("org", "/fr/", "block"), ("x.org", "", "allow"), (None, "/", "block"), ("", "/", "block"), ("com", None, "block")]
+    df = spark.createDataFrame([(k % 40, u, "old") for k, u in enumerate(urls * 2)], "page_id long, url string, Host string")
+    got = url_filter.filter_urls(df, spark.createDataFrame(rules, "host string, path string, action string"))
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    rows = got.collect()
+    assert len(rows) == 2 * len(urls)
+    for r in rows:
+        rest = r.url.split("://", 1)[1] if r.url and "://" in r.url else ""
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        host = host.lower() if host.isascii() else host
+        fits = [(len(h + p), a, h + p) for h, p, a in rules if h and p is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits) if fits else (0, "allow", None)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[2], best[1]), r
+    none = url_filter.filter_urls(df, spark.createDataFrame([], "host string, path string, action string"))
+    assert {(r.rule, r.verdict) for r in none.collect()} == {(None, "allow")}
+
+
+BASE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub(r"\D", "", m)) <= 19 and pii.luhn(re.sub(r"\D", "", m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"\D", "", m)) <= 15),
+}
+
+
+def plain(text: str) -> list[tuple[int, int, int]]:
+    return sorted((m.start(), k, m.end()) for k, (pattern, good) in enumerate(BASE.values()) for m in re.finditer(pattern, text, re.ASCII) if good(m[0]))
+
+
+def test_base_spans_against_the_plain_patterns():
+    rng = random.Random(4)
+    parts = ["a@b.co", "@", ".", "x", " ", "-", "1.2.3.4", "256.1.1.1", "0.0.0.0", "4111111111111111", "4111 1111 1111 1111", "+", "(", ")", "12", "+1 (743) 555-3824", "a.b@c", "..", "é", "%", "00000000000000", "\n"]
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert pii.base_spans(text) == plain(text), text
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "a@" * 100_000, "1" * 300_000, "1." * 100_000, "+1" * 100_000, "+1" + "(" * 200_000):
+        pii.base_spans(text)
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    return pii_model.trained()
+
+
+def test_tagger_gradients_are_those_of_its_loss():
+    import numpy as np
+
+    model, writer = pii_model.Tagger(), pii_model._Writer(5)
+    found = [writer.window() for _ in range(3)]
+    x, y = np.stack([a for a, _ in found]), np.stack([b for _, b in found])
+    _, grads = model.gradients(x, y)
+    for name, g in grads.items():
+        at = tuple(np.unravel_index(np.argmax(abs(g)), g.shape))
+        model.p[name][at] += 1e-5
+        up = model.gradients(x, y)[0]
+        model.p[name][at] -= 2e-5
+        down = model.gradients(x, y)[0]
+        model.p[name][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-3 * max(1, abs(g[at])), name
+
+
+def test_tagger_finds_held_out_spans(tagger):
+    import numpy as np
+
+    writer = pii_model._Writer(99)
+    found = [writer.window() for _ in range(200)]
+    hit = made = there = 0
+    for spans, (_, gold) in zip(tagger.spans(np.stack([a for a, _ in found])), found):
+        own, start = set(), None
+        for t in range(len(gold) + 1):
+            tag = gold[t] if t < len(gold) else 0
+            if start is not None and not (tag and tag % 2 == 0):
+                own.add((start, t, (gold[start] - 1) // 2))
+                start = None
+            if tag % 2 == 1:
+                start = t
+        got = {s[:3] for s in spans}
+        hit, made, there = hit + len(own & got), made + len(got), there + len(own)
+    assert hit / made > 0.9 and hit / there > 0.9
+
+
+def test_added_spans_keep_the_base_ones_and_do_not_depend_on_place(tagger):
+    text = "mail me at john.doe [at] example [dot] com please, or a@b.co."
+    for before in (0, 40, 47, 48, 90, 200):
+        (base, every), *_ = pii.find_spans(["word " * before + text], tagger)
+        at = 5 * before
+        assert base == [(at + text.index("a@b"), 0, at + text.index("a@b") + 6)]
+        assert every == [(at + 11, 0, at + 42), *base]
+
+
+def test_windows_that_are_left_out_hold_no_plausible_span():
+    assert pii.windows("no digits here " * 40, []) == []
+    assert pii.windows("x" * 500 + " 1234", []) and pii.windows("x [at] y", [])
+
+
+def test_reconcile_takes_the_heaviest_set():
+    found = [(0, 10, 3, 0.9), (8, 30, 0, 0.95), (28, 40, 3, 0.9), (50, 60, 0, 0.99), (0, 10, 3, 0.95)]
+    assert pii.reconcile(found, [(55, 1, 58)]) == [(8, 0, 30)]
+    assert pii.reconcile([(0, 14, 3, 0.95), (8, 30, 0, 0.95), (28, 40, 3, 0.9)], []) == [(0, 3, 14), (28, 3, 40)]
+    assert pii.reconcile([], []) == []
+
+
+def test_pii_rows(spark):
+    df = spark.createDataFrame([(1, "a@b.co +1 (743) 555-3824", "x"), (1, "a@b.co +1 (743) 555-3824", "x"), (None, None, "y"), (2, "", None)], "doc_id long, text string, SPANS string")
+    rows = pii.find_pii(df).orderBy("doc_id").collect()
+    assert pii.find_pii(df).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert [r.spans for r in rows] == ["", "email:0:6,phone:7:24", "email:0:6,phone:7:24", ""]
+    assert rows[1].base_sha256 == hashlib.sha256(b"email:0:6,phone:7:24").hexdigest() and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def slow_measure(text: str) -> tuple:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    repeated = {k + d for k, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:k] for k, x in enumerate(lines)), len(repeated), len(lines)
+
+
+def test_measures_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(800):
+        text = "".join(rng.choice(["a ", "b ", "a b c ", "\n", " \n", "#", "é ", "\x1c", "\r", "a b\n", "|"]) for _ in range(rng.randint(0, 30)))
+        assert quality_rules.measure(text) == slow_measure(text), text
+
+
+def test_quality_rules_edge_rows(spark):
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(k, good + f" n{k}", "en", "s") for k in range(150)] + [(500, " ".join("$$$x" for _ in range(1)) + " " + " ".join(f"w{k}$$$" for k in range(90)), "en", "s"), (501, None, None, None), (502, "", "en", "s"), (503, "a b c " * 60, "en", "s"), (503, "a b c " * 60, "en", "s"), (504, good, None, None)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, source string, kept string").drop("kept")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(df).collect()}
+    assert quality_rules.judge_quality(df).count() == len(rows)
+    assert all(got[k].kept for k in range(150)) and got[504].kept
+    assert not got[500].base_failed and not got[500].kept
+    assert got[501].base_failed and got[502].base_failed and got[503].base_failed and got[503].n_repeat_words == 180
+    assert quality_rules.judge_quality(df.limit(0)).count() == 0
+
+
+def test_sketches_merge_by_adding_counts(spark):
+    df = spark.range(4000).select((F.col("id") * 37 % 100_000).alias("v"))
+    bins = df.select(quality_rules.bucket(F.col("v")).alias("b"), "v").collect()
+    assert all(b.b <= b.v and (b.v - b.b) * 2 ** (quality_rules.BITS - 1) <= b.v for b in bins)
+
+
+def test_license_templates_are_found_and_others_are_not(spark):
+    cases = [(f, t) for f in license_scan.FAMILIES for t in license_scan.TEMPLATES[f]] + [(None, "My dog license expired in the park, version 2.0."), (None, "word " * 50), (None, ""), (None, None)]
+    rows = [(k, f"some words before\n{t}\nand after" if k % 2 and t else t, "q") for k, (_, t) in enumerate(cases)]
+    df = spark.createDataFrame(rows + [rows[0], rows[0]], "doc_id long, text string, family string")
+    got = license_scan.scan_licenses(df).collect()
+    assert len(got) == len(rows) + 2
+    assert sum(r.doc_id == 0 for r in got) == 3 and len({r for r in got if r.doc_id == 0}) == 1
+    for r in got:
+        assert r.family == cases[r.doc_id][0], (r, cases[r.doc_id])
+    two = spark.createDataFrame([Row(doc_id=1, text="Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")])
+    assert license_scan.scan_licenses(two).first().families == "apache-2.0,mit"
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_license_scores_against_plain_python(spark):
+    import numpy as np
+
+    weights, bias = license_scan.model()
+    texts = [t for f in license_scan.FAMILIES for t in license_scan.TEMPLATES[f]][:12] + license_scan.OTHERS
+    units = [" ".join(license_scan.words_of(t)) for t in texts]
+    got = {r.unit: r for r in license_scan.judge_units(spark.createDataFrame([(u,) for u in units], "unit string")).collect()}
+    for unit in units:
+        grams = license_scan.grams_of(unit.split(" "))
+        z = bias + sum((weights[g] for g in sorted(grams) if g in weights), np.zeros(len(bias))) / np.sqrt(len(grams))
+        p = np.exp(z - z.max())
+        assert abs(got[unit].confidence - p.max() / p.sum()) < 1e-6
