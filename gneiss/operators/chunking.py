@@ -64,16 +64,16 @@ def with_windows(docs: DataFrame, config: ChunkConfig, text: str, name: str = "w
 def fixed_size(docs: DataFrame, config: ChunkConfig, text: str = "text") -> DataFrame:
     """docs' columns with chunk_index, chunk_text, start_char, end_char and token_count. Windows of fewer units than least are left out and not counted, so short texts give none."""
     found = F.filter("_windows", lambda w: w["units"] >= config.least)
-    one = with_windows(docs, config, text, "_windows").select(*docs.columns, F.posexplode(found).alias("chunk_index", "w"))
-    return one.select(*docs.columns, "chunk_index", F.col("w.text").alias("chunk_text"), F.col("w.start").alias("start_char"), F.col("w.end").alias("end_char"), F.col("w.units").alias("token_count"))
+    one = with_windows(docs, config, text, "_windows").select(*docs.columns, F.posexplode(found).alias("chunk_index", "_window"))
+    return one.select(*docs.columns, "chunk_index", F.col("_window.text").alias("chunk_text"), F.col("_window.start").alias("start_char"), F.col("_window.end").alias("end_char"), F.col("_window.units").alias("token_count"))
 
 
 def page_aware(pages: DataFrame, config: ChunkConfig) -> DataFrame:
     """(doc_id, page_number, chunk_index, chunk_text, token_count) from rows (doc_id, page_number, text): no chunk crosses a page, blank pages give none, and tails stay."""
     given = pages.where(F.col("text").rlike(f"[^{SPACE}]")).select("doc_id", "page_number", "text")
-    cut = with_windows(given, config, "text", "_windows").select("doc_id", "page_number", F.posexplode(F.filter("_windows", lambda w: w["units"] > 0)).alias("k", "w"))
+    cut = with_windows(given, config, "text", "_windows").select("doc_id", "page_number", F.posexplode(F.filter("_windows", lambda w: w["units"] > 0)).alias("k", "_window"))
     order = Window.partitionBy("doc_id").orderBy("page_number", "k")
-    return cut.select("doc_id", "page_number", (F.row_number().over(order) - 1).alias("chunk_index"), F.col("w.text").alias("chunk_text"), F.col("w.units").alias("token_count"))
+    return cut.select("doc_id", "page_number", (F.row_number().over(order) - 1).alias("chunk_index"), F.col("_window.text").alias("chunk_text"), F.col("_window.units").alias("token_count"))
 
 
 def with_chunk_ids(chunks: DataFrame, strategy: str, version: str = "1.0") -> DataFrame:
