@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that are hashed at once; longer words are hashed by themselves.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LONG_WORD = 1 << 12
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
