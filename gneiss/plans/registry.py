@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import corpus, retrieval, streams, tables
+from gneiss.plans import answers, corpus, retrieval, streams, tables
 
-MODULES = [retrieval, corpus, tables, streams]
+MODULES = [retrieval, corpus, tables, answers, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
