@@ -19,8 +19,10 @@ END_ID = 0
 #: Tokens after which a segment ends with the document it is in.
 SEGMENT_TOKENS = 1 << 20
 #: Pieces of text that a worker keeps the ids of, and their characters; then it starts anew.
-CACHE_PIECES, CACHE_CHARS = 1_000_000, 16_000_000
+CACHE_PIECES, CACHE_CHARS = 800_000, 16_000_000
 SEGMENTS_IN_BATCH = 8
+#: Characters of texts that are encoded at once.
+ENCODE_CHARS = 2_000_000
 #: Signs that are cut off behind a letter: never part of its token. An apostrophe can be.
 SIGNS = ".,!?;:*#$%&|()[]\"-"
 #: New cores that are encoded in one text.
@@ -30,14 +32,16 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Pieces(dict):
-    """Piece of text to its number; a new one is listed to be encoded."""
+    """Piece of text to its number; a new one is listed, with whether a space is before it, to be encoded."""
 
-    def __init__(self, listed: list[str]) -> None:
-        self.listed = listed
+    def __init__(self, encoder: Encoder, spaced: bool) -> None:
+        self.encoder, self.spaced = encoder, spaced
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self.listed)
-        self.listed.append(piece)
+        own = self.encoder
+        self[piece] = n = own.known
+        own.known += 1
+        own.listed.append((piece, self.spaced))
         return n
 
 
@@ -49,8 +53,8 @@ class Encoder:
     begin a line. A piece that is empty or begins or ends with white space, as next to two spaces, could be read
     otherwise alone: a text that has one is cut only at spaces between characters that aren't white space.
 
-    A piece is a core and the signs after its last letter, which are always another token. New cores are encoded many at once in one
-    text; a core's ids begin where a token begins with a space, or after a line end.
+    A piece that ends in signs behind a letter is the piece before them and the signs, which are always another token.
+    New pieces are encoded many at once in one text; their ids begin where a token begins with a space, or after a line end.
     """
 
     def __init__(self, path: str, special: bool = True) -> None:
@@ -66,112 +70,122 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.listed: list[str] = []
-        self.heads, self.pieces = _Pieces(self.listed), _Pieces(self.listed)
-        self.cores: dict[str, int] = {"": 0}
-        self.odd, self.core, self.tail = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.known, self.chars = 0, 0
+        self.listed: list[tuple[str, bool]] = []
+        self.heads, self.pieces = _Pieces(self, False), _Pieces(self, True)
+        self.odd, self.core, self.tail = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.used = np.zeros(0, np.int32)
+        self.nothing, self.end_number = self.heads[""], self.heads["\n"]
+
+    def _trim(self) -> None:
+        """Keeps the pieces that came more than once, and what they are made of; all go if those fill most of the cache."""
+        keep = self.used > 1
+        keep[[self.nothing, self.end_number]] = True
+        keep[self.core[keep]] = keep[self.tail[keep]] = True
+        at, place = np.flatnonzero(keep), (np.cumsum(keep) - 1).astype(np.int32)
+        if 4 * len(at) > 3 * CACHE_PIECES:
+            self._clear()
+            return
         self.chars = 0
-        self.end_number = self.heads["\n"]
+        for own in (self.heads, self.pieces):
+            kept = {piece: int(place[n]) for piece, n in own.items() if keep[n]}
+            own.clear()
+            own.update(kept)
+            self.chars += sum(map(len, kept))
+        length = self.length[at]
+        begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+        self.ids = self.ids[np.arange(begin[-1]) + np.repeat(self.begin[at] - begin[:-1], length)]
+        self.begin, self.length, self.odd = begin[:-1].astype(np.int32), length, self.odd[at]
+        self.core, self.tail, self.used = place[self.core[at]], place[self.tail[at]], self.used[at] // 2
+        self.known, self.nothing, self.end_number = len(at), int(place[self.nothing]), int(place[self.end_number])
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, cores: list[str]) -> None:
-        """Encodes new cores: those of words with the space before them, others as they are."""
-        begin, length = np.zeros(len(cores), np.int64), np.zeros(len(cores), np.int64)
-        parts, size, alone = [self.ids], len(self.ids), []
-        spaced: list[int] = []
-        bare: list[int] = []
-        for k, c in enumerate(cores):
-            inner = c[1:]
-            (alone if " " in inner or "\n" in c or not inner and c == " " else spaced if c[0] == " " else bare).append(k)
-        for kind, joiner in ((spaced, ""), (bare, "\n")):
-            groups = [kind[k : k + TOGETHER] for k in range(0, len(kind), TOGETHER)]
-            for group, ids in zip(groups, self._encoded([joiner.join([cores[k] for k in g]) for g in groups])):
-                if joiner:
-                    cuts = np.flatnonzero(ids == self.line_end)
-                    first, last = np.concatenate(([0], cuts + 1)), np.append(cuts, len(ids))
+    def _learn(self) -> None:
+        """Finds the ids of the pieces listed since, and of the parts that they are made of."""
+        first, k = len(self.odd), 0
+        if first == self.known:
+            return
+        space = str.isspace
+        odd, core, tail = [], [], []
+        plain: dict[bool, list[int]] = {True: [], False: []}
+        alone: list[int] = []
+        while k < len(self.listed):
+            piece, spaced = self.listed[k]
+            odd.append(not piece or space(piece[-1]) or space(piece[0]))
+            stem = piece.rstrip(SIGNS)
+            if len(stem) == len(piece) or not stem or not stem[-1].isalpha():
+                core.append(first + k)
+                tail.append(self.nothing)
+                (alone if not piece or " " in piece or "\n" in piece else plain[spaced]).append(k)
+            else:
+                core.append((self.pieces if spaced else self.heads)[stem])
+                tail.append(self.heads[piece[len(stem) :]])
+            self.chars += len(piece)
+            k += 1
+        odd = np.array(odd, bool)
+        if not first:
+            odd[self.end_number] = False  # a line end is one token wherever it is cut off
+        begin, length = np.zeros(k, np.int32), np.zeros(k, np.int32)
+        parts, size, texts = [self.ids], len(self.ids), [" " + p if spaced else p for p, spaced in self.listed]
+        for spaced, own in plain.items():
+            groups = [own[j : j + TOGETHER] for j in range(0, len(own), TOGETHER)]
+            for group, ids in zip(groups, self._encoded([("" if spaced else "\n").join([texts[j] for j in g]) for g in groups])):
+                if spaced:
+                    start = np.flatnonzero(self.opens[ids])
+                    stop = np.append(start[1:], len(ids))
                 else:
-                    first = np.flatnonzero(self.opens[ids])
-                    last = np.append(first[1:], len(ids))
-                if len(first) != len(group):
+                    cuts = np.flatnonzero(ids == self.line_end)
+                    start, stop = np.concatenate(([0], cuts + 1)), np.append(cuts, len(ids))
+                if len(start) != len(group):
                     alone += group
                     continue
-                begin[group], length[group] = size + first, last - first
+                begin[group], length[group] = size + start, stop - start
                 parts.append(ids)
                 size += len(ids)
-        for k, ids in zip(alone, self._encoded([cores[k] for k in alone])):
-            begin[k], length[k] = size, len(ids)
+        for j, ids in zip(alone, self._encoded([texts[j] for j in alone])):
+            begin[j], length[j] = size, len(ids)
             parts.append(ids)
             size += len(ids)
-        self.begin, self.length, self.ids = np.concatenate((self.begin, begin)), np.concatenate((self.length, length)), np.concatenate(parts)
-
-    def _learn(self, heads: set[int]) -> None:
-        """Finds the ids of the pieces listed since; heads: the numbers of those that begin a line."""
-        first = len(self.odd)
-        new = self.listed[first:]
-        if not new:
-            return
-        self.chars += sum(map(len, new))
-        cores, fresh, space = self.cores, [], str.isspace
-        odd, core, tail = [], [], []
-
-        def place(text: str) -> int:
-            if (n := cores.get(text)) is None:
-                cores[text] = n = len(cores)
-                fresh.append(text)
-            return n
+        self.listed.clear()
+        self.ids = np.concatenate(parts)
+        for name, new in (("odd", odd), ("core", np.array(core, np.int32)), ("tail", np.array(tail, np.int32)), ("begin", begin), ("length", length), ("used", np.zeros(k, np.int32))):
+            setattr(self, name, np.concatenate((getattr(self, name), new)))
 
-        for k, piece in enumerate(new, first):
-            head = k in heads
-            odd.append(not piece or space(piece[-1]) or space(piece[0]))
-            stem = piece.rstrip(SIGNS)
-            if len(stem) == len(piece) or not stem or not stem[-1].isalpha():
-                core.append(place(piece if head else " " + piece))
-                tail.append(0)
-            else:
-                core.append(place(stem if head else " " + stem))
-                tail.append(place(piece[len(stem) :]))
-        odd[0] &= first > 0  # the line end
-        self._add(fresh)
-        self.odd = np.concatenate((self.odd, np.array(odd, bool)))
-        self.core, self.tail = np.concatenate((self.core, np.array(core, np.int64))), np.concatenate((self.tail, np.array(tail, np.int64)))
-
-    def _numbers(self, text: str, heads: set[int]) -> list[int]:
+    def _numbers(self, text: str) -> list[int]:
         out: list[int] = []
         get, end = self.pieces.__getitem__, self.end_number
         for line in text.split("\n"):
             head, *rest = line.split(" ")
-            n = self.heads[head]
-            heads.add(n)
-            out.append(n)
+            out.append(self.heads[head])
             out.extend(map(get, rest))
             out.append(end)
         out.pop()
         return out
 
-    def _careful(self, text: str, heads: set[int]) -> list[int]:
+    def _careful(self, text: str) -> list[int]:
         head, *rest = _BETWEEN.split(text)
-        n = self.heads[head]
-        heads.add(n)
-        return [n, *map(self.pieces.__getitem__, rest)]
+        return [self.heads[head], *map(self.pieces.__getitem__, rest)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by END_ID, and the number of each text's."""
-        if len(self.listed) > CACHE_PIECES or self.chars > CACHE_CHARS:
+        if self.known > CACHE_PIECES:
+            self._trim()
+        if self.chars > CACHE_CHARS:
             self._clear()
-        heads: set[int] = {self.end_number}
-        numbers = [self._numbers(t, heads) if t else [] for t in texts]
-        self._learn(heads)
+        numbers = [self._numbers(t) if t else [] for t in texts]
+        self._learn()
         flat, first = _flat(numbers)
         bad = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.odd[flat])))
         again = np.flatnonzero(bad[first[1:]] > bad[first[:-1]])
         if len(again):
             for k in again:
-                numbers[k] = self._careful(texts[k], heads)
-            self._learn(heads)
+                numbers[k] = self._careful(texts[k])
+            self._learn()
             flat, first = _flat(numbers)
+        self.used += np.bincount(flat, minlength=self.known).astype(np.int32)
         parts = np.empty((len(flat), 2), np.int64)
         parts[:, 0], parts[:, 1] = self.core[flat], self.tail[flat]
         parts = parts.ravel()
@@ -216,7 +230,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = Tru
         keys: list[int | None] = []
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        part, size = None, 0
+        waiting: list[str] = []
+        part, size, chars = None, 0, 0
+
+        def flush() -> None:
+            nonlocal size, chars
+            got, n = own.encode(waiting)
+            counts.append(n)
+            ids.append(got)
+            size += len(got)
+            waiting.clear()
+            chars = 0
 
         def closed() -> pa.RecordBatch:
             data = rans.encode(keys, np.concatenate(counts), np.concatenate(ids), before)
@@ -224,22 +248,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = Tru
 
         for batch in found:
             part = batch.column(2)[0].as_py() if batch.num_rows and part is None else part
-            texts, doc_ids, lo = batch.column(1).to_pylist(), batch.column(0).to_pylist(), 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 2_000_000):
-                    chars += len(texts[hi])
-                    hi += 1
-                got, n = own.encode(texts[lo:hi])
-                keys += doc_ids[lo:hi]
-                counts.append(n)
-                ids.append(got)
-                size += len(got)
-                lo = hi
-                if size >= segment:
-                    yield closed()
-                    number, before, size = number + 1, before + size, 0
-                    keys, counts, ids = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys.append(key)
+                waiting.append(text.as_py())
+                chars += len(waiting[-1])
+                if chars >= ENCODE_CHARS:
+                    flush()
+                    if size >= segment:
+                        yield closed()
+                        number, before, size = number + 1, before + size, 0
+                        keys, counts, ids = [], [], []
+        if waiting:
+            flush()
         if keys:
             yield closed()
 
