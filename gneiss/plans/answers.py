@@ -27,15 +27,15 @@ def claim_verdicts(spark, sf):
 
 
 def evidence(spark, sf):
-    """Claims of answers with the chunks of their cited source among two documents of it."""
+    """Claims of answers with their document as the only chunk; two of three have no source."""
     claims = Q.claim_citations(spark, sf).select(F.col("doc_id").alias("case_id"), "claim_no", "claim", F.split("citations", ",").alias("citations"))
-    chunks = _t(spark, sf, "documents").where("doc_id % 2 = 0 and doc_id % 3 = 0").select(F.col("doc_id").alias("case_id"), F.lit(0).alias("position"), "source", F.substring("text", 1, 20).alias("text"))
+    chunks = _t(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.lit(0).alias("position"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("source"), "text")
     found = J.resolve_evidence(claims, chunks)
     return found.groupBy("case_id").agg(F.sum(F.size("evidence")).cast("long").alias("found"), F.sum(F.size("missing")).cast("long").alias("missing"))
 
 
 def judge_prompts(spark, sf):
-    made = J.judge_prompt(F.lit("claim"), F.col("source"), F.array(F.substring("text", 1, 30), F.lit("two")))
+    made = J.judge_prompt(F.lit("claim"), F.col("source"), F.array("text", F.lit("two")))
     return _t(spark, sf, "documents").select("doc_id", F.md5(made).alias("digest"))
 
 
@@ -119,7 +119,7 @@ def corpus_sync(spark, sf):
     path = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("seed/misc/"), F.col("doc_id"), F.lit(".txt"))).otherwise(path)
     docs = _t(spark, sf, "documents").select(path.alias("path"), F.lit("t").alias("tenant_id"), F.sha2("text", 256).alias("content_hash"), "doc_id")
     found = docs.withColumn("department", J.department_of(F.col("path"), ("en", "de", "fr", "es")))
-    done = J.new_uploads(found, docs.where("doc_id % 6 = 0"))
+    done = J.new_uploads(found, docs.join(_t(spark, sf, "labels"), "doc_id", "left_semi"))
     return done.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -128,7 +128,7 @@ def clean_pair_issues(spark, sf):
     pages = lambda k: F.array(F.struct(k.alias("page_number"), F.lit(False).alias("ocr_used")))
     table = F.array(F.struct(F.lit("t").alias("table_id"), F.lit(1).alias("n_rows")))
     pairs = _t(spark, sf, "documents").select(
-        "doc_id", F.when(n % 10 == 0, n + 1).otherwise(n).alias("clean_doc_id"), F.col("text").alias("raw_text"), F.when(n % 4 == 0, F.substring("text", 1, 3)).when(n % 7 == 0, F.lit(" ")).otherwise(F.concat("text", F.when(n % 9 == 0, F.col("text")).otherwise(""))).alias("clean_text"),
+        "doc_id", F.when(n % 10 == 0, n + 1).otherwise(n).alias("clean_doc_id"), F.col("text").alias("raw_text"), F.when(n % 4 == 0, F.lit("abc")).when(n % 7 == 0, F.lit(" ")).otherwise(F.concat("text", F.when(n % 9 == 0, F.col("text")).otherwise(""))).alias("clean_text"),
         pages(F.lit(1)).alias("raw_pages"), pages(F.when(n % 6 == 0, 2).otherwise(1)).alias("clean_pages"), table.alias("raw_tables"), F.when(n % 8 == 0, F.slice(table, 1, 0)).otherwise(table).alias("clean_tables"), F.when(n % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("s"))).alias("steps"))
     return V.counts(V.clean_issues(pairs).where("code not in ('LOW_TEXT_RETENTION', 'UNEXPECTED_TEXT_EXPANSION', 'EMPTY_CLEAN_TEXT')"))
 
@@ -173,7 +173,7 @@ ORACLE = {
     "judge_parse": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'PARTIALLY_SUPPORTED' WHEN 5 THEN 'UNSUPPORTED' END AS verdict, CASE doc_id % 6 WHEN 2 THEN 'invalid verdict' WHEN 3 THEN 'empty reason' WHEN 4 THEN 'invalid JSON' END AS error FROM documents",
     "claim_verdicts": "SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'A') THEN 'SUPPORTED' WHEN bool_or(l_returnflag IN ('A', 'N')) THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict FROM lineitem GROUP BY l_orderkey",
     "evidence": f"WITH {_A}, {_UNITS}, c AS (SELECT doc_id, count(*) AS n FROM units WHERE contains(u, '[' || source || ']') AND trim(regexp_replace(u, '\\[[^\\[\\]]+\\]', '', 'g'), ' ,;:') <> '' GROUP BY doc_id) SELECT doc_id AS case_id, CASE WHEN doc_id % 3 = 0 THEN n ELSE 0 END AS found, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n END AS missing FROM c",
-    "judge_prompts": "SELECT doc_id, md5('Source: ' || source || chr(10) || '<chunk id=\"1\">' || chr(10) || substring(text, 1, 30) || chr(10) || '</chunk>' || chr(10) || '<chunk id=\"2\">' || chr(10) || 'two' || chr(10) || '</chunk>' || chr(10) || 'Claim: claim' || chr(10) || 'Answer in JSON with verdict and reason.') AS digest FROM documents",
+    "judge_prompts": "SELECT doc_id, md5('Source: ' || source || chr(10) || '<chunk id=\"1\">' || chr(10) || text || chr(10) || '</chunk>' || chr(10) || '<chunk id=\"2\">' || chr(10) || 'two' || chr(10) || '</chunk>' || chr(10) || 'Claim: claim' || chr(10) || 'Answer in JSON with verdict and reason.') AS digest FROM documents",
     "rag_quality": f"""WITH {_A}, {_COMPLETE}, q AS (SELECT doc_id AS case_id, trim(answer) <> '' AS answer_present, (doc_id % 11 = 0) = (doc_id % 22 = 0) AS abstention_correct, round(({_FACTS}) / {len(FACTS)}, 6) AS fact_recall, list_contains({_CITES}, source)::INT::DOUBLE AS source_recall, completeness FROM answers JOIN comp USING (doc_id))
       SELECT *, answer_present AND abstention_correct AND fact_recall = 1 AND source_recall = 1 AND completeness = 1 AS passed FROM q""",
     "prompt_behaviour": f"""WITH {_A}, s AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN [source, 'nobody'] WHEN doc_id % 11 = 0 THEN [] ELSE [source] END AS ss, doc_id % 11 = 0 AS unk FROM answers)
@@ -190,7 +190,7 @@ ORACLE = {
     "contextualise": f"""WITH c AS (SELECT item_id, text, CASE WHEN item_id % 5 = 0 OR item_id % 4 = 0 OR item_id % 3 = 0 THEN text ELSE 'more ' || text END AS q FROM benchmark) SELECT item_id, {_N('q')} <> {_N('text')} AS rewritten, md5({_N('q')}) AS digest FROM c""",
     "history_select": P.ORACLE["memory_window"].split("SELECT conv_id AS conversation_id")[0].replace("1500", "1200").replace("t.age <= 5", "t.age <= 3") + "SELECT conv_id AS conversation_id, count(*) AS turns, max(turn) AS last FROM f WHERE taken GROUP BY conv_id",
     "corpus_sync": """WITH d AS (SELECT doc_id, sha256(text) AS h, doc_id % 9 = 0 AS ign, CASE WHEN doc_id % 9 = 0 THEN 'seed/misc/' || doc_id || '.txt' ELSE 'seed/' || lang || '/en/' || doc_id || '.txt' END AS path FROM documents),
-      n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ign, path) AS nth, h IN (SELECT h FROM d WHERE doc_id % 6 = 0) AS known FROM d) SELECT CASE WHEN ign THEN 'ignored' WHEN known OR nth > 1 THEN 'skipped' ELSE 'created' END AS outcome, count(*) AS n FROM n GROUP BY ALL""",
+      n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ign, path) AS nth, h IN (SELECT h FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) AS known FROM d) SELECT CASE WHEN ign THEN 'ignored' WHEN known OR nth > 1 THEN 'skipped' ELSE 'created' END AS outcome, count(*) AS n FROM n GROUP BY ALL""",
     "clean_pair_issues": """WITH i AS (SELECT unnest([CASE WHEN doc_id % 10 = 0 THEN 'DOCUMENT_IDENTITY_MISMATCH' END, CASE WHEN doc_id % 6 = 0 THEN 'PAGE_NUMBER_MISMATCH' END, CASE WHEN doc_id % 8 = 0 THEN 'TABLE_COUNT_MISMATCH' END, CASE WHEN doc_id % 11 = 0 THEN 'NO_CLEANING_STEPS_RECORDED' END]) AS code FROM documents)
       SELECT CASE WHEN code = 'NO_CLEANING_STEPS_RECORDED' THEN 'WARNING' ELSE 'ERROR' END AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY ALL""",
     "vector_point_issues": """WITH i AS (SELECT unnest(CASE vec_id % 10 WHEN 1 THEN ['DUPLICATE_CHUNK'] WHEN 2 THEN ['MISSING_PAYLOAD_FIELDS'] WHEN 3 THEN ['EMPTY_TEXT'] WHEN 4 THEN ['MISSING_VECTOR'] WHEN 5 THEN ['DIMENSION_MISMATCH'] ELSE [] END) AS code FROM embeddings) SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",

@@ -106,10 +106,10 @@ def embedding_hash(spark, sf):
 
 
 def persist_status(spark, sf):
-    """Against a store without the documents divisible by 5, and with another count for those by 7."""
+    """Against a store of the labelled documents alone, with another count for those of low quality."""
     now = chunk_manifest(spark, sf).select("document_id", "strategy", "chunks")
-    n = F.col("document_id").cast("long")
-    was = now.where(n % 5 != 0).withColumn("chunks", F.when(n % 7 == 0, F.col("chunks") + 1).otherwise(F.col("chunks")))
+    labels = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"), "quality")
+    was = now.join(labels, "document_id").select("document_id", "strategy", (F.col("chunks") + 1 - F.col("quality")).alias("chunks"))
     return stores.persist_status(now, was, ["document_id", "strategy"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -262,7 +262,7 @@ ORACLE = {
     "chunk_manifest": f"WITH {_CHUNKS} SELECT doc_id::VARCHAR AS document_id, 'fixed_size' AS strategy, count(*) AS chunks, sum(units)::BIGINT AS tokens, sum(length(chunk_text))::BIGINT AS characters FROM ch GROUP BY doc_id",
     "corpus_hash": f"WITH {_CHUNKS}, e AS (SELECT chunk_id AS k, sha256(chunk_id || sha256(text)) AS h, substring(sha256(chunk_id), 1, 4) AS g FROM ch), f AS (SELECT g, sha256(string_agg(h, '' ORDER BY k)) AS h FROM e GROUP BY g) SELECT sha256(string_agg(h, '' ORDER BY g)) AS sha256 FROM f",
     "embedding_hash": f"WITH {_CHUNKS} SELECT doc_id, sha256(string_agg(chunk_id || chunk_text, '' ORDER BY chunk_index)) AS sha256 FROM ch GROUP BY doc_id",
-    "persist_status": f"WITH {_CHUNKS}, x AS (SELECT DISTINCT doc_id FROM ch) SELECT CASE WHEN doc_id % 5 = 0 THEN 'WRITTEN' WHEN doc_id % 7 = 0 THEN 'REBUILT' ELSE 'SKIPPED_UP_TO_DATE' END AS status, count(*) AS n FROM x GROUP BY ALL",
+    "persist_status": f"WITH {_CHUNKS}, x AS (SELECT DISTINCT doc_id FROM ch) SELECT CASE WHEN quality IS NULL THEN 'WRITTEN' WHEN quality = 0 THEN 'REBUILT' ELSE 'SKIPPED_UP_TO_DATE' END AS status, count(*) AS n FROM x LEFT JOIN labels USING (doc_id) GROUP BY ALL",
     "profile": f"WITH {_PROFILE} SELECT * FROM pr",
     "structure_histogram": f"WITH {_PROFILE} SELECT CASE WHEN structure_confidence < 0.25 THEN 'low' WHEN structure_confidence < 0.5 THEN 'medium' WHEN structure_confidence < 0.75 THEN 'high' ELSE 'very_high' END AS bucket, file_type, count(*) AS n FROM pr GROUP BY ALL",
     "route": f"WITH {_PROFILE}, {_ROUTE} SELECT doc_id, x.s AS strategy, x.c AS content, x.p AS priority FROM r",

@@ -107,7 +107,7 @@ def duplicate_content(spark, sf):
 
 
 def duplicate_ids(spark, sf):
-    return V.duplicate_keys(_t(spark, sf, "documents").select(F.substring("text", 1, 24).alias("opening")), "opening")
+    return V.duplicate_keys(_t(spark, sf, "documents").select("source", "lang", "n_chars"), "source", "lang", "n_chars")
 
 
 def latest_version(spark, sf):
@@ -118,7 +118,7 @@ def latest_version(spark, sf):
 def _users(spark, sf):
     role = F.when(F.col("c_custkey") % 50 == 0, "admin").when(F.col("c_custkey") % 2 == 0, "manager").otherwise("employee")
     own = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("c_custkey") % 4).cast("int") + 1)
-    return _t(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("src"), F.col("c_custkey") / 10 % 20).alias("tenant_id"), own.alias("department"), role.alias("role"))
+    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("src"), F.col("c_custkey") / 10 % 20).alias("tenant_id"), own.alias("department"), role.alias("role"))
 
 
 def document_acl(spark, sf):
@@ -157,7 +157,7 @@ def stale_points(spark, sf):
 
 def upserted(spark, sf):
     stored = _t(spark, sf, "documents").select("doc_id", F.char_length("text").alias("n"))
-    return A.upsert(stored, stored.where("doc_id % 3 = 0").select("doc_id", (F.col("n") + 1).alias("n")), "doc_id")
+    return A.upsert(stored, stored.join(_t(spark, sf, "labels"), "doc_id", "left_semi").select("doc_id", (F.col("n") + 1).alias("n")), "doc_id")
 
 
 def pending(spark, sf):
@@ -165,14 +165,14 @@ def pending(spark, sf):
 
 
 def semantic_cache(spark, sf):
-    """Embeddings as cached answers: the best usable one for the first twenty vectors."""
+    """Embeddings as cached answers: the best usable one for each vector whose id 50 divides, of the others."""
     from gneiss.operators.retrieval import dense_scores
 
     v = _t(spark, sf, "embeddings")
     rows = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    scores = dense_scores(rows.where("doc_id >= 20"), rows.where("doc_id < 20").withColumnRenamed("doc_id", "query_id"), 50).withColumnRenamed("doc_id", "entry_id")
-    queries = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.lit("t0").alias("tenant_id"), F.when(F.col("vec_id") % 3 == 0, F.array(F.lit("*"))).otherwise(F.array(F.lit("d0"), F.lit("d1"))).alias("departments"))
-    cache = v.where("vec_id >= 20").select(F.col("vec_id").alias("entry_id"), F.lit("t0").alias("tenant_id"), F.when(F.col("vec_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("d"), F.col("vec_id") % 3))).alias("answer_departments"))
+    scores = dense_scores(rows.where("doc_id % 50 <> 0"), rows.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 50).withColumnRenamed("doc_id", "entry_id")
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("t0").alias("tenant_id"), F.when(F.col("vec_id") % 3 == 0, F.array(F.lit("*"))).otherwise(F.array(F.lit("d0"), F.lit("d1"))).alias("departments"))
+    cache = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("entry_id"), F.lit("t0").alias("tenant_id"), F.when(F.col("vec_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("d"), F.col("vec_id") % 3))).alias("answer_departments"))
     return A.cached_answers(queries, cache, scores, least=0.3)
 
 
@@ -182,9 +182,9 @@ def semantic_cache(spark, sf):
 def _answers(spark, sf):
     """Documents as answers: each sentence cites its source, each fourth an unknown one, and some sentences nothing."""
     cut = F.split(F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), f"([.!?])[{SPACE}]+", "$1\x01"), "\x01")
-    cited = F.transform(F.slice(cut, 1, 6), lambda s, k: F.concat(s, F.when(k % 4 == 3, " [nobody].").when(k % 3 == 0, F.concat(F.lit(" ["), F.col("source"), F.lit("]."))).otherwise("")))
+    cited = F.transform(cut, lambda s, k: F.concat(s, F.when(k % 4 == 3, " [nobody].").when(k % 3 == 0, F.concat(F.lit(" ["), F.col("source"), F.lit("]."))).otherwise("")))
     answer = F.when(F.col("doc_id") % 11 == 0, "I do not know based on the provided context.").otherwise(F.array_join(cited, "\n"))
-    return _t(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", "source", answer.alias("answer"))
+    return _t(spark, sf, "documents").select("doc_id", "source", answer.alias("answer"))
 
 
 def fact_recall(spark, sf):
@@ -249,8 +249,8 @@ def chunk_issues(spark, sf):
 
 def embedding_issues(spark, sf):
     v = _t(spark, sf, "embeddings")
-    chunks = v.where("vec_id % 10 <> 1").select(F.col("vec_id").cast("string").alias("chunk_id"))
-    vectors = v.where("vec_id % 10 <> 2").select(F.col("vec_id").cast("string").alias("chunk_id"), F.when(F.col("vec_id") % 10 == 3, F.slice("embedding", 1, 10)).when(F.col("vec_id") % 10 == 4, F.array(F.lit(float("nan")))).otherwise(F.col("embedding")).cast("array<double>").alias("vector"))
+    chunks = v.where("label % 5 <> 1").select(F.col("vec_id").cast("string").alias("chunk_id"))
+    vectors = v.where("label % 5 <> 2").select(F.col("vec_id").cast("string").alias("chunk_id"), F.when(F.col("label") % 5 == 3, F.slice("embedding", 1, 10)).when(F.col("label") % 5 == 4, F.array(F.lit(float("nan")))).otherwise(F.col("embedding")).cast("array<double>").alias("vector"))
     return V.counts(V.embedding_issues(chunks, vectors, 64))
 
 
@@ -279,9 +279,9 @@ _DESCRIBE = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS p50, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS p75, round(max({c})::DOUBLE, 4) AS max FROM lineitem"
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
 )
-_USERS = "us AS (SELECT c_custkey AS user_id, 'src' || (c_custkey // 10 % 20) AS tenant_id, ['en', 'de', 'fr', 'es'][c_custkey % 4 + 1] AS department, CASE WHEN c_custkey % 50 = 0 THEN 'admin' WHEN c_custkey % 2 = 0 THEN 'manager' ELSE 'employee' END AS role FROM customer WHERE c_custkey % 10 = 0)"
+_USERS = "us AS (SELECT c_custkey AS user_id, 'src' || (c_custkey // 10 % 20) AS tenant_id, ['en', 'de', 'fr', 'es'][c_custkey % 4 + 1] AS department, CASE WHEN c_custkey % 50 = 0 THEN 'admin' WHEN c_custkey % 2 = 0 THEN 'manager' ELSE 'employee' END AS role FROM customer)"
 _CUT = f"string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1))"
-_ANSWERS = f"""parts AS (SELECT doc_id, source, {_CUT}[1:6] AS ps FROM documents WHERE doc_id % 2 = 0),
+_ANSWERS = f"""parts AS (SELECT doc_id, source, {_CUT} AS ps FROM documents),
 answers AS (SELECT doc_id, source, CASE WHEN doc_id % 11 = 0 THEN 'I do not know based on the provided context.' ELSE array_to_string(list_transform(ps, lambda s, k: s || CASE WHEN (k - 1) % 4 = 3 THEN ' [nobody].' WHEN (k - 1) % 3 = 0 THEN ' [' || source || '].' ELSE '' END), chr(10)) END AS answer FROM parts)"""
 _NORM = f"trim(regexp_replace(lower(answer), '[{SPACE}]+', ' ', 'g'))"
 _CITES = "list_transform(regexp_extract_all(answer, '\\[([^\\[\\]]+)\\]', 1), lambda c: trim(c))"
@@ -302,7 +302,7 @@ ORACLE = {
     "rollup_counts": "SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)",
     "most_common": "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10",
     "duplicate_content": "SELECT sha256(text) AS digest, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS paths FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "duplicate_ids": "SELECT substring(text, 1, 24) AS opening, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_ids": "SELECT source, lang, n_chars, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1",
     "latest_version": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1",
     "document_acl": f"WITH {_USERS} SELECT user_id, count(*) AS n FROM us JOIN documents ON source = tenant_id AND (role = 'admin' OR lang = department) GROUP BY user_id",
     "scope_resolution": f"WITH {_USERS} SELECT user_id, CASE WHEN role = 'admin' THEN '*' WHEN user_id % 3 <> 0 AND user_id % 7 = 0 THEN '' ELSE department END AS departments FROM us",
@@ -310,9 +310,9 @@ ORACLE = {
     "catalog_listing": "SELECT c_custkey, coalesce(n_name, '') AS nation, coalesce(r_name, '') AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "role_lists": "SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS names FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name",
     "stale_points": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "upserted": "SELECT doc_id, length(text) + (doc_id % 3 = 0)::INT AS n FROM documents",
+    "upserted": "SELECT doc_id, length(text) + (doc_id IN (SELECT doc_id FROM labels))::INT AS n FROM documents",
     "pending": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10)",
-    "semantic_cache": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20),
+    "semantic_cache": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0),
       p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS place FROM s), k AS (SELECT * FROM p WHERE place <= 10 AND score >= 0.3 AND entry_id % 5 <> 0 AND (query_id % 3 = 0 OR entry_id % 3 < 2))
       SELECT query_id, entry_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS n FROM k) WHERE n = 1""",
     "fact_recall": f"WITH {_ANSWERS} SELECT doc_id, round(({_FACTS}) / {len(FACTS)}, 6) AS recall FROM answers",
@@ -328,7 +328,7 @@ ORACLE = {
     "retrieval_dataset_issues": """WITH c AS (SELECT item_id AS id, CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN 'same' ELSE text END AS q FROM benchmark), d AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS n FROM c),
       i AS (SELECT unnest([CASE WHEN trim(q) = '' THEN 'EMPTY_QUERY' END, CASE WHEN trim(q) <> '' AND n > 1 THEN 'DUPLICATE_QUERY' END, CASE WHEN id % 5 = 0 THEN 'MISSING_TENANT' END, CASE WHEN id % 4 = 0 THEN 'NO_RELEVANT_DOCUMENTS' ELSE 'UNKNOWN_RELEVANT_DOCUMENT' END]) AS code FROM d)
       SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY code""",
-    "embedding_issues": """WITH n AS (SELECT vec_id % 10 AS m FROM embeddings), i AS (SELECT unnest(CASE m WHEN 1 THEN ['UNKNOWN_CHUNK'] WHEN 2 THEN ['MISSING_EMBEDDING'] WHEN 3 THEN ['DIMENSION_MISMATCH'] WHEN 4 THEN ['DIMENSION_MISMATCH', 'NON_FINITE_VECTOR'] ELSE [] END) AS code FROM n)
+    "embedding_issues": """WITH n AS (SELECT label % 5 AS m FROM embeddings), i AS (SELECT unnest(CASE m WHEN 1 THEN ['UNKNOWN_CHUNK'] WHEN 2 THEN ['MISSING_EMBEDDING'] WHEN 3 THEN ['DIMENSION_MISMATCH'] WHEN 4 THEN ['DIMENSION_MISMATCH', 'NON_FINITE_VECTOR'] ELSE [] END) AS code FROM n)
       SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
     "raw_document_status": """WITH n AS (SELECT doc_id AS n, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS m, CASE WHEN doc_id % 8 = 0 THEN 5 ELSE length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) END AS raw FROM documents)
       SELECT CASE WHEN n % 6 = 0 OR (n % 5 = 0 AND n % 10 <> 0) THEN 'ERROR' WHEN n % 6 = 1 OR n % 4 = 0 OR n % 12 = 0 OR raw < 50 OR (n % 6 > 1 AND m < 10) THEN 'WARNING' ELSE 'CLEAN' END AS status, count(*) AS n FROM n GROUP BY ALL""",
