@@ -18,11 +18,12 @@ from gneiss.llm.session import new_path, small_batches, text_or_empty, written
 END_ID = 0
 #: Tokens after which a segment ends with the document it is in.
 SEGMENT_TOKENS = 1 << 20
-#: Pieces of text that a worker keeps the ids of, and their characters; then it starts anew.
-CACHE_PIECES, CACHE_CHARS = 800_000, 16_000_000
+#: Pieces of text, and their characters, in each of the two generations that a worker keeps; pieces whose ids it keeps
+#: until it starts anew.
+CACHE_PIECES, CACHE_CHARS, KNOWN_PIECES = 750_000, 16_000_000, 2_500_000
 SEGMENTS_IN_BATCH = 8
 #: Characters of texts that are encoded at once.
-ENCODE_CHARS = 2_000_000
+ENCODE_CHARS = 1_000_000
 #: Signs that are cut off behind a letter: never part of its token. An apostrophe can be.
 SIGNS = ".,!?;:*#$%&|()[]\"-"
 #: New cores that are encoded in one text.
@@ -32,18 +33,28 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Pieces(dict):
-    """Piece of text to its number; a new one is listed, with whether a space is before it, to be encoded."""
+    """Piece of text to its number; a new one is listed, with whether a space is before it, to be encoded.
+
+    Two generations: after turn(), pieces that come again move over from the old one, and the next turn drops the others.
+    """
 
     def __init__(self, encoder: Encoder, spaced: bool) -> None:
-        self.encoder, self.spaced = encoder, spaced
+        self.encoder, self.spaced, self.old = encoder, spaced, {}
 
     def __missing__(self, piece: str) -> int:
-        own = self.encoder
-        self[piece] = n = own.known
-        own.known += 1
-        own.listed.append((piece, self.spaced))
+        n = self.old.get(piece)
+        if n is None:
+            own = self.encoder
+            n = own.known
+            own.known += 1
+            own.listed.append((piece, self.spaced))
+        self[piece] = n
         return n
 
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
 
 class Encoder:
     """Byte-level BPE ids of whole texts, through the ids of their pieces between single spaces and line ends.
@@ -75,31 +86,8 @@ class Encoder:
         self.heads, self.pieces = _Pieces(self, False), _Pieces(self, True)
         self.odd, self.core, self.tail = np.zeros(0, bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.used = np.zeros(0, np.int32)
         self.nothing, self.end_number = self.heads[""], self.heads["\n"]
 
-    def _trim(self) -> None:
-        """Keeps the pieces that came more than once, and what they are made of; all go if those fill most of the cache."""
-        keep = self.used > 1
-        keep[[self.nothing, self.end_number]] = True
-        keep[self.core[keep]] = keep[self.tail[keep]] = True
-        at, place = np.flatnonzero(keep), (np.cumsum(keep) - 1).astype(np.int32)
-        if 4 * len(at) > 3 * CACHE_PIECES:
-            self._clear()
-            return
-        self.chars = 0
-        for own in (self.heads, self.pieces):
-            kept = {piece: int(place[n]) for piece, n in own.items() if keep[n]}
-            own.clear()
-            own.update(kept)
-            self.chars += sum(map(len, kept))
-        length = self.length[at]
-        begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
-        self.ids = self.ids[np.arange(begin[-1]) + np.repeat(self.begin[at] - begin[:-1], length)]
-        self.begin, self.length, self.odd = begin[:-1].astype(np.int32), length, self.odd[at]
-        self.core, self.tail, self.used = place[self.core[at]], place[self.tail[at]], self.used[at] // 2
-        self.known, self.nothing, self.end_number = len(at), int(place[self.nothing]), int(place[self.end_number])
-
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -151,16 +139,17 @@ class Encoder:
             size += len(ids)
         self.listed.clear()
         self.ids = np.concatenate(parts)
-        for name, new in (("odd", odd), ("core", np.array(core, np.int32)), ("tail", np.array(tail, np.int32)), ("begin", begin), ("length", length), ("used", np.zeros(k, np.int32))):
+        for name, new in (("odd", odd), ("core", np.array(core, np.int32)), ("tail", np.array(tail, np.int32)), ("begin", begin), ("length", length)):
             setattr(self, name, np.concatenate((getattr(self, name), new)))
 
     def _numbers(self, text: str) -> list[int]:
         out: list[int] = []
         get, end = self.pieces.__getitem__, self.end_number
         for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append(self.heads[head])
-            out.extend(map(get, rest))
+            own = line.split(" ")
+            out.append(self.heads[own[0]])
+            if len(own) > 1:
+                out += map(get, own[1:])
             out.append(end)
         out.pop()
         return out
@@ -171,10 +160,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each text's followed by END_ID, and the number of each text's."""
-        if self.known > CACHE_PIECES:
-            self._trim()
-        if self.chars > CACHE_CHARS:
+        if self.known > KNOWN_PIECES:
             self._clear()
+        elif len(self.pieces) + len(self.heads) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            self.pieces.turn()
+            self.heads.turn()
+            self.chars = 0
         numbers = [self._numbers(t) if t else [] for t in texts]
         self._learn()
         flat, first = _flat(numbers)
@@ -185,7 +176,6 @@ class Encoder:
                 numbers[k] = self._careful(texts[k])
             self._learn()
             flat, first = _flat(numbers)
-        self.used += np.bincount(flat, minlength=self.known).astype(np.int32)
         parts = np.empty((len(flat), 2), np.int64)
         parts[:, 0], parts[:, 1] = self.core[flat], self.tail[flat]
         parts = parts.ravel()
@@ -248,10 +238,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = Tru
 
         for batch in found:
             part = batch.column(2)[0].as_py() if batch.num_rows and part is None else part
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
-                waiting.append(text.as_py())
-                chars += len(waiting[-1])
+                waiting.append(text)
+                chars += len(text)
                 if chars >= ENCODE_CHARS:
                     flush()
                     if size >= segment:

@@ -158,10 +158,11 @@ def test_one_symbol_and_large_ids():
 
 def test_encoder_against_the_library(monkeypatch):
     monkeypatch.setattr(token_store, "CACHE_PIECES", 900)
+    monkeypatch.setattr(token_store, "KNOWN_PIECES", 4000)
     rng, own, library = random.Random(3), token_store.Encoder(BPE), Tokenizer.from_file(BPE)
     parts = [" ", "  ", "\n", " \n", "\t", "a", "bc", "don't", "12", "!!", "é", "日本", "<|endoftext|>", "\x1c", ".", "\x00", " x", "the", "😀", "word, ", "End.\nNext "]
     texts = [t for t in ODD if t is not None] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
-    for lo in range(0, len(texts), 200):  # the cache is trimmed and cleared between
+    for lo in range(0, len(texts), 200):  # the cache turns and is cleared between
         part = texts[lo : lo + 200]
         ids, n = own.encode(part)
         at = np.concatenate(([0], np.cumsum(n)))
