@@ -24,6 +24,8 @@ BLOCK = 1 << 14
 #: Before them, the bits of the filter that spares texts a shuffle: 2 MB.
 FILTER_BITS = 1 << 24
 PAIR, FIVE, TABLES, CHECKS, MOST_BITS = 2, 5, 6, 8, 90
+#: Nodes of one print that are compared as a block, and pairs that are compared at once.
+NODES_IN_BLOCK, PAIRS_AT_ONCE = 256, 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -156,9 +158,10 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, checks: int = CHECKS,
     is where the share of equal shingles (their Jaccard similarity) is estimated at 0.74 or more: a pair of 0.8 links with
     a probability of 0.93, one of 0.6 with 0.002.
 
-    Nodes that share a 32-bit SimHash are linked to one of them, and one of them emits its ball; a variant's fingerprints,
-    33 at most, are linked to one of them. Which one differs from table to table, so a large group holds together by
-    many links, and their number is bounded by a figure for each document.
+    All candidates are compared, but those that verified links already join: nodes that share a 32-bit SimHash are first
+    compared with one of them, which differs from table to table, so that a large group of copies holds together by
+    few links. Then each SimHash's nodes are put in blocks of a bounded number, and blocks of one SimHash, and of two
+    at most 2 bits apart, are compared node by node (linked_tops).
     """
     small_batches(docs.sparkSession)
     given = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
@@ -174,22 +177,110 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, checks: int = CHECKS,
     schema = given.select("doc_id", "text_key").schema.add("node", "long").add("prints", ArrayType(LongType())).add("checks", ArrayType(LongType()))
     found = written(given.mapInArrow(batches, schema), "near")
     nodes = written(found.groupBy("node").agg(F.first("prints").alias("prints"), F.first("checks").alias("checks")), "near-nodes")
-    values = nodes.select("node", F.posexplode("prints").alias("table", "value")).withColumn("key", F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("value"))).select("node", "key")
-    order = F.xxhash64("key", "node")
-    heads = written(values.groupBy("key").agg(F.min_by("node", order).alias("head")), "near-heads")
-    shared = values.join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    masks = [0, *(1 << b for b in range(32))]
-    balls = heads.select(F.col("head").alias("node"), F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("key")))).alias("variant"))
-    met = balls.groupBy("variant").agg(F.collect_list("node").alias("all")).where(F.size("all") > 1)
-    centre = F.array_min(F.transform("all", lambda n: F.named_struct(F.lit("h"), F.xxhash64("variant", n), F.lit("n"), n)))["n"]
-    met = met.select(centre.alias("a"), F.explode("all").alias("b")).where("a <> b")
-    pairs = written(shared.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    values = _values(nodes, "node")
+    heads = values.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("head"))
+    shared = values.join(heads, "key").where("node <> head")
+    pairs = written(shared.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "near-pairs")
     left = nodes.select(F.col("node").alias("a"), F.col("checks").alias("ca"))
     right = nodes.select(F.col("node").alias("b"), F.col("checks").alias("cb"))
     apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     linked = pairs.join(left, "a").join(right, "b").where(apart <= most_bits).select("a", "b")
     groups = components(linked).select("node", F.col("component").alias("top"))
-    return found.select("doc_id", "text_key", "node").distinct().join(groups, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    tops = written(nodes.select("node", "prints", "checks").join(groups, "node", "left").withColumn("top", F.coalesce("top", "node")), "near-tops")
+    more = components(linked_tops(tops, most_bits)).select(F.col("node").alias("top"), "component")
+    tops = tops.select("node", "top").join(more, "top", "left").select("node", F.coalesce("component", "top").alias("top"))
+    return found.select("doc_id", "text_key", "node").distinct().join(tops, "node")
+
+
+def _values(nodes: DataFrame, *columns: str) -> DataFrame:
+    """columns and the key, table and value in one long, of each 32-bit SimHash of nodes' prints."""
+    key = F.shiftleft(F.col("table").cast("long"), 32).bitwiseOR(F.col("value")).alias("key")
+    return nodes.select(*columns, F.posexplode("prints").alias("table", "value")).select(*columns, key)
+
+
+def linked_tops(nodes: DataFrame, most_bits: int, size: int = NODES_IN_BLOCK) -> DataFrame:
+    """(a, b): links that connect the tops of all candidates of nodes (node, prints, checks, top) whose checks differ in at most most_bits bits.
+
+    A key's nodes are dealt to blocks of about size nodes by their hashes, and the nodes of a top with so many at the
+    key to blocks of their own; two blocks with one and the same top have nothing to link and are left out. Keys at most
+    2 bits apart meet by ball hashing, 33 at a variant at most, whatever the number of their nodes.
+    """
+    own = _values(nodes, "node", "top", "checks")
+    counts = written(_values(nodes, "top").groupBy("key", "top").agg(F.count("*").alias("n")), "near-counts")
+    large = counts.where(F.col("n") >= size).select("key", "top", F.ceil(F.col("n") / size).alias("own_blocks"))
+    mixed = counts.where(F.col("n") < size).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > size).select("key", F.ceil(F.col("n") / size).alias("blocks"))
+    dealt = own.join(large, ["key", "top"], "left").join(mixed, "key", "left")
+    lane = F.when(F.col("own_blocks").isNotNull(), F.col("top"))
+    block = F.xxhash64(lane, F.pmod(F.xxhash64("node"), F.coalesce("own_blocks", "blocks", F.lit(1).cast("long"))))
+    blocks = dealt.groupBy("key", block.alias("block")).agg(F.min("top").alias("low"), F.max("top").alias("high"), F.collect_list(F.struct("top", "checks")).alias("all"))
+    blocks = written(blocks.select("key", "block", "low", "high", F.col("all.top").alias("tops"), F.flatten("all.checks").alias("checks")), "near-blocks")
+    masks = [0, *(1 << b for b in range(32))]
+    keys = counts.select("key").distinct()
+    balls = keys.select("key", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m.bitwiseXOR(F.col("key")))).alias("variant"))
+    met = balls.groupBy("variant").agg(F.collect_list("key").alias("all")).where(F.size("all") > 1)
+    near = met.select(F.explode("all").alias("ka"), "all").select("ka", F.explode("all").alias("kb")).where("ka < kb").distinct()
+    near = written(near, "near-keys")
+    light = lambda x: blocks.select(*[F.col(c).alias(f"{c[0]}{x}") for c in ("key", "block", "low", "high")])
+    full = lambda x: blocks.select(F.col("key").alias(f"k{x}"), F.col("block").alias(f"b{x}"), F.col("tops").alias(f"t{x}"), F.col("checks").alias(f"c{x}"))
+    inside = light("a").withColumn("kb", F.col("ka")).join(light("b"), "kb").where("ba <= bb")
+    across = near.join(light("a"), "ka").join(light("b"), "kb")
+    meet = inside.unionByName(across).where("not (la = ha and lb = hb and la = lb)").select("ka", "ba", "kb", "bb")
+    both = meet.join(full("a"), ["ka", "ba"]).join(full("b"), ["kb", "bb"]).select("ta", "ca", "tb", "cb")
+
+    def links(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            got = near_tops(*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in batch.columns), most_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], ["a", "b"])
+
+    return written(both.mapInArrow(links, "a long, b long").distinct(), "near-links")
+
+
+def near_tops(ta: pa.ListArray, ca: pa.ListArray, tb: pa.ListArray, cb: pa.ListArray, most_bits: int) -> np.ndarray:
+    """Rows (a, b) that connect the tops of all pairs, of one node of ta and one of tb in the same row, whose checks differ in at most most_bits bits."""
+    tops, first, size, checks = [], [], [], []
+    for t, c in ((ta, ca), (tb, cb)):
+        tops.append(t.flatten().to_numpy(zero_copy_only=False))
+        ends = np.concatenate(([0], np.cumsum(t.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        first.append(ends[:-1])
+        size.append(np.diff(ends))
+        checks.append(c.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(tops[-1]), -1) if len(tops[-1]) else np.zeros((0, 1), np.uint64))
+    ends = np.concatenate(([0], np.cumsum(size[0] * size[1])))
+    out: list[np.ndarray] = []
+    for lo in range(0, int(ends[-1]), PAIRS_AT_ONCE):
+        at = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(ends[-1])))
+        row = np.searchsorted(ends, at, "right") - 1
+        i, j = np.divmod(at - ends[row], size[1][row])
+        i, j = first[0][row] + i, first[1][row] + j
+        keep = tops[0][i] != tops[1][j]
+        i, j = i[keep], j[keep]
+        bits = np.zeros(len(i), np.int64)
+        for k in range(checks[0].shape[1]):
+            bits += np.bitwise_count(checks[0][i, k] ^ checks[1][j, k])
+            if k % 4 == 3:  # those beyond the bound can't come back under it
+                keep = bits <= most_bits
+                i, j, bits = i[keep], j[keep], bits[keep]
+        keep = bits <= most_bits
+        out.append(_forest(np.unique(np.stack([tops[0][i[keep]], tops[1][j[keep]]], axis=1), axis=0)))
+    return _forest(np.concatenate(out)) if out else np.zeros((0, 2), np.int64)
+
+
+def _forest(links: np.ndarray) -> np.ndarray:
+    """Those of links that connect as much as all of them, without circles."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for a, b in links.tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return np.array(kept, np.int64).reshape(-1, 2)
 
 
 def drop_near_copies(docs: DataFrame, **how: int) -> DataFrame:
