@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -143,22 +144,82 @@ def reconcile(found: list[tuple[int, int, int, float]], base: list[Span]) -> lis
     return chosen[::-1]
 
 
+def decoded(texts: list[str], asked: list[tuple[int, int]], width: int, tagger: Tagger) -> Iterator[tuple[int, int, int, int, float, bool]]:
+    """(place in asked, start, end, kind, confidence, whether an inner edge of the window cuts it) of the spans in windows (place of the text, start) of one width."""
+    most = max(1, WINDOWS_AT_ONCE * WINDOW // width)
+    for lo in range(0, len(asked), most):
+        part = asked[lo : lo + most]
+        x = np.full((len(part), width), 130)
+        for row, (k, a) in enumerate(part):
+            own = codes(texts[k][a : a + width])
+            x[row, : len(own)] = own
+        for row, ((k, a), spans) in enumerate(zip(part, tagger.spans(x))):
+            for s, e, kind, sure in spans:
+                yield lo + row, a + s, a + e, kind, sure, (s == 0 and a > 0) or (e >= width and a + width < len(texts[k]))
+
+
+def regions(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch, joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def furthest(spans: Iterable[tuple[int, int]]) -> Callable[[int], int]:
+    """The furthest end of the spans that start at a place or before it; 0 without any."""
+    ordered = sorted(spans)
+    starts, ends = [a for a, _ in ordered], [0, *accumulate((b for _, b in ordered), max)]
+    return lambda at: ends[bisect_right(starts, at)]
+
+
 def find_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text."""
+    """(base spans, all spans) of each text.
+
+    Where an inner edge of a window cuts a span that is clear of the base spans and that no other window shows whole, the
+    text is decoded again in a window laid around all its pieces, twice as wide until no edge cuts a span there.
+    """
     base = [base_spans(t) if _ANY.search(t) else [] for t in texts]
     asked = [(k, a) for k, t in enumerate(texts) if _ANY.search(t) for a in windows(t, base[k])]
     found: dict[int, list[tuple[int, int, int, float]]] = {}
-    for lo in range(0, len(asked), WINDOWS_AT_ONCE):
-        part = asked[lo : lo + WINDOWS_AT_ONCE]
-        x = np.full((len(part), WINDOW), 130)
-        for row, (k, a) in enumerate(part):
-            own = codes(texts[k][a : a + WINDOW])
-            x[row, : len(own)] = own
-        for (k, a), spans in zip(part, tagger.spans(x)):
-            for s, e, kind, sure in spans:
-                cut = (s == 0 and a > 0) or (a + e >= a + WINDOW and a + WINDOW < len(texts[k]))
-                if sure >= CONFIDENCE and not cut and plausible(kind, texts[k][a + s : a + e]):
-                    found.setdefault(k, []).append((a + s, a + e, kind, sure))
+    cuts: dict[int, list[tuple[int, int]]] = {}
+
+    def take(k: int, a: int, b: int, kind: int, sure: float) -> None:
+        if sure >= CONFIDENCE and plausible(kind, texts[k][a:b]):
+            found.setdefault(k, []).append((a, b, kind, sure))
+
+    for place, a, b, kind, sure, cut in decoded(texts, asked, WINDOW, tagger):
+        if cut:
+            cuts.setdefault(asked[place][0], []).append((a, b))
+        else:
+            take(asked[place][0], a, b, kind, sure)
+    for k, pieces in cuts.items():
+        taken, whole = furthest((a, b) for a, _, b in base[k]), furthest((a, b) for a, b, _, _ in found.get(k, []))
+        cuts[k] = regions([(a, b) for a, b in pieces if taken(b - 1) <= a and whole(a) < b])
+    width = 2 * WINDOW
+    while any(cuts.values()):
+        every = [(k, lo, hi) for k, own in cuts.items() for lo, hi in own]
+        fit = [(k, lo, hi) for k, lo, hi in every if hi - lo + WINDOW <= width]
+        again: dict[int, list[tuple[int, int]]] = {}
+        for k, lo, hi in every:
+            if hi - lo + WINDOW > width:
+                again.setdefault(k, []).append((lo, hi))
+        shown_in: dict[int, list[tuple[int, int, int, float, bool]]] = {}
+        for place, *span in decoded(texts, [(k, max(0, lo - (width - hi + lo) // 2)) for k, lo, hi in fit], width, tagger):
+            if span[0] < fit[place][2] and fit[place][1] < span[1]:
+                shown_in.setdefault(place, []).append(tuple(span))
+        for place, spans in shown_in.items():
+            k, lo, hi = fit[place]
+            if any(cut for *_, cut in spans):
+                again.setdefault(k, []).extend([(lo, hi), *((a, b) for a, b, *_ in spans)])
+                continue
+            for a, b, kind, sure, _ in spans:
+                take(k, a, b, kind, sure)
+        cuts = {k: regions(own) for k, own in again.items()}
+        width *= 2
     return [(b, sorted([*b, *reconcile(found[k], b)]) if k in found else b) for k, b in enumerate(base)]
 
 
