@@ -83,10 +83,17 @@ def with_chunk_ids(chunks: DataFrame, strategy: str, version: str = "1.0") -> Da
 
 
 def routed(decisions: DataFrame, by_strategy: dict[str, DataFrame]) -> DataFrame:
-    """The chunks (doc_id, strategy, ...) of the strategies that each document was routed to; all frames have the same columns."""
+    """The chunks (doc_id, strategy, ...) of the strategies that each document was routed to; all frames have the same columns.
+
+    A decision for a strategy without a frame fails the run, when the result is read.
+    """
+    failed = F.raise_error(F.concat(F.lit("no chunker for strategy "), F.coalesce("strategy", F.lit("null")))).cast("boolean")
+    unknown = decisions.where(F.when(F.col("strategy").isin(*by_strategy), F.lit(False)).otherwise(failed))
     out = None
     for strategy, chunks in by_strategy.items():
         chosen = decisions.where(F.col("strategy") == strategy).select("doc_id").distinct()
         own = chunks.join(chosen, "doc_id", "left_semi").withColumn("strategy", F.lit(strategy))
         out = own if out is None else out.unionByName(own)
-    return out
+    if out is None:
+        raise ValueError("there are no chunkers")
+    return out.unionByName(unknown.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema]))

@@ -170,11 +170,31 @@ def json_chunks(spark, sf):
     return S.chunk(found, ChunkConfig("json_aware")).select("doc_id", "chunk_index", "chunk_text")
 
 
-def routed_chunks(spark, sf):
-    """Each document's text by the strategy it is routed to, where that is recursive or structure_aware."""
+def _routed_inputs(spark, sf):
+    """Routed documents with real pages (their lines), JSON texts and table rows, where _profiled says that they have some."""
     docs = _profiled(spark, sf)
-    decisions = P.route(P.profile(docs)).select("doc_id", F.explode("decisions").alias("d")).select("doc_id", "d.strategy")
-    return chunking.routed(decisions, {s: S.chunk(docs, ChunkConfig(s)).drop("strategy") for s in ("recursive", "structure_aware")}).select("doc_id", "strategy", "chunk_index", "token_count")
+    body = F.when(F.col("file_type") == ".json", F.to_json(F.struct("doc_id", F.split("text", "\n").alias("lines")))).otherwise(F.col("text"))
+    pages = F.when(F.size("pages") > 0, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
+    row = lambda x, k: F.array((k + 1).cast("string"), x)
+    rows = F.when(F.size("tables") > 0, F.transform(F.split("text", "\n"), row)).otherwise(F.array().cast("array<array<string>>"))
+    return docs.select("doc_id", "file_type", body.alias("text"), pages.alias("page_texts"), rows.alias("rows"))
+
+
+def routed_chunks(spark, sf):
+    """Each document by the strategies it is routed to: its text, its pages' texts or its table's rows."""
+    docs = _routed_inputs(spark, sf)
+    sizes = F.when(F.size("rows") > 0, F.array(F.size("rows"))).otherwise(F.array().cast("array<int>"))
+    profiled = P.profile(docs.select("doc_id", "file_type", "text", F.col("page_texts").alias("pages"), sizes.alias("tables")))
+    decisions = P.route(profiled).select("doc_id", F.explode("decisions").alias("d")).select("doc_id", "d.strategy")
+    pages = docs.select("doc_id", F.posexplode("page_texts").alias("k", "text")).select("doc_id", (F.col("k") + 1).alias("page_number"), "text")
+    tables = docs.where(F.size("rows") > 0).select("doc_id", F.lit("t").alias("table_id"), F.array(F.lit("line"), F.lit("text")).alias("headers"), "rows")
+    same = ("doc_id", "chunk_index", "token_count")
+    # Only the documents that are routed to a strategy are given to its chunker: the JSON one raises on other texts.
+    own = lambda rows, s: rows.join(decisions.where(F.col("strategy") == s).select("doc_id"), "doc_id", "left_semi")
+    found = {s: S.chunk(own(docs, s), ChunkConfig(s)).select(*same) for s in ("recursive", "structure_aware", "json_aware")}
+    found["page_aware"] = chunking.page_aware(own(pages, "page_aware"), ChunkConfig("page_aware")).select(*same)
+    found["table_aware"] = S.chunk_tables(own(tables, "table_aware"), ChunkConfig("table_aware")).select(*same)
+    return chunking.routed(decisions, found).select("doc_id", "strategy", "chunk_index", "token_count")
 
 
 def html_blocks(spark, sf):
