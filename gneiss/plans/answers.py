@@ -123,14 +123,23 @@ def corpus_sync(spark, sf):
     return done.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def clean_pair_issues(spark, sf):
+def _clean_pairs(spark, sf):
     n = F.col("doc_id")
     pages = lambda k: F.array(F.struct(k.alias("page_number"), F.lit(False).alias("ocr_used")))
     table = F.array(F.struct(F.lit("t").alias("table_id"), F.lit(1).alias("n_rows")))
-    pairs = _t(spark, sf, "documents").select(
+    return _t(spark, sf, "documents").select(
         "doc_id", F.when(n % 10 == 0, n + 1).otherwise(n).alias("clean_doc_id"), F.col("text").alias("raw_text"), F.when(n % 4 == 0, F.lit("abc")).when(n % 7 == 0, F.lit(" ")).otherwise(F.concat("text", F.when(n % 9 == 0, F.col("text")).otherwise(""))).alias("clean_text"),
         pages(F.lit(1)).alias("raw_pages"), pages(F.when(n % 6 == 0, 2).otherwise(1)).alias("clean_pages"), table.alias("raw_tables"), F.when(n % 8 == 0, F.slice(table, 1, 0)).otherwise(table).alias("clean_tables"), F.when(n % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("s"))).alias("steps"))
-    return V.counts(V.clean_issues(pairs).where("code not in ('LOW_TEXT_RETENTION', 'UNEXPECTED_TEXT_EXPANSION', 'EMPTY_CLEAN_TEXT')"))
+
+
+def clean_pair_issues(spark, sf):
+    """The issues of metadata, pages, tables and steps; clean_pair_all_issues has those of the texts too."""
+    return V.counts(V.clean_issues(_clean_pairs(spark, sf)).where("code not in ('LOW_TEXT_RETENTION', 'UNEXPECTED_TEXT_EXPANSION', 'EMPTY_CLEAN_TEXT')"))
+
+
+def clean_pair_all_issues(spark, sf):
+    """All issues of the clean_pair_issues documents, those of the texts themselves too."""
+    return V.counts(V.clean_issues(_clean_pairs(spark, sf)))
 
 
 def vector_point_issues(spark, sf):
@@ -159,7 +168,7 @@ def hybrid_topk(spark, sf):
     return R.fuse([dense, P.bm25_topk(spark, sf)], 10)
 
 
-QUERIES = {f.__name__: f for f in (judge_parse, claim_verdicts, evidence, judge_prompts, rag_quality, prompt_behaviour, context_retention, retriever_overlap, three_rankings, retrieval_outcomes, retrieval_decision, memory_outcomes, contextualise, history_select, corpus_sync, clean_pair_issues, vector_point_issues, cache_entries, point_ids, hybrid_topk)}
+QUERIES = {f.__name__: f for f in (judge_parse, claim_verdicts, evidence, judge_prompts, rag_quality, prompt_behaviour, context_retention, retriever_overlap, three_rankings, retrieval_outcomes, retrieval_decision, memory_outcomes, contextualise, history_select, corpus_sync, clean_pair_issues, clean_pair_all_issues, vector_point_issues, cache_entries, point_ids, hybrid_topk)}
 
 _A, _CITES, _NORM, _UNITS, _S = Q._ANSWERS, Q._CITES, Q._NORM, Q._UNITS, T.SPACE
 _COMPLETE = f"""{_UNITS}, f AS (SELECT doc_id, n, contains(u, '[' || source || ']') AS cited, regexp_full_match(trim(u), '(\\s*\\[[^\\[\\]]+\\]\\s*)+') AS alone FROM units WHERE NOT ends_with(trim(u), ':') AND doc_id % 11 <> 0),
@@ -193,6 +202,12 @@ ORACLE = {
       n AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY ign, path) AS nth, h IN (SELECT h FROM d WHERE doc_id IN (SELECT doc_id FROM labels)) AS known FROM d) SELECT CASE WHEN ign THEN 'ignored' WHEN known OR nth > 1 THEN 'skipped' ELSE 'created' END AS outcome, count(*) AS n FROM n GROUP BY ALL""",
     "clean_pair_issues": """WITH i AS (SELECT unnest([CASE WHEN doc_id % 10 = 0 THEN 'DOCUMENT_IDENTITY_MISMATCH' END, CASE WHEN doc_id % 6 = 0 THEN 'PAGE_NUMBER_MISMATCH' END, CASE WHEN doc_id % 8 = 0 THEN 'TABLE_COUNT_MISMATCH' END, CASE WHEN doc_id % 11 = 0 THEN 'NO_CLEANING_STEPS_RECORDED' END]) AS code FROM documents)
       SELECT CASE WHEN code = 'NO_CLEANING_STEPS_RECORDED' THEN 'WARNING' ELSE 'ERROR' END AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY ALL""",
+    "clean_pair_all_issues": f"""WITH p AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'abc' WHEN doc_id % 7 = 0 THEN ' ' WHEN doc_id % 9 = 0 THEN text || text ELSE text END AS made FROM documents),
+      b AS (SELECT *, NOT regexp_matches(text, '[^{_S}]') AS raw_blank, NOT regexp_matches(made, '[^{_S}]') AS made_blank FROM p),
+      c AS (SELECT *, CASE WHEN NOT raw_blank AND NOT made_blank THEN length(made) / length(text) END AS share FROM b),
+      i AS (SELECT unnest([CASE WHEN doc_id % 10 = 0 THEN 'DOCUMENT_IDENTITY_MISMATCH' END, CASE WHEN text IS NULL THEN 'INVALID_RAW_TEXT' END, CASE WHEN made IS NULL THEN 'INVALID_CLEAN_TEXT' END, CASE WHEN made_blank THEN 'EMPTY_CLEAN_TEXT' END, CASE WHEN share < 0.5 THEN 'LOW_TEXT_RETENTION' END, CASE WHEN share > 1.2 THEN 'UNEXPECTED_TEXT_EXPANSION' END,
+        CASE WHEN doc_id % 6 = 0 THEN 'PAGE_NUMBER_MISMATCH' END, CASE WHEN doc_id % 8 = 0 THEN 'TABLE_COUNT_MISMATCH' END, CASE WHEN doc_id % 11 = 0 THEN 'NO_CLEANING_STEPS_RECORDED' END]) AS code FROM c)
+      SELECT CASE WHEN code IN ('NO_CLEANING_STEPS_RECORDED', 'LOW_TEXT_RETENTION', 'UNEXPECTED_TEXT_EXPANSION') THEN 'WARNING' ELSE 'ERROR' END AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY ALL""",
     "vector_point_issues": """WITH i AS (SELECT unnest(CASE vec_id % 10 WHEN 1 THEN ['DUPLICATE_CHUNK'] WHEN 2 THEN ['MISSING_PAYLOAD_FIELDS'] WHEN 3 THEN ['EMPTY_TEXT'] WHEN 4 THEN ['MISSING_VECTOR'] WHEN 5 THEN ['DIMENSION_MISMATCH'] ELSE [] END) AS code FROM embeddings) SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
     "cache_entries": "SELECT event_type, count(*) AS n FROM events WHERE ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-02 00:00:00' GROUP BY event_type",
 }
