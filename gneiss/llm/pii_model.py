@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
@@ -11,7 +12,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN = 16, 24
 WINDOW, STRIDE = 96, 48
-BATCHES, BATCH, RATE = 320, 48, 0.012
+BATCHES, BATCH, RATE = 1100, 48, 0.012
 _ALPHABET = 131
 _BAD = -1e4
 
@@ -56,54 +57,68 @@ class _Writer:
         out = "".join(self.pick(letters) for _ in range(int(self.rng.integers(2, 9))))
         return out.capitalize() if self.rng.random() < 0.15 else out.upper() if self.rng.random() < 0.05 else out
 
-    def host(self, dot: str) -> str:
-        ascii_word = lambda: "".join(self.pick("abcdefghiklmnoprstu") for _ in range(int(self.rng.integers(3, 8))))
-        return dot.join([ascii_word() for _ in range(int(self.rng.integers(1, 3)))] + [self.pick(["com", "org", "net", "de", "io"])])
+    def label(self) -> str:
+        return "".join(self.pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(self.rng.integers(3, 11))))
 
     def email(self) -> str:
-        name = "".join(self.pick("abcdefghiklmnoprstu") for _ in range(int(self.rng.integers(2, 8)))) + self.pick(["", ".", "_", "+"]) + self.pick(["", self.digits(2)])
-        name = name.rstrip("._+") or "ab"
-        at = self.pick(["@", "@", " [at] ", " (at) ", "[at]", " @ "])
-        return name + at + self.host("." if "@" in at and at != " @ " else self.pick([".", " [dot] ", " (dot) ", "[dot]"]))
+        at, dot = self.pick([("@", "."), ("@", "."), (" @ ", " . "), (" @ ", "."), (" [at] ", "."), (" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" AT ", " DOT "), ("{at}", "{dot}"), ("<at>", ".")])
+        parts = [self.label() for _ in range(self.pick([1, 1, 2, 2, 3]))]
+        joint = self.pick([".", ".", "_", "-", "+"]) if dot != " dot " or self.rng.random() < 0.5 else dot
+        name = joint.join(parts) + self.pick(["", "", self.digits(2), f".{self.digits(2)}"])
+        return name + at + dot.join([*(self.label() for _ in range(self.pick([1, 1, 2, 2, 3]))), self.pick(["com", "org", "net", "de", "io", "fr", "edu", "es"])])
 
     def ip(self) -> str:
-        return self.pick([".", ".", " . ", "[.]"]).join(str(int(x)) for x in self.rng.integers(0, 256, 4))
+        return self.pick([".", ".", " . ", "[.]", "(.)", "[dot]", " dot ", ". "]).join(str(int(x)) for x in self.rng.integers(0, 256, 4))
 
     def card(self) -> str:
-        own = [4, *map(int, self.rng.integers(0, 10, 14))]
+        size = self.pick([16, 16, 16, 16, 15])
+        own = [self.pick([4, 5, 3]), *map(int, self.rng.integers(0, 10, size - 2))]
         own = "".join(map(str, [*own, _luhn(own)]))
-        sep = self.pick(["", "", " ", "-", ".", "/", "_"])
-        return sep.join(own[k : k + 4] for k in range(0, 16, 4))
+        sep = self.pick(["", "", " ", "-", ".", "/", "_", " - ", "  "])
+        cuts = range(0, 16, 4) if size == 16 else (0, 4, 10)
+        return sep.join(own[k:e] for k, e in zip(cuts, [*cuts[1:], size]))
 
     def phone(self) -> str:
         a, b, c = self.digits(3), self.digits(3), self.digits(4)
-        return self.pick([f"+1 ({a}) {b}-{c}", f"+{self.pick(['49', '33', '34'])} {a} {b}{c}", f"({a}) {b}-{c}", f"tel. {a}/{b}{c}"[5:], f"{a}.{b}.{c}"])
+        land = self.pick(["49", "33", "34", "44", "1"])
+        return self.pick([f"+1 ({a}) {b}-{c}", f"+{land} {a} {b}{c}", f"+{land}/{a}/{b}{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"({a}){b}-{c}", f"{a}/{b}{c}", f"0{a}/{b}{c}", f"{a}.{b}.{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"00{land} {a} {b}{c}", f"0{a} {b} {c}", f"{a} - {b} - {c}", f"0{a}-{b}{c}", f"({land}) {a} {b} {c}"])
 
     def other(self) -> str:
-        hexes = "".join(self.pick("0123456789abcdef") for _ in range(self.pick([8, 32, 40])))
-        return self.pick([hexes, f'token = "{hexes}"', f"{self.digits(4)}-{self.digits(2)}-{self.digits(2)}", f"{self.digits(1)}.{self.digits(2)}", f"${self.digits(2)},{self.digits(3)}.{self.digits(2)}", f"v{self.digits(1)}.{self.digits(1)}.{self.digits(2)}", self.digits(int(self.rng.integers(1, 9))), f"{self.digits(2)}:{self.digits(2)}", f"id {self.digits(16)[:15]}x", "***", "###", "&&&"])
+        hexes = "".join(self.pick("0123456789abcdef") for _ in range(self.pick([8, 18, 32, 40])))
+        key = "".join(self.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        d = self.digits
+        return self.pick([
+            hexes, f'token = "{hexes}"', f"AKIA{key}", f"password={hexes[:18]}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)}.{d(2)}", f"${d(2)},{d(3)}.{d(2)}", f"{d(1)}.{d(3)}.{d(3)}",
+            f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", d(int(self.rng.integers(1, 9))), f"{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"id {d(15)}x", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)}-{d(4)}", f"{d(4)}/{d(2)}",
+            f"{d(2)}.{d(4)}, {d(2)}.{d(4)}", f"{hexes[:8]}-{d(4)}-{d(4)}-{d(4)}-{hexes[:12].ljust(12, '0')}", f"no. {d(5)}, {d(4)}, {d(4)} and {d(3)}", f"{d(2)} {d(2)} {d(1)}", f"version {d(1)}.0.", "***", "###", "&&&",
+            "at the dot", "a dot at the end", "dot by dot", "at home", "meet at noon", "the dot com years", "look at it. Then", "[at]", "(see at end)", "[dot]", "@", "@ 5",
+        ])
 
     def window(self) -> tuple[np.ndarray, np.ndarray]:
+        """WINDOW characters from any place of a written text, and their tags; an edge may cut a span."""
         text, tags = "", []
-        while len(text) < WINDOW:
+        offset = int(self.rng.integers(0, WINDOW)) if self.rng.random() < 0.7 else 0
+        while len(text) < WINDOW + offset:
             r = self.rng.random()
-            if r < 0.12:
+            if r < 0.14:
                 kind = int(self.rng.integers(len(KINDS)))
                 own = getattr(self, KINDS[kind])()
-                if len(text) + len(own) > WINDOW:
-                    break
                 text += own
                 tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(own) - 1)
             else:
-                own = self.other() if r < 0.2 else self.word()
+                own = self.other() if r < 0.26 else self.word()
                 text += own
                 tags += [0] * len(own)
-            gap = self.pick([" ", " ", " ", " ", ", ", ". ", "\n", " | ", '" ', "; "])
+            gap = self.pick([" ", " ", " ", " ", ", ", ". ", "\n", " | ", '" ', "; ", ": ", " (", ") "])
             text += gap
             tags += [0] * len(gap)
-        cut = min(len(text), WINDOW)
+        text, tags = text[offset : offset + WINDOW], tags[offset : offset + WINDOW]
+        if tags[0] and tags[0] % 2 == 0:
+            tags[0] -= 1
+        if self.rng.random() < 0.15:  # as at the end of a text
+            text = text[: int(self.rng.integers(20, WINDOW))]
         out, gold = np.full(WINDOW, _ALPHABET - 1), np.zeros(WINDOW, np.int64)
-        out[:cut], gold[:cut] = codes(text[:cut]), tags[:cut]
+        out[: len(text)], gold[: len(text)] = codes(text), tags[: len(text)]
         return out, gold
 
 
@@ -239,6 +254,20 @@ class Tagger:
         return out
 
 
-@lru_cache(maxsize=2)
-def trained(batches: int = BATCHES) -> Tagger:
-    return Tagger().fit(batches)
+#: What `python -m gneiss.llm.pii_model` wrote: the parameters that fit() finds, in the order of Tagger().p.
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+
+
+@lru_cache(maxsize=1)
+def trained() -> Tagger:
+    """The fitted tagger: the stored parameters where they are there, else fitted anew, which takes some minutes."""
+    if not WEIGHTS.exists():
+        return Tagger().fit()
+    tagger = Tagger()
+    with np.load(WEIGHTS) as stored:
+        tagger.p = {k: stored[k].astype(np.float64) for k in tagger.p}
+    return tagger
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float32) for k, v in Tagger().fit().p.items()})
