@@ -1,6 +1,9 @@
 """License scans: a trained paragraph classifier names licence families, and template comparison confirms them.
 
-Scoring is all DataFrame operations: distinct paragraphs are exploded to word n-grams and joined with the weights.
+All DataFrame operations. A family has to be named by the classifier and confirmed by a template. Both conditions have to
+hold, so the cheaper one, which needs no join, is put to every window of every paragraph within its row; what passes it is
+exploded to word n-grams and joined with the weights. A window that no template confirms is unknown whatever the classifier
+says of it, so this order loses nothing; a test holds the result against a scan that scores every window.
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ from gneiss.llm.session import text_or_empty, written
 UNKNOWN = "unknown"
 FAMILIES = sorted(TEMPLATES)
 CLASSES = [*FAMILIES, UNKNOWN]
-#: A paragraph is a line; lines of more words are cut to windows of so many, a new one every half.
+#: A paragraph ends at a blank line or at a line end behind a sentence's end; other line ends only wrap it.
+PARAGRAPH_END = r"(?<=[.!?:;])[ \t\r]*\n|\n[ \t\r]*(?=\n)"
+#: Paragraphs of more words are cut to windows of so many, a new one every half.
 WINDOW = 64
-#: What a licence paragraph has to hold one of, in lower case: the model's unknown class takes any other.
-ANCHORS = r"licen[cs]e|copyright|all rights reserved|warrant|public domain|creative commons|cc by|cc0|redistribut|permission|free software|source code form|unencumbered|anyone is free to copy"
 #: The least calibrated probability of a family, and the least share of word pairs in common with one of its templates:
 #: of the template's pairs, or of the paragraph's where it is a part of a longer licence.
 PROBABILITY, SIMILARITY, LEAST_PAIRS = 0.5, 0.6, 2
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-COPIES, ROUNDS, STEP, DECAY = 24, 250, 2.0, 1e-3
+COPIES, ROUNDS, STEP, DECAY = 16, 250, 2.0, 1e-3
 
 
 def words_of(text: str) -> list[str]:
@@ -52,13 +55,15 @@ def _examples(seed: int) -> list[tuple[set[str], int]]:
                 if len(kept) > 14 and copy % 3 == 2:
                     lo = int(rng.integers(len(kept) - 10))
                     kept = kept[lo : lo + 12]
-                out.append((grams_of([*pick(filler, int(rng.integers(5)) * (copy > 0)), *kept, *pick(filler, int(rng.integers(5)) * (copy > 0))]), c))
+                around = 0 if copy == 0 else int(rng.integers(40 if copy % 4 == 3 else 5))
+                lead = int(rng.integers(around + 1))
+                out.append((grams_of([*pick(filler if copy % 2 else every, lead), *kept, *pick(filler if copy % 2 else every, around - lead)]), c))
     for text in OTHERS:
         own = words_of(text)
         for _ in range(COPIES):
             out.append((grams_of([w for w in own if rng.random() > 0.1]), len(FAMILIES)))
     for _ in range(COPIES * 14):
-        out.append((grams_of(pick(every if rng.random() < 0.6 else filler, int(rng.integers(3, 20)))), len(FAMILIES)))
+        out.append((grams_of(pick(every if rng.random() < 0.6 else filler, int(rng.integers(3, WINDOW)))), len(FAMILIES)))
     return out
 
 
@@ -100,11 +105,46 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def template_pairs() -> list[tuple[str, int, set[str]]]:
+    """(family, number, distinct word pairs) of every template; one of a single word has that word."""
+    out = []
+    for family in FAMILIES:
+        for k, text in enumerate(TEMPLATES[family]):
+            own = words_of(text)
+            out.append((family, k, {f"{a} {b}" for a, b in zip(own, own[1:])} or set(own)))
+    return out
+
+
+def _among(values: Column, known: set[str]) -> Column:
+    return F.filter(values, lambda v: v.isin(sorted(known)))
+
+
+def _confirmable(words: Column) -> Column:
+    """Whether a template shares enough of its word pairs, or of the window's, with a window of words."""
+    every = template_pairs()
+    everything = set().union(*(own for _, _, own in every))
+
+    def like(own: Column) -> Column:
+        out = F.lit(False)
+        for _, _, pairs in every:
+            shared = F.size(_among(own["known"], pairs))
+            out = out | ((shared >= min(LEAST_PAIRS, len(pairs))) & (shared >= SIMILARITY * F.least(F.lit(len(pairs)), F.greatest(own["m"], F.lit(6))) - 1e-9))
+        return out
+
+    measured = F.transform(F.array(F.array_distinct(_pairs(words))), lambda pairs: F.struct(_among(pairs, everything).alias("known"), F.size(pairs).alias("m")))
+    return F.exists(measured, lambda own: (F.size(own["known"]) > 0) & like(own))
+
+
 def units(text: Column) -> Column:
-    """The paragraphs of a text that hold an anchor, as words joined by spaces."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"(?i){ANCHORS}"))
-    cut = lambda own: F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2)), lambda k: F.array_join(F.slice(own, k, F.lit(WINDOW)), " "))
-    return F.flatten(F.transform(lines, lambda line: cut(_words(line))))
+    """The windows of a text's paragraphs, and of the lines of wrapped ones, that a template can confirm, as words joined by spaces."""
+    wrapped = F.flatten(F.transform(F.split(text, PARAGRAPH_END), lambda p: F.when(F.contains(p, F.lit("\n")), F.concat(F.array(p), F.split(p, "\n"))).otherwise(F.array(p))))
+    worded = F.transform(wrapped, _words)
+    windows = F.flatten(F.transform(worded, lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2)), lambda k: F.slice(ws, k, WINDOW))))
+    return F.transform(F.filter(windows, _confirmable), lambda ws: F.array_join(ws, " "))
+
+
+def n_paragraphs(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, PARAGRAPH_END), lambda p: p.rlike("[A-Za-z0-9]"))).cast("long")
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -112,12 +152,7 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     weights, _ = model()
     fields = ", ".join(f"w{k} double" for k in range(len(CLASSES)))
     known = spark.createDataFrame([(g, *map(float, w)) for g, w in sorted(weights.items())], f"gram string, {fields}")
-    rows = []
-    for family in FAMILIES:
-        for k, text in enumerate(TEMPLATES[family]):
-            own = words_of(text)
-            pairs = {f"{a} {b}" for a, b in zip(own, own[1:])} or set(own)
-            rows += [(p, family, k, len(pairs)) for p in sorted(pairs)]
+    rows = [(p, family, k, len(pairs)) for family, k, pairs in template_pairs() for p in sorted(pairs)]
     return written(known.coalesce(1), "licence-weights"), written(spark.createDataFrame(rows, "pair string, family string, template int, n int").coalesce(1), "licence-templates")
 
 
@@ -143,27 +178,23 @@ def judge_units(found: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_paragraphs, families, family, confidence) of every row of docs.
 
-    n_paragraphs: paragraphs with a word that licences use; families: the confirmed families, sorted and joined by
+    n_paragraphs: paragraphs with a word, all of which are judged; families: the confirmed families, sorted and joined by
     commas, empty without any; family: the one of most confidence, the first by name of equal ones, else null with
     confidence 0. A null text is empty; rows that repeat a doc_id keep their own texts' results, equal rows have equal ones.
 
-    Each distinct paragraph is judged once however often it occurs, so a licence that a third of all documents holds
-    is one row to the classifier; only paragraphs with an anchor leave the scan.
+    One pass over the texts writes what may be a licence; each distinct window is judged once however often it occurs, so a
+    licence that a third of all documents holds is one row to the classifier.
     """
-    keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_key", F.xxhash64("text"))
-    scanned = keyed.where(F.lower("text").rlike(ANCHORS)).select("doc_id", "text_key", F.explode(units(F.col("text"))).alias("unit"))
-    scanned = scanned.where(F.col("unit").rlike(ANCHORS))
-    counted = written(scanned.groupBy("doc_id", "text_key", "unit").agg(F.count("*").alias("n")), "licence-units")
+    text = text_or_empty()
+    scanned = written(docs.select("doc_id", F.xxhash64(text).alias("text_key"), n_paragraphs(text).alias("n_paragraphs"), units(text).alias("units")), "licence-units")
+    counted = scanned.where(F.size("units") > 0).select("doc_id", "text_key", F.explode("units").alias("unit"))
     judged = written(judge_units(counted.select("unit").distinct()), "licence-judged")
-    rows = keyed.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
-    named = counted.join(judged, "unit").withColumn("own", F.when(F.col("family") != UNKNOWN, F.struct((-F.col("confidence")).alias("z"), F.col("family").alias("family"))))
-    found = named.groupBy("doc_id", "text_key").agg(F.sum("n").alias("n"), F.collect_set("own.family").alias("families"), F.min("own").alias("best"))
-    found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n", "families", "best")
-    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
-    out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    named = counted.join(judged.where(F.col("family") != UNKNOWN), "unit").withColumn("own", F.struct((-F.col("confidence")).alias("z"), F.col("family").alias("family")))
+    found = named.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set("own.family").alias("families"), F.min("own").alias("best"))
+    out = scanned.drop("units").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     return out.select(
         "doc_id",
-        F.when(F.col("n").isNull(), 0).otherwise(F.expr("n div rows")).cast("long").alias("n_paragraphs"),
+        "n_paragraphs",
         F.coalesce(F.array_join(F.array_sort("families"), ","), F.lit("")).alias("families"),
         F.col("best.family").alias("family"),
         F.coalesce(-F.col("best.z"), F.lit(0.0)).alias("confidence"),

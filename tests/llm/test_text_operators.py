@@ -246,6 +246,71 @@ def test_license_templates_are_found_and_others_are_not(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def slow_licences(text):
+    """Every window of every paragraph and wrapped line, scored and compared with every template."""
+    import numpy as np
+
+    weights, bias = license_scan.model()
+    found, n = {}, 0
+    for p in re.split(license_scan.PARAGRAPH_END, text or ""):
+        n += bool(re.search("[A-Za-z0-9]", p))
+        for line in [p, *p.split("\n")] if "\n" in p else [p]:
+            words = license_scan.words_of(line)
+            for k in range(0, max(len(words) - license_scan.WINDOW // 2, 1), license_scan.WINDOW // 2):
+                own = words[k : k + license_scan.WINDOW]
+                grams, pairs = license_scan.grams_of(own), {f"{a} {b}" for a, b in zip(own, own[1:])}
+                if not own:
+                    continue
+                z = np.round(sum((weights[g] for g in sorted(grams) if g in weights), np.zeros(len(bias))) / np.sqrt(len(grams)), 9) + bias
+                top = max(range(len(z)), key=lambda c: (z[c], license_scan.CLASSES[c]))
+                like = 0.0
+                for family, _, wanted in license_scan.template_pairs():
+                    shared = len(wanted & pairs)
+                    if family == license_scan.CLASSES[top] and shared >= min(license_scan.LEAST_PAIRS, len(wanted)):
+                        like = max(like, shared / len(wanted), shared / max(len(pairs), 6))
+                sure = 1 / np.exp(z - z[top]).sum()
+                if license_scan.CLASSES[top] != license_scan.UNKNOWN and sure >= license_scan.PROBABILITY and like >= license_scan.SIMILARITY:
+                    found[license_scan.CLASSES[top]] = max(sure, found.get(license_scan.CLASSES[top], 0))
+    return n, ",".join(sorted(found)), max(found.values(), default=0.0)
+
+
+def test_license_scan_against_a_scan_that_scores_every_window(spark):
+    rng = random.Random(4)
+    pool = [t for f in license_scan.FAMILIES for t in license_scan.TEMPLATES[f]] + license_scan.OTHERS
+    texts = [None, "", "\n\n", "Released under the MIT terms.", "All rights reserved."]
+    for _ in range(150):
+        words = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 4))).split()
+        words = [w.upper() if rng.random() < 0.2 else w for w in words if rng.random() > rng.choice([0, 0.1, 0.3])]
+        at = rng.randint(0, len(words))
+        words[at:at] = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{k}" for k in range(rng.choice([0, 0, 5, 60, 150]))]
+        texts.append("".join(w + rng.choice([" "] * 8 + ["\n", "\n\n", ".\n"]) for w in words))
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    named = 0
+    for k, text in enumerate(texts):
+        n, families, sure = slow_licences(text)
+        assert (got[k].n_paragraphs, got[k].families) == (n, families) and abs(got[k].confidence - sure) < 1e-6, (text, got[k])
+        named += bool(families)
+    assert 60 < named < 155
+
+
+#: Licence wording that differs from the templates': wrapped, other names, capitals, parts.
+HELD_OUT = [
+    ("bsd", "IN NO EVENT SHALL THE AUTHORS OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,\nSPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    ("bsd", "3. Neither the name of the University nor the names of its contributors\nmay be used to endorse or promote products derived from this software\nwithout specific prior written permission."),
+    ("mit", "Released under the MIT terms."), ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the Software), to deal\nin the Software without restriction, including without limitation the rights"),
+    ("gpl", "This file is part of foo. It is distributed under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("apache-2.0", "The code is licensed under the Apache License, Version 2.0 and can be used by all"), ("isc", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("cc-by-sa", "Except where noted, this page is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    (None, "Use is governed by the terms of the rental agreement of the house."), (None, "Licensed under the new rules, the pub may open until two."), (None, "In no event shall the guests leave before dinner."), (None, "You should have received a copy of the bill along with the goods."),
+]
+
+
+def test_license_families_of_held_out_wording(spark):
+    got = license_scan.scan_licenses(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(HELD_OUT)], "doc_id long, text string")).collect()
+    wrong = [(HELD_OUT[r.doc_id], r.families) for r in got if r.family != HELD_OUT[r.doc_id][0]]
+    assert len(wrong) <= 1, wrong
+
+
 def test_license_scores_against_plain_python(spark):
     import numpy as np
 
