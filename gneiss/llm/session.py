@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Used where the session names no shared folder, as in tests on one machine.
+#: Used by sessions on one machine that name no shared folder, as in tests.
 LOCAL_SHARED_DIR = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    """The folder that spark.checkpoint.dir names, which driver and executors share; a session of many machines has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+    return named or LOCAL_SHARED_DIR
 
 
 def new_path(spark: SparkSession, name: str) -> str:

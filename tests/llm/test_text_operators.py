@@ -65,6 +65,18 @@ def test_url_rules_against_brute_force(spark):
     assert {(r.rule, r.verdict) for r in none.collect()} == {(None, "allow")}
 
 
+def test_url_rules_of_any_length_and_clashing_columns(spark):
+    long, deep = "/a" * 2000, ".".join(f"l{k}" for k in range(140))
+    rules = [("h.net", long, "block"), ("h.net", long + "x", "allow"), ("h.net", "/a", "allow"), (deep, "/", "block"), ("ÄB.net", "/", "block"), ("ne", "t/", "block")]
+    urls = {"http://h.net" + long: "h.net" + long, "http://h.net" + long + "xy": "h.net" + long + "x", "http://h.net" + long[:-1]: "h.net/a", f"http://z.{deep}/q": f"{deep}/", f"http://l1.{deep[3:]}/q": None, "http://ÄB.net/": "Äb.net/", "http://net/": None, "http://äb.net/": None}
+    names = "page_id long, url string, best string, asked string, digest string, short string, rh string, rp string, action string, labels string"
+    df = spark.createDataFrame([(k, u, *"abcdefgh") for k, u in enumerate(urls)], names)
+    got = url_filter.filter_urls(df, spark.createDataFrame(rules, "host string, path string, action string"))
+    assert got.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    assert {r.url: r.rule for r in got.collect()} == urls
+    assert {r.best + r.rp for r in got.collect()} == {"af"}
+
+
 BASE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
