@@ -1,39 +1,27 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment."""
+"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+
+A document that holds the share c of an item's q distinct shingles lacks at most (1 - c) q of them, so of any (1 - c) q + 1 it
+holds one. The search keeps of each item the MinHash sketch of so many least shingle hashes, as its size class has it, and looks
+a whole document's shingles up among the sketches of all items: no document that holds an item is missed, wherever in it the
+item's shingles are. What meets a sketch is verified by a join on the shingles themselves.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from gneiss.llm.session import free_name, small_batches
+from gneiss.llm.filters import hash_filter, held, maybe_in
+from gneiss.llm.session import free_name, small_batches, text_or_empty, written
 from gneiss.llm.words import Words, shingles, slices, words
 
 SHINGLE = 5
 #: Of a test item's distinct shingles, the share that a document holds at least.
 CONTAINMENT = 0.8
-#: MinHash functions. One equal minimum makes a candidate: an item of q shingles, of which a window of at most
-#: 4q holds 0.8q, is missed with a probability under (1 - 0.8 / 4.2) ** 64, or 2e-6.
-HASHES = 64
-#: Bytes of test items' text that are searched for in one pass over the documents.
-BLOCK_BYTES = 8 << 20
-LEAK = "array<struct<item_id:bigint,shared:bigint,shingles:bigint>>"
-_MULTIPLIERS = np.random.default_rng(5).integers(0, 2**64, HASHES, np.uint64) | np.uint64(1)
-
-
-@dataclass
-class Index:
-    """Test items. sets: each item's distinct shingles, as tuples of words; sizes: items by size class."""
-
-    ids: list[int] = field(default_factory=list)
-    sets: list[set] = field(default_factory=list)
-    #: size class to, for each hash function, its items' sorted minima and the items in that order.
-    sizes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
-    #: number of words to the sorted hashes of items shorter than a shingle, and those items.
-    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+_ITEM_COLUMNS = {"gram": "string", "least": "boolean", "shingles": "long", "wanted": "long", "size": "long", "h": "long"}
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -44,156 +32,127 @@ def distinct_shingles(found: list[bytes], size: int) -> set:
     return set(zip(*(found[k:] for k in range(size)))) if len(found) >= size else set()
 
 
-def build_index(items: list[tuple[int, str | None]]) -> Index:
-    """items: (id, text). An item of fewer than SHINGLE words is one shingle of all its words; one without words is left out."""
-    index = Index()
-    minima: dict[int, list[tuple[np.ndarray, int]]] = {}
-    short: dict[int, list[tuple[int, int]]] = {}
-    for item_id, text in items:
-        own = tokens(text)
-        if not own:
-            continue
-        size, k = min(SHINGLE, len(own)), len(index.ids)
-        index.ids.append(item_id)
-        index.sets.append(distinct_shingles(own, size))
-        found = words(pa.array([text]))
-        hashes, _ = shingles(found, found.hashes(), size)
-        if len(own) < SHINGLE:
-            short.setdefault(size, []).append((int(hashes[0]), k))
-        else:
-            minima.setdefault(size_class(len(index.sets[k])), []).append((np.array([(hashes * m).min() for m in _MULTIPLIERS]), k))
-    for cls, entries in minima.items():
-        table, own = np.stack([m for m, _ in entries]), np.array([k for _, k in entries])
-        index.sizes[cls] = [(table[o, h], own[o]) for h in range(HASHES) for o in [np.argsort(table[:, h], kind="stable")]]
-    for size, entries in short.items():
-        entries.sort()
-        index.short[size] = (np.array([h for h, _ in entries], np.uint64), np.array([k for _, k in entries]))
-    return index
+def size_class(shingles: int) -> int:
+    """The smallest power of two that holds so many."""
+    return 1 << (shingles - 1).bit_length()
 
 
-def size_class(shingles: int) -> int:
-    """The smallest power of two, 8 at least, that holds so many."""
-    return max(8, 1 << (shingles - 1).bit_length())
+def sketch_size(shingles: int, containment: float) -> int:
+    """Of an item of so many distinct shingles, the number of least hashes that are searched for: one more than its size class may lack."""
+    return min(shingles, int((1 - containment) * size_class(shingles) + 1e-9) + 1)
 
 
-def _equal(asked: np.ndarray, at: np.ndarray, known: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(place, item) for each equal hash; items may share one."""
-    lo, hi = np.searchsorted(known, asked, "left"), np.searchsorted(known, asked, "right")
-    for k in np.flatnonzero(hi > lo):
-        for item in items[lo[k] : hi[k]]:
-            yield int(at[k]), int(item)
+def gram(found: Words, at: int, size: int) -> str:
+    """The size words from word at on, A-Z lower-cased, joined by spaces."""
+    own = (found.raw[a:b].tobytes() for a, b in zip(found.starts[at : at + size].tolist(), found.ends[at : at + size].tolist()))
+    return b" ".join(own).lower().decode("utf-8", "surrogatepass")
 
 
-def candidates(found: Words, index: Index) -> set[tuple[int, int]]:
-    """(text, item): texts that have a window with one of the item's minima.
+def item_shingles(items: DataFrame, key: str, text: str, containment: float) -> DataFrame:
+    """(item_id, item_text, gram, least, shingles, wanted, size, h): each distinct shingle of each distinct item, h its hash, least whether it is in
+    the item's sketch, shingles the number of all, wanted how many of them a document has to hold.
 
-    Of each size class u the windows are of 2u shingles, a new one every u, so that any run of u shingles is whole
-    in one of them, however long its text is.
+    An item of fewer than SHINGLE words is one shingle of all its words; one without words, or of null text, is left out.
+    item_id may be of any type and null; item_text is a hash of the text, since items may share an id.
     """
-    out: set[tuple[int, int]] = set()
-    hashes = found.hashes()
-    for size, (known, items) in index.short.items():
-        runs, first = shingles(found, hashes, size)
-        out.update(_equal(runs, np.repeat(np.arange(len(first) - 1), np.diff(first)), known, items))
-    runs, first = shingles(found, hashes, SHINGLE)
-    if not index.sizes or not len(runs):
-        return out
-    counts = np.diff(first)
-    cut = {}
-    for u in index.sizes:
-        blocks = -(-counts // u)
-        begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(blocks)))
-        text = np.repeat(np.arange(len(counts)), blocks)
-        starts = first[text] + (np.arange(begin[-1]) - begin[text]) * u
-        cut[u] = (starts, text, np.append(text[1:] == text[:-1], False))
-    for h, multiplier in enumerate(_MULTIPLIERS):
-        hashed = runs * multiplier
-        for u, (starts, text, joined) in cut.items():
-            low = np.minimum.reduceat(hashed, starts)
-            window = low.copy()
-            window[:-1] = np.where(joined[:-1], np.minimum(low[:-1], low[1:]), low[:-1])
-            known, items = index.sizes[u][h]
-            place = np.searchsorted(known, window)
-            place[place == len(known)] = 0
-            hit = np.flatnonzero(known[place] == window)
-            if len(hit):
-                out.update(_equal(window[hit], text[hit], known, items))
-    return out
-
-
-def leaks_of(column: pa.Array, index: Index, containment: float) -> list[list[dict]]:
-    """Of each text, the items that it holds, by place in the index."""
-    out: list[list[dict]] = [[] for _ in range(len(column))]
+    given = items.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").alias("text")).where("text is not null").distinct()
+    given = given.select("item_id", F.xxhash64("text").alias("item_text"), "text")
+    schema = given.select("item_id", "item_text").schema
+    for name, kind in _ITEM_COLUMNS.items():
+        schema = schema.add(name, kind)
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            found = words(batch.column(2))
+            plain = found.hashes()
+            by_size = {n: shingles(found, plain, n) for n in range(1, SHINGLE + 1)}
+            for k in range(batch.num_rows):
+                n = int(found.first[k + 1] - found.first[k])
+                if not n:
+                    continue
+                size = min(SHINGLE, n)
+                runs, first = by_size[size]
+                h, at = np.unique(runs[first[k] : first[k + 1]], return_index=True)
+                least = np.arange(len(h)) < sketch_size(len(h), containment)
+                grams = pa.array([gram(found, int(found.first[k] + a), size) for a in at], pa.string())
+                whole = lambda v, kind: pa.array(np.full(len(h), v), kind)
+                ids = batch.slice(k, 1).select([0, 1])
+                same = [c.take(pa.array(np.zeros(len(h), np.int64))) for c in ids.columns]
+                wanted = int(np.ceil(containment * len(h) - 1e-9))
+                yield pa.RecordBatch.from_arrays([*same, grams, pa.array(least), whole(len(h), pa.int64()), whole(wanted, pa.int64()), whole(size, pa.int64()), pa.array(h.view(np.int64))], schema.names)
+
+    return given.mapInArrow(rows, schema)
+
+
+def met(column: pa.Array, sizes: list[int], sketches: np.ndarray, every: np.ndarray) -> Iterator[tuple[int, list[str]]]:
+    """(place, shingles) of the texts with a shingle among the sketches: those of their distinct shingles that may be among every item's."""
     for lo, hi in slices(column):
-        part = column.slice(lo, hi - lo)
-        asked: dict[int, list[int]] = {}
-        for text, item in sorted(candidates(words(part), index)):
-            asked.setdefault(text, []).append(item)
-        for text, items in asked.items():
-            own = tokens(part[text].as_py())
-            sets: dict[int, set] = {}
-            for item in items:
-                wanted = index.sets[item]
-                size = len(next(iter(wanted)))
-                held = sets[size] if size in sets else sets.setdefault(size, distinct_shingles(own, size))
-                shared = len(wanted & held)
-                if shared >= containment * len(wanted) - 1e-9:
-                    out[lo + text].append({"item_id": index.ids[item], "shared": shared, "shingles": len(wanted)})
-    return out
-
-
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded bytes, one after the other; equal rows count once, null ids and texts are left out."""
-    block, size = [], 0
-    for row in items.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).na.drop().distinct().orderBy(key, text).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1].encode("utf-8", "surrogatepass"))
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks", containment: float = CONTAINMENT, text: str = "text", key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with an array named name: the test items that each text holds, with shared and all distinct shingles.
-
-    Shingles are five words of ASCII-lower-cased text; a document holds an item if it has at least the share
-    containment of the item's distinct shingles, anywhere in it. The items are the stated query set: they are taken
-    in blocks of bounded bytes, each one pass over the documents' rows, without a shuffle. Null and empty texts
-    hold nothing, items without words are held by nothing. All rows and columns of docs stay; name must be free.
+        found = words(column.slice(lo, hi - lo))
+        plain = found.hashes()
+        asked: dict[int, set[str]] = {}
+        for size in sizes:
+            runs, first = shingles(found, plain, size)
+            hits = np.concatenate((np.zeros(1, np.int64), np.cumsum(held(sketches, runs))))
+            for k in np.flatnonzero(hits[first[1:]] > hits[first[:-1]]):
+                own = runs[first[k] : first[k + 1]]
+                for at in np.flatnonzero(held(every, own)):
+                    asked.setdefault(int(k), set()).add(gram(found, int(found.first[k] + at), size))
+        for k in sorted(asked):
+            yield lo + k, sorted(asked[k])
+
+
+def _text_keys() -> tuple[Column, Column]:
+    """128 bits of a text: documents of equal texts hold the same items."""
+    text = text_or_empty()
+    return F.xxhash64(text), F.xxhash64(text, F.lit("second"))
+
+
+def text_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(k1, k2, item_id, shared, shingles), written: the items that each distinct text of docs (text) holds; k1 and k2 as in _text_keys.
+
+    shared of the item's distinct shingles are in the text, anywhere in it. One pass over the texts; only what meets an
+    item's sketch leaves it, as shingles. The filters that are sent to all tasks are bitmaps of bounded size.
     """
     small_batches(docs.sparkSession)
-    for n, block in enumerate(_blocks(items, key, item_text)):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index(block))
-        part = name if n == 0 else free_name(docs, f"{name}_{n}")
-        docs = _searched(docs, shared, part, containment, text)
-        if n:
-            docs = docs.withColumn(name, F.concat(F.col(name), F.col(part))).drop(part)
-    return docs if name in docs.columns else docs.withColumn(name, F.array().cast(LEAK))
-
-
-def _searched(docs: DataFrame, shared, name: str, containment: float, text: str) -> DataFrame:
-    at = docs.columns.index(text)
-    schema = docs.limit(0).withColumn(name, F.lit(None).cast(LEAK)).schema
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("shingles", pa.int64())]))
+    known = written(item_shingles(items, key, item_text, containment), "leak-items")
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # SHINGLE at most
+    share = docs.sparkSession.sparkContext.broadcast
+    sketches, every = share(hash_filter(known.where("least").select("h"))), share(hash_filter(known.select("h")))
 
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            got = leaks_of(batch.column(at), shared.value, containment)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], [*batch.schema.names, name])
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            got = list(met(batch.column(2), sizes, sketches.value, every.value))
+            places = pa.array([k for k, _ in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.array([g for _, g in got], pa.list_(pa.string()))], ["k1", "k2", "grams"])
 
-    return docs.mapInArrow(batches, schema)
+    k1, k2 = _text_keys()
+    found = docs.select(k1.alias("k1"), k2.alias("k2"), text_or_empty().alias("text")).mapInArrow(rows, "k1 long, k2 long, grams array<string>")
+    found = written(found, "leak-shingles").groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
+    pairs = found.select("k1", "k2", F.explode("grams").alias("gram")).join(known.select("gram", "item_id", "item_text", "shingles", "wanted"), "gram")
+    counted = pairs.groupBy("k1", "k2", "item_id", "item_text", "shingles", "wanted").agg(F.count("*").alias("shared"))
+    return written(counted.where("shared >= wanted").select("k1", "k2", "item_id", "shared", "shingles"), "leaks")
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, shared, shingles, containment): one row for each row of docs and item that it holds."""
-    found = with_leaks(docs.select("doc_id", "text"), items, containment=containment)
-    pairs = found.select("doc_id", F.explode("leaks").alias("leak"))
-    return pairs.select("doc_id", "leak.item_id", "leak.shared", "leak.shingles", (F.col("leak.shared") / F.col("leak.shingles")).alias("containment"))
+    """(doc_id, item_id, shared, shingles, containment): one row for each row of docs and item that it holds.
+
+    Shingles are five words of ASCII-lower-cased text; a document holds an item if it has at least the share
+    containment of the item's distinct shingles. Ids may be of any type and null. Null and empty texts hold nothing, items without
+    words are held by nothing; equal items count once, repeated documents each.
+    """
+    leaks = text_leaks(docs.select("text"), items, containment)
+    k1, k2 = _text_keys()
+    keyed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"))
+    return keyed.join(leaks, ["k1", "k2"]).select("doc_id", "item_id", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment"))
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """docs without the rows whose text holds a test item."""
-    name = free_name(docs, "leaks")
-    return with_leaks(docs, items, name, containment).where(F.size(name) == 0).drop(name)
+    """docs without the rows whose text holds a test item (leaked_pairs); all its columns stay. Only texts that may hold one are shuffled, if any are."""
+    leaks = text_leaks(docs.select("text"), items, containment).select("k1", "k2").distinct()
+    k1, k2 = _text_keys()
+    one, two = free_name(docs, "leak_k1"), free_name(docs, "leak_k2")
+    keyed = docs.withColumn(one, k1).withColumn(two, k2)
+    maybe = maybe_in(leaks.select(F.col("k1").alias("h")), F.col(one))
+    leaks = leaks.toDF(one, two)
+    kept = keyed.where(~maybe).unionByName(keyed.where(maybe).join(leaks, [one, two], "left_anti"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from gneiss.llm.components import components
+from gneiss.llm.filters import maybe_in
 from gneiss.llm.session import free_name, small_batches, text_or_empty, written
 from gneiss.llm.words import mix, shingles, slices, words
 
@@ -21,8 +21,6 @@ SEED = 42
 BLOCK = 1 << 14
 #: Of near copies: words in the shingles that find them and in those that judge them, 32-bit SimHashes that are
 #: searched, 64-bit ones that judge, and the most bits in which those may differ: cos(pi * 90 / 512) = 0.85.
-#: Before them, the bits of the filter that spares texts a shuffle: 2 MB.
-FILTER_BITS = 1 << 24
 PAIR, FIVE, TABLES, CHECKS, MOST_BITS = 2, 5, 6, 8, 90
 #: Nodes of one print that are compared as a block, and pairs that are compared at once.
 NODES_IN_BLOCK, PAIRS_AT_ONCE = 256, 1 << 16
@@ -296,7 +294,7 @@ def drop_near_copies(docs: DataFrame, **how: int) -> DataFrame:
     names = [F.col(f"`{c}`") for c in docs.columns]
     key = free_name(docs, "near_key")
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    maybe = _maybe_in(gone.select(F.xxhash64("gone_id", "gone_key").alias("h")), F.xxhash64("doc_id", key))
+    maybe = maybe_in(gone.select(F.xxhash64("gone_id", "gone_key").alias("h")), F.xxhash64("doc_id", key))
     found = keyed.where(maybe).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key")), "left_anti")
     kept = keyed.where(~maybe).unionByName(found)
     again = docs.groupBy("doc_id", F.xxhash64("text").alias("again_key")).count().where("count > 1").select(F.col("doc_id").alias("again_id"), "again_key")
@@ -306,25 +304,3 @@ def drop_near_copies(docs: DataFrame, **how: int) -> DataFrame:
     twice = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col(key) == F.col("again_key"))
     once = kept.join(again, twice, "left_anti").select(*names, key)
     return once.unionByName(kept.join(again, twice, "left_semi").select(*names, key).dropDuplicates(["doc_id", key])).select(*names)
-
-
-def _maybe_in(hashes: DataFrame, asked: Column) -> Column:
-    """Whether a hash may be one of hashes (h): never false for one that is. Rows that it leaves out need no join, so their texts aren't shuffled.
-
-    A bitmap of FILTER_BITS bits, built by partial aggregates and sent to all tasks: its size is fixed, so the more hashes
-    there are the more rows pass, and the join behind it stays exact.
-    """
-    place = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    parts = hashes.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in parts.collect():  # FILTER_BITS / 32768 rows at most
-        own = np.frombuffer(row["bits"], np.uint8)
-        bits[4096 * row["k"] : 4096 * row["k"] + len(own)] = own
-    shared = hashes.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf(BooleanType())
-    def held(h: pd.Series) -> pd.Series:
-        at = h.to_numpy() % FILTER_BITS
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    return held(asked)

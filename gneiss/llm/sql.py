@@ -98,7 +98,7 @@ OP10 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), q AS (
-  SELECT DISTINCT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT DISTINCT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL
 ), qs AS (
   SELECT DISTINCT item_id, text, least(5, len(w)) AS k, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
   FROM (SELECT *, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM q WHERE len(w) > 0)
@@ -112,7 +112,7 @@ WITH d AS (
 ), hits AS (
   SELECT id, ds.doc_id, item_id, text, count(*) AS shared FROM ds JOIN qs USING (k, g) GROUP BY ALL
 )
-SELECT doc_id, item_id, shared, shingles, shared / shingles AS containment FROM hits JOIN n USING (item_id, text) WHERE 10 * shared >= 8 * shingles
+SELECT doc_id, hits.item_id, shared, shingles, shared / shingles AS containment FROM hits JOIN n ON hits.item_id IS NOT DISTINCT FROM n.item_id AND hits.text = n.text WHERE 10 * shared >= 8 * shingles
 """
 
 ORACLE = {"op1_chat_format": OP1, "op3_quality_rules": OP3, "op6_url_filter": OP6, "op10_decontaminate": OP10}

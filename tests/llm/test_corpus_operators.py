@@ -217,20 +217,38 @@ def test_leaks_against_exact_containment(spark):
             at = rng.randint(0, len(own))
             own[at:at] = [w.upper() for w in q]
         docs.append((d, rng.choice([" ", "\n", "  "]).join(own)))
-    docs += [(500, None), (None, items[9][1])]
+    docs += [(500, None), (None, items[9][1]), (501, "V1  v2 z")]
     df = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, leaks string")
     bench = spark.createDataFrame([*items, items[3], (None, "v1 v2"), (77, None)], "item_id long, text string")
-    want = exact_leaks(docs, items)
+    want = exact_leaks(docs, [*items, (None, "v1 v2")])
     got = [(r.doc_id, r.item_id, r.shared, r.shingles) for r in decontaminate.leaked_pairs(df, bench).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) == len(set(got)) and set(got) == want and any(w[1] is None for w in want)
     kept = decontaminate.drop_leaked(df, bench)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in {w[0] for w in want})
     assert decontaminate.drop_leaked(df, bench.limit(0)).count() == len(docs) and decontaminate.leaked_pairs(df.limit(0), bench).count() == 0
-    decontaminate.BLOCK_BYTES, kept_size = 300, decontaminate.BLOCK_BYTES
-    try:
-        assert {(r.doc_id, r.item_id, r.shared, r.shingles) for r in decontaminate.leaked_pairs(df, bench).collect()} == want
-    finally:
-        decontaminate.BLOCK_BYTES = kept_size
+
+
+def test_leaks_of_scattered_items_with_ids_of_strings(spark):
+    rng = random.Random(3)
+    items = [(f"mmlu-{k}", " ".join(f"q{k}x{j}" for j in range(n))) for k, n in enumerate([5, 6, 7, 9, 20, 60, 200] * 3)]
+    docs = []
+    for d in range(200):
+        own = [[f"n{d}y{j}" for j in range(rng.choice([1, 40]))] for _ in range(60)]
+        _, text = items[d % len(items)]
+        q = text.split()
+        grams = [q[k : k + 5] for k in range(len(q) - 4)]
+        rng.shuffle(grams)
+        for g in grams[: round(len(grams) * rng.choice([0.7, 0.8, 0.85, 1]))]:
+            own.insert(rng.randrange(len(own)), g)
+        docs.append((f"d{d}", " ".join(w for part in own for w in part)))
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in docs], "doc_id string, text string, K1 string, gram int, leak_k1 int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = exact_leaks(docs, items)
+    assert 100 < len(want) < 200
+    got = {(r.doc_id, r.item_id, r.shared, r.shingles) for r in decontaminate.leaked_pairs(df, bench).collect()}
+    assert got == want
+    kept = decontaminate.drop_leaked(df, bench)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {w[0] for w in want}
 
 
 def fill(sizes: list[int], weights, most) -> list[float]:
