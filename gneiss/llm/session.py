@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named or LOCAL_SHARED_DIR
 
 
+#: What a Python worker keeps from task to task: one thing at a time.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def only_cache(name: Hashable, make: Callable[[], Any] | None = None) -> Any:
+    """What this worker keeps under name, made where it isn't there; what it keeps under other names is given back, so that the
+    stages of a pipeline don't add up in workers that are used again."""
+    if any(k != name for k in _KEPT):
+        for k in [k for k in _KEPT if k != name]:
+            del _KEPT[k]
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # no glibc: the memory stays with the worker
+            pass
+    if make is None:
+        return None
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from gneiss.llm.components import components
 from gneiss.llm.filters import maybe_in
-from gneiss.llm.session import free_name, small_batches, text_or_empty, written
+from gneiss.llm.session import free_name, only_cache, small_batches, text_or_empty, written
 from gneiss.llm.words import mix, shingles, slices, words
 
 BITS = 64
@@ -21,7 +21,7 @@ SEED = 42
 BLOCK = 1 << 14
 #: Of near copies: words in the shingles that find them and in those that judge them, 32-bit SimHashes that are
 #: searched, 64-bit ones that judge, and the most bits in which those may differ: cos(pi * 90 / 512) = 0.85.
-PAIR, FIVE, TABLES, CHECKS, MOST_BITS = 2, 5, 6, 8, 90
+PAIR, FIVE, TABLES, CHECKS, MOST_BITS = 2, 5, 8, 8, 90
 #: Nodes of one print that are compared as a block, and pairs that are compared at once.
 NODES_IN_BLOCK, PAIRS_AT_ONCE = 256, 1 << 16
 
@@ -165,6 +165,7 @@ def similar_groups(docs: DataFrame, tables: int = TABLES, checks: int = CHECKS,
     given = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache(None)
         for batch in found:
             got = list(text_sketches(batch.column(2), tables, checks))
             nodes = np.array([g[0] for g in got], np.uint64).view(np.int64)
@@ -226,6 +227,7 @@ def linked_tops(nodes: DataFrame, most_bits: int, size: int = NODES_IN_BLOCK) ->
     both = meet.join(full("a"), ["ka", "ba"]).join(full("b"), ["kb", "bb"]).select("ta", "ca", "tb", "cb")
 
     def links(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache(None)
         for batch in found:
             got = near_tops(*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in batch.columns), most_bits)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], ["a", "b"])
@@ -289,18 +291,17 @@ def drop_near_copies(docs: DataFrame, **how: int) -> DataFrame:
     groups = written(similar_groups(docs, **how), "near-groups")
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")
     best = written(groups.groupBy("top").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1"), "near-best")
-    gone = groups.join(best, "top").where(rank != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    gone_id, gone_key, key = (free_name(docs, n) for n in ("gone_id", "gone_key", "near_key"))
+    gone = groups.join(best, "top").where(rank != F.col("best")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
     gone = written(gone, "near-gone")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    key = free_name(docs, "near_key")
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    maybe = maybe_in(gone.select(F.xxhash64("gone_id", "gone_key").alias("h")), F.xxhash64("doc_id", key))
-    found = keyed.where(maybe).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col(key) == F.col("gone_key")), "left_anti")
-    kept = keyed.where(~maybe).unionByName(found)
-    again = docs.groupBy("doc_id", F.xxhash64("text").alias("again_key")).count().where("count > 1").select(F.col("doc_id").alias("again_id"), "again_key")
+    maybe = maybe_in(gone.select(F.xxhash64(gone_id, gone_key).alias("h")), F.xxhash64("doc_id", key))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+    kept = keyed.where(~maybe).unionByName(keyed.where(maybe).join(gone, same, "left_anti"))
+    again = docs.select(F.col("doc_id").alias(gone_id), F.xxhash64("text").alias(gone_key)).groupBy(gone_id, gone_key).count().where("count > 1").drop("count")
     again = written(again, "near-again")
     if again.isEmpty():
         return kept.select(*names)
-    twice = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col(key) == F.col("again_key"))
-    once = kept.join(again, twice, "left_anti").select(*names, key)
-    return once.unionByName(kept.join(again, twice, "left_semi").select(*names, key).dropDuplicates(["doc_id", key])).select(*names)
+    once = kept.join(again, same, "left_anti").select(*names, key)
+    return once.unionByName(kept.join(again, same, "left_semi").select(*names, key).dropDuplicates(["doc_id", key])).select(*names)

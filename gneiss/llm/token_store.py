@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gneiss.llm import rans
-from gneiss.llm.session import new_path, small_batches, text_or_empty, written
+from gneiss.llm.session import new_path, only_cache, small_batches, text_or_empty, written
 
 END_ID = 0
 #: Tokens after which a segment ends with the document it is in.
@@ -192,14 +192,9 @@ def _flat(numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(numbers), np.int64, int(first[-1])), first
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, special: bool) -> Encoder:
     """One for each worker, which keeps its pieces over tasks."""
-    if (path, special) not in _ENCODERS:
-        _ENCODERS[path, special] = Encoder(path, special)
-    return _ENCODERS[path, special]
+    return only_cache(("encoder", path, special), lambda: Encoder(path, special))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = True, segment: int = SEGMENT_TOKENS) -> None:

@@ -66,3 +66,35 @@ def test_blocks_of_one_print(spark):
     nodes = spark.createDataFrame(rows, "node long, prints array<long>, checks array<long>, top long")
     found = simhash.linked_tops(nodes, 90, size=8).collect()
     assert {frozenset((r.a, r.b)) for r in found} == {frozenset((k, k + 60)) for k in range(40)} | {frozenset((40, 100))}
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_by_exact_similarity_does_not_depend_on_other_texts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))
+    pairs = []
+    for _ in range(400):
+        own = [word() for _ in range(rng.randint(80, 300))]
+        copy = list(own)
+        for _ in range(rng.randint(1, max(1, len(own) // 40))):
+            copy[rng.randrange(len(copy))] = word()
+        pairs += [" ".join(own), " ".join(copy)]
+    rows = list(enumerate(pairs)) + [(10_000 + k, t) for k, t in enumerate(crowd(400, 240, 60))]
+    top = {r.doc_id: r.top for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for lo, hi in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [k for k in range(0, 800, 2) if lo <= jaccard(pairs[k], pairs[k + 1]) < hi]
+        assert len(own) > 30 and sum(top[k] == top[k + 1] for k in own) >= 0.9 * len(own), (lo, len(own))
+    assert len({top[k] for k in range(0, 800, 2)}) == 400
+
+
+def test_dropping_near_copies_with_clashing_columns(spark):
+    own = [" ".join(f"{w}{k}" for k in range(60)) for w in "abc"]
+    rows = [(1, own[0]), (2, own[0] + " z"), (2, own[0] + " z"), (3, own[1]), (3, own[1]), (None, own[1]), (4, None), (5, ""), (6, own[2]), (6, own[1] + " y")]
+    names = "doc_id long, text string, gone_id string, again_id string, near_key string, gone_key string, again_key string, node int, top int, h int"
+    df = spark.createDataFrame([(*r, *"vwxyz", k, k, k) for k, r in enumerate(rows)], names)
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
