@@ -21,6 +21,8 @@ from gneiss.llm.words import Words, shingles, slices, words
 SHINGLE = 5
 #: Of a test item's distinct shingles, the share that a document holds at least.
 CONTAINMENT = 0.8
+#: Bits for each item's shingle in the bitmaps, up to their bound: of 8,192 other shingles one passes.
+LOOKUP_BITS = 1 << 13
 _ITEM_COLUMNS = {"gram": "string", "least": "boolean", "shingles": "long", "wanted": "long", "size": "long", "h": "long"}
 
 
@@ -117,7 +119,7 @@ def text_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
     known = written(item_shingles(items, key, item_text, containment), "leak-items")
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # SHINGLE at most
     share = docs.sparkSession.sparkContext.broadcast
-    sketches, every = share(hash_filter(known.where("least").select("h"))), share(hash_filter(known.select("h")))
+    sketches, every = share(hash_filter(known.where("least").select("h"), LOOKUP_BITS)), share(hash_filter(known.select("h"), LOOKUP_BITS))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:

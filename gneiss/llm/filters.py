@@ -7,15 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
-#: Bits for each hash, and the least and the most bits of a bitmap: 128 MB. Beyond, more hashes pass, and the joins behind stay exact.
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 30
+#: The least and the most bits of a bitmap: 128 MB. Beyond, more hashes pass, and the joins behind stay exact.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 _PART = 1 << 15
 
 
-def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """The bitmap of hashes (h), built by partial aggregates; the driver gets its parts only."""
+def hash_filter(hashes: DataFrame, bits_each: int = 64) -> np.ndarray:
+    """The bitmap of hashes (h), of so many bits for each, built by partial aggregates; the driver gets its parts only."""
     n = hashes.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, n) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (bits_each * max(1, n) - 1).bit_length()))
     place = F.pmod(F.col("h"), F.lit(bits)).alias("p")
     parts = hashes.select(place).groupBy(F.expr(f"p div {_PART}").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % _PART).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
