@@ -1,10 +1,14 @@
-"""Chunking: windows as native expressions, and sequential strategies as Arrow-batched functions of one document."""
+"""Chunking: windows, found in one pass over each text in Arrow batches, routing, and chunk ids."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gneiss.functions.text import SPACE, chunk_id
 
@@ -40,25 +44,39 @@ class ChunkConfig:
         return replace(self, strategy=strategy)
 
 
-def _units(text: Column, unit: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*" if unit == "tokens" else "(?s)."), F.lit(0))
+_WINDOW = StructType([StructField("text", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("units", IntegerType())])
+_TOKEN = re.compile(r"\S+")  # of the same white space as SPACE
+
+
+def _cut(text: str, config: ChunkConfig) -> list[tuple[str, int, int, int]]:
+    """The windows of one text, each its own characters from a unit's start to a unit's end, found in one pass over the text."""
+    if config.unit == "tokens":
+        bounds = [m.span() for m in _TOKEN.finditer(text)]
+        starts, ends = [a for a, _ in bounds], [b for _, b in bounds]
+    else:
+        starts, ends = range(len(text)), range(1, len(text) + 1)
+    n, step, out = len(starts), config.size - config.overlap, []
+    for k in range(0, max(0, -(-(n - config.size) // step)) * step + 1 if n else 0, step):
+        a, b = starts[k], ends[min(k + config.size, n) - 1]
+        out.append((text[a:b], a, b, min(n - k, config.size)))
+    return out
 
 
 def with_windows(docs: DataFrame, config: ChunkConfig, text: str, name: str = "windows") -> DataFrame:
     """docs with an array of overlapping windows of a text: structs of text, start, end (code points) and units, each the text's own characters.
 
-    A window ends the text if it reaches its end; no later one begins. The units are found once for each text, and a
-    window's start is the sum of the lengths of the steps before it.
+    A window ends the text if it reaches its end; no later one begins. A null text has none.
     """
-    step, word = config.size - config.overlap, config.unit == "tokens"
-    base = docs.withColumn("_units", _units(F.col(text), config.unit)).withColumn("_lead", F.char_length(F.regexp_extract(text, f"^[{SPACE}]*", 0)) if word else F.lit(0))
-    last = F.greatest(F.lit(0), F.ceil((F.size("_units") - config.size) / step)).cast("int") * step
-    base = base.withColumn("_starts", F.when(F.size("_units") > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>")))
-    base = base.withColumn("_steps", F.transform("_starts", lambda k: F.char_length(F.array_join(F.slice("_units", k + 1, F.lit(step)), ""))))
-    cut = F.transform("_starts", lambda k, n: F.struct(F.array_join(F.slice("_units", k + 1, F.lit(config.size)), "").alias("joined"), (F.col("_lead") + F.aggregate(F.slice("_steps", F.lit(1), n), F.lit(0), lambda x, y: x + y)).alias("start"), F.least(F.size("_units") - k, F.lit(config.size)).alias("units")))
-    base = base.withColumn("_cut", cut).withColumn("_shown", F.transform("_cut", lambda w: F.regexp_replace(w["joined"], f"[{SPACE}]+$", "") if word else w["joined"]))
-    out = F.zip_with("_cut", "_shown", lambda w, t: F.struct(t.alias("text"), w["start"].alias("start"), (w["start"] + F.char_length(t)).alias("end"), w["units"].alias("units")))
-    return base.select(*docs.columns, out.alias(name))
+
+    @F.arrow_udf(ArrayType(_WINDOW))
+    def windows(texts: pa.Array) -> pa.Array:
+        found = [_cut(t, config) if t is not None else [] for t in texts.to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(w) for w in found]))).astype(np.int32)
+        columns = list(zip(*(w for own in found for w in own))) or [[], [], [], []]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.name for f in _WINDOW]))
+
+    return docs.withColumn(name, windows(F.col(text)))
 
 
 def fixed_size(docs: DataFrame, config: ChunkConfig, text: str = "text") -> DataFrame:

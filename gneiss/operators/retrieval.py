@@ -6,42 +6,20 @@ Queries are rows (query_id, query, ...); they are the small, stated side and are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.functions.text import terms, word_tokens
+from gneiss.operators.sparse_index import SparseIndex
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors that are scored in one pass.
 QUERY_BLOCK = 4096
 
 
-@dataclass
-class SparseIndex:
-    """postings (doc_id, term, tf, dl), idf (term, df, idf) and the counts behind them; the counts are of the whole corpus, whatever a search filters."""
-
-    postings: DataFrame
-    idf: DataFrame
-    documents: int
-    average_length: float
-
-
-def build_sparse_index(docs: DataFrame, epsilon: float = EPSILON) -> SparseIndex:
-    """From rows (doc_id, text). idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes epsilon times the mean of all terms' idfs."""
-    worded = docs.select("doc_id", word_tokens(F.col("text")).alias("ts"))
-    n, length = worded.agg(F.count("*"), F.avg(F.size("ts"))).first()
-    postings = worded.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw")).first()[0] if n else None
-    idf = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, idf, n, length or 0.0)
-
-
 def ranked(hits: DataFrame, limit: int, *tie: str, by: str = "score", within: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The first limit rows of each group by falling score, then tie, with their rank from 1."""
     order = Window.partitionBy(*within).orderBy(F.col(by).desc(), *tie)
@@ -77,11 +55,12 @@ def per_department(hits: DataFrame, limit: int, truncate: bool) -> DataFrame:
     return found.where(F.col("rank") <= limit) if truncate else found
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, limit: int | None = None, metric: str = "cosine", lane: str | None = None) -> DataFrame:
+def dense_scores(vectors: DataFrame, queries: DataFrame, limit: int | None = None, metric: str = "cosine", lane: str | None = None, least: float | None = None) -> DataFrame:
     """(query_id, doc_id, score[, lane]) of rows (doc_id, vector) for query rows (query_id, vector), scores rounded to 6 places.
 
     The query vectors are taken in blocks; each batch of vectors is scored by one matrix product, and with limit only
-    its best limit rows of each query (and lane) leave it, so a shuffle carries limit rows a query and batch. Vectors of
+    its best limit rows of each query (and lane) leave it, so a shuffle carries limit rows a query and batch; with least only
+    rows of that score or more. Vectors of
     another length than the queries' raise ValueError; a zero vector's cosine is 0; null vectors are left out.
     """
     if metric not in ("cosine", "dot", "euclid"):
@@ -106,7 +85,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, limit: int | None = Non
                 if v.ndim != 2 or v.shape[1] != q.shape[1]:
                     raise ValueError("the vectors have different lengths")
                 if metric == "euclid":
-                    score = -np.sqrt(((q[:, None, :] - v[None]) ** 2).sum(axis=2))
+                    score = -np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2 * (q @ v.T) + (v * v).sum(axis=1)[None], 0))
                 else:
                     score = q @ v.T
                     if metric == "cosine":
@@ -120,8 +99,9 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, limit: int | None = Non
                     at = np.flatnonzero(lanes == name)
                     n = len(at) if limit is None else min(limit, len(at))
                     for k in range(len(ids)):
-                        best = at[np.lexsort((keys[at], -score[k, at]))[:n]]
-                        qs.append(np.full(n, k))
+                        best = at[np.lexsort((keys[at], -score[k, at]))[:n]] if limit is not None else at
+                        best = best if least is None else best[score[k, best] >= least]
+                        qs.append(np.full(len(best), k))
                         vs.append(best)
                 qs, vs = np.concatenate(qs), np.concatenate(vs)
                 columns = [pa.array(ids[qs]), pa.array(keys[vs]), pa.array(score[qs, vs])]
@@ -179,3 +159,48 @@ def document_ranks(hits: DataFrame, name: str = "filename") -> DataFrame:
     """(query_id, name, rank): each name at its first occurrence, ranked anew; null names are left out."""
     first = hits.where(F.col(name).isNotNull()).groupBy("query_id", name).agg(F.min("rank").alias("first"))
     return first.select("query_id", name, F.row_number().over(Window.partitionBy("query_id").orderBy("first")).alias("rank"))
+
+
+#: Whole words of a query that find the texts that may contain it.
+KEY_WORDS = 8
+
+
+def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the docs (doc_id, text) whose text contains the query's, character for character.
+
+    A query's words but the first and the last are whole words of any text that contains it: the first KEY_WORDS of them are
+    looked up among each text's runs of as many words by their hashes, and what is found is compared. Queries of fewer than three words
+    have none; they are compared with every text, in blocks, within the texts' rows. Null texts contain nothing.
+    """
+    asked = queries.where("query is not null").select("query_id", "query", F.split("query", r"\s+").alias("w"))
+    run = lambda k, n: F.xxhash64(F.array_join(F.slice("w", k, n), " "))
+    keyed = asked.where(F.size("w") > 2).withColumn("n", F.least(F.size("w") - 2, F.lit(KEY_WORDS))).select("query_id", "n", run(2, F.col("n")).alias("key"))
+    worded = docs.where("text is not null").select("doc_id", F.split("text", r"\s+").alias("w"))
+    met = None
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: run(k, F.lit(n)))
+    for n in sorted(r[0] for r in keyed.select("n").distinct().collect()):  # KEY_WORDS at most
+        keys = runs(n)
+        own = worded.select("doc_id", F.explode(keys).alias("key")).join(keyed.where(F.col("n") == n).select("query_id", "key"), "key").select("query_id", "doc_id")
+        met = own if met is None else met.union(own)
+    out = _containing_short(docs, asked.where(F.size("w") <= 2))
+    if met is not None:
+        pairs = met.distinct().join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+        out = out.union(pairs.where(F.contains("text", F.col("query"))).select("query_id", "doc_id"))
+    return out.distinct()
+
+
+def _containing_short(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    given = docs.where("text is not null").select("doc_id", "text")
+    out = docs.sparkSession.createDataFrame([], queries.select("query_id").schema.add("doc_id", given.schema["doc_id"].dataType))
+    block: list[tuple] = []
+
+    def compared(block: list[tuple]) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("query")) for i, q in block])
+        own = given.select("doc_id", F.explode(F.filter(rows, lambda r: F.contains(F.col("text"), r["query"]))).alias("r"))
+        return own.select("r.query_id", "doc_id")
+
+    for row in queries.select("query_id", "query").toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == 256:
+            out, block = out.union(compared(block)), []
+    return out.union(compared(block)) if block else out

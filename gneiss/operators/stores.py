@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType
+
+from gneiss.functions.text import word_tokens
 
 #: Records whose digests one group of a corpus hash joins.
 HASH_GROUP = 4096
 
 
-def ordered_hash(rows: DataFrame, order: str, *parts: str) -> DataFrame:
-    """One row sha256: over the concatenated parts of all rows in order, as one stream; for a corpus of one document or batch.
-
-    The rows are gathered for it; corpus_hash is the form for whole corpora.
-    """
+def ordered_hash(rows: DataFrame, by: str, order: str, *parts: str) -> DataFrame:
+    """(by, sha256): over the concatenated parts of each document's rows in order, as one stream; corpus_hash is the form for whole corpora."""
     joined = F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
     gathered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), joined.alias("s"))))
-    return rows.agg(F.sha2(F.array_join(F.transform(gathered, lambda r: r["s"]), ""), 256).alias("sha256"))
+    return rows.groupBy(by).agg(F.sha2(F.array_join(F.transform(gathered, lambda r: r["s"]), ""), 256).alias("sha256"))
 
 
 def corpus_hash(rows: DataFrame, key: str, *parts: str) -> DataFrame:
@@ -60,10 +60,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-@F.pandas_udf(StringType())
-def point_id(chunk_id: pd.Series) -> pd.Series:
-    """The chunk's UUID of version 5 in the URL namespace."""
-    return chunk_id.map(lambda c: None if c is None else str(uuid.uuid5(uuid.NAMESPACE_URL, c)))
+#: Fixed value: the name space of URLs, of which point ids are UUIDs of version 5.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def point_id(chunk_id: Column) -> Column:
+    """The chunk's UUID of version 5 in the URL name space."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), F.encode(chunk_id, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab"), part(18, 3), F.lit("-"), part(21, 12))
 
 
 def points(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def points(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     n, m, k = chunks.count(), vectors.count(), out.count()
     if not n == m == k:
         raise ValueError(f"{n} chunks, {m} vectors, {k} pairs")
-    return out.withColumn("point_id", point_id("chunk_id"))
+    return out.withColumn("point_id", point_id(F.col("chunk_id")))
 
 
 def up_to_date(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
@@ -83,10 +88,20 @@ def up_to_date(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFra
 
 
 def hashing_embedder(text: Column, dimension: int = 64) -> Column:
-    """The stand-in model: counts of words by hash, of length one; a text without words is all zeros."""
-    from gneiss.functions.text import word_tokens
-
-    words = F.transform(word_tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter(words, lambda w: w == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """The stand-in model: counts of words by their MD5 (its first 32 bits, modulo dimension), of length one; a text without words is all zeros."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def counted(words: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for own in words:
+            vector = np.zeros(dimension)
+            for w in own if own is not None else ():
+                if w not in known:
+                    known[w] = int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dimension
+                vector[known[w]] += 1
+            norm = np.sqrt(vector @ vector)
+            out.append(vector / norm if norm else vector)
+        return pd.Series(out)
+
+    return counted(word_tokens(text))

@@ -10,7 +10,8 @@ NEAR_EMPTY_DOCUMENT, NEAR_EMPTY_PAGE = 50, 10
 LOW_RETENTION, HIGH_EXPANSION = 0.5, 1.2
 STRATEGIES = ("fixed_size", "recursive", "sentence", "paragraph", "page_aware", "structure_aware", "table_aware", "json_aware")
 CHUNK_TYPES = ("text", "table")
-PAYLOAD = ("chunk_id", "document_id", "tenant_id", "department", "text", "source_filename", "source_file_type", "chunk_index", "chunk_type", "strategy", "token_count")
+# The payload fields that a stored point has to have.
+PAYLOAD = ("chunk_id", "document_id", "tenant_id", "department", "content_hash", "source_filename", "source_file_type", "chunk_index", "chunk_type", "strategy", "text")
 
 
 def issue(condition: Column, severity: str, code: str, message: str = "", page: Column | None = None, table: Column | None = None) -> Column:

@@ -143,9 +143,11 @@ def clean_pair_all_issues(spark, sf):
 
 
 def vector_point_issues(spark, sf):
+    """Points of which each sixteenth lacks another payload field, and others repeat, are blank, or have a wrong vector or none."""
     v, n = _t(spark, sf, "embeddings"), F.col("vec_id")
-    text = {c: F.lit("x") for c in V.PAYLOAD} | {"chunk_index": F.lit(0), "token_count": F.lit(1), "chunk_id": F.when(n % 10 == 1, n - 1).otherwise(n).cast("string"), "department": F.when(n % 10 != 2, F.lit("d")), "text": F.when(n % 10 == 3, F.lit(" ")).otherwise(F.lit("x"))}
-    points = v.select(*[c.alias(k) for k, c in text.items()], F.when(n % 10 == 4, F.lit(None)).when(n % 10 == 5, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("vector"))
+    text = {c: F.when(n % 16 != k, F.lit("0" if c == "chunk_index" else "x")) for k, c in enumerate(V.PAYLOAD) if c != "chunk_id"}
+    text |= {"chunk_id": F.when(n % 16 == 11, n - 1).otherwise(n).cast("string"), "text": F.when(n % 16 == V.PAYLOAD.index("text"), None).when(n % 16 == 12, F.lit(" ")).otherwise(F.lit("x"))}
+    points = v.select(*[c.alias(k) for k, c in text.items()], F.when(n % 16 == 13, F.lit(None)).when(n % 16 == 14, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("vector"))
     return V.counts(V.vector_issues(points, 64))
 
 
@@ -178,6 +180,8 @@ _FACTS = " + ".join("(" + " OR ".join(f"contains({_NORM}, '{p}')" for p in g) +
 _OUT = f"""{P._BM25}, {P._TWO}, {P._RELEVANT}, o AS (SELECT query_id, coalesce(bool_or(other.rank <= 3), false) AS had, coalesce(bool_or(sparse.rank <= 3), false) AS has FROM rel LEFT JOIN other USING (query_id, doc_id) LEFT JOIN sparse USING (query_id, doc_id) GROUP BY query_id),
 oc AS (SELECT query_id, CASE WHEN NOT had AND has THEN 'IMPROVED' WHEN had AND NOT has THEN 'REGRESSED' ELSE 'UNCHANGED' END AS outcome FROM o)"""
 _N = lambda x: f"trim(regexp_replace(lower({x}), '[{_S}]+', ' ', 'g'))"
+_EMBEDDED = lambda t, key, x="": f"""{x}wb AS (SELECT {key} AS doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS b FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {t})),
+  {x}v AS (SELECT doc_id, b, count(*)::DOUBLE AS n FROM {x}wb GROUP BY ALL), {x}vn AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM {x}v GROUP BY doc_id)"""
 ORACLE = {
     "judge_parse": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'PARTIALLY_SUPPORTED' WHEN 5 THEN 'UNSUPPORTED' END AS verdict, CASE doc_id % 6 WHEN 2 THEN 'invalid verdict' WHEN 3 THEN 'empty reason' WHEN 4 THEN 'invalid JSON' END AS error FROM documents",
     "claim_verdicts": "SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'A') THEN 'SUPPORTED' WHEN bool_or(l_returnflag IN ('A', 'N')) THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict FROM lineitem GROUP BY l_orderkey",
@@ -208,6 +212,12 @@ ORACLE = {
       i AS (SELECT unnest([CASE WHEN doc_id % 10 = 0 THEN 'DOCUMENT_IDENTITY_MISMATCH' END, CASE WHEN text IS NULL THEN 'INVALID_RAW_TEXT' END, CASE WHEN made IS NULL THEN 'INVALID_CLEAN_TEXT' END, CASE WHEN made_blank THEN 'EMPTY_CLEAN_TEXT' END, CASE WHEN share < 0.5 THEN 'LOW_TEXT_RETENTION' END, CASE WHEN share > 1.2 THEN 'UNEXPECTED_TEXT_EXPANSION' END,
         CASE WHEN doc_id % 6 = 0 THEN 'PAGE_NUMBER_MISMATCH' END, CASE WHEN doc_id % 8 = 0 THEN 'TABLE_COUNT_MISMATCH' END, CASE WHEN doc_id % 11 = 0 THEN 'NO_CLEANING_STEPS_RECORDED' END]) AS code FROM c)
       SELECT CASE WHEN code IN ('NO_CLEANING_STEPS_RECORDED', 'LOW_TEXT_RETENTION', 'UNEXPECTED_TEXT_EXPANSION') THEN 'WARNING' ELSE 'ERROR' END AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY ALL""",
-    "vector_point_issues": """WITH i AS (SELECT unnest(CASE vec_id % 10 WHEN 1 THEN ['DUPLICATE_CHUNK'] WHEN 2 THEN ['MISSING_PAYLOAD_FIELDS'] WHEN 3 THEN ['EMPTY_TEXT'] WHEN 4 THEN ['MISSING_VECTOR'] WHEN 5 THEN ['DIMENSION_MISMATCH'] ELSE [] END) AS code FROM embeddings) SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
+    "vector_point_issues": """WITH i AS (SELECT unnest(CASE WHEN vec_id % 16 BETWEEN 1 AND 9 THEN ['MISSING_PAYLOAD_FIELDS'] WHEN vec_id % 16 = 10 THEN ['MISSING_PAYLOAD_FIELDS', 'EMPTY_TEXT'] WHEN vec_id % 16 = 11 THEN ['DUPLICATE_CHUNK'] WHEN vec_id % 16 = 12 THEN ['EMPTY_TEXT']
+      WHEN vec_id % 16 = 13 THEN ['MISSING_VECTOR'] WHEN vec_id % 16 = 14 THEN ['DIMENSION_MISMATCH'] ELSE [] END) AS code FROM embeddings) SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
+    "point_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS point_id
+      FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR)) AS h FROM documents)""",
+    "hybrid_topk": f"""WITH {P._BM25}, {_EMBEDDED('documents', 'doc_id')}, {_EMBEDDED('benchmark', 'item_id', 'q')}, vs AS (SELECT v.doc_id, qv.doc_id AS query_id, sum(v.n * qv.n) AS dot FROM v JOIN qv USING (b) GROUP BY ALL),
+      sc AS (SELECT query_id, doc_id, round(dot / (vn.norm * qvn.norm), 6) AS score FROM vs JOIN vn USING (doc_id) JOIN qvn ON qvn.doc_id = query_id), other AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10),
+      sparse AS (SELECT query_id, doc_id, rank FROM top), {P._fused('f', 10)} SELECT * FROM f""",
     "cache_entries": "SELECT event_type, count(*) AS n FROM events WHERE ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-02 00:00:00' GROUP BY event_type",
 }

@@ -100,9 +100,7 @@ def corpus_hash(spark, sf):
 
 def embedding_hash(spark, sf):
     """The hash of each document's chunks in order, as an embedding manifest has it."""
-    rows = _chunk_rows(spark, sf).select("doc_id", "chunk_index", F.concat("chunk_id", "chunk_text").alias("s"))
-    gathered = F.array_sort(F.collect_list(F.struct("chunk_index", "s")))
-    return rows.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(gathered, lambda r: r["s"]), ""), 256).alias("sha256"))
+    return stores.ordered_hash(_chunk_rows(spark, sf), "doc_id", "chunk_index", "chunk_id", "chunk_text")
 
 
 def persist_status(spark, sf):

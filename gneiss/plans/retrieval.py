@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gneiss.functions.text import STOP_WORDS
 from gneiss.operators import context as C, evaluation as E, retrieval as R
+from gneiss.operators.sparse_index import sparse_index
+from gneiss.shared import written
 
 LIMIT = 10
 #: The stated set of query vectors: the rows of embeddings whose id this divides, against all rows.
@@ -33,12 +35,12 @@ def _scopes(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_idf(spark, sf):
     """Document frequency and weight of all terms."""
-    index = R.build_sparse_index(_docs(spark, sf))
+    index = sparse_index(_docs(spark, sf))
     return index.idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _sparse(spark, sf, queries=None) -> DataFrame:
-    return R.sparse_scores(R.build_sparse_index(_docs(spark, sf)), _queries(spark, sf) if queries is None else queries)
+    return R.sparse_scores(sparse_index(_docs(spark, sf)), _queries(spark, sf) if queries is None else queries)
 
 
 def bm25_topk(spark, sf):
@@ -75,15 +77,16 @@ def dense_scoped(spark, sf):
 
 
 def score_threshold(spark, sf):
-    return R.dense_scores(_vectors(spark, sf), _asked(spark, sf)).where("score >= 0.5")
+    return R.dense_scores(_vectors(spark, sf), _asked(spark, sf), least=0.5)
 
 
 def _two_lists(spark, sf):
-    """Two rankings of the same documents for one query each: by score, and by text overlap."""
-    sparse = R.ranked(_sparse(spark, sf), LIMIT, "doc_id").select("query_id", "doc_id", "rank")
+    """Two rankings of the same documents: by score, and by score for the root of the text's length; written, since many queries read them more than once."""
+    scores = written(_sparse(spark, sf), "scores")
+    sparse = R.ranked(scores, LIMIT, "doc_id").select("query_id", "doc_id", "rank")
     lengths = _docs(spark, sf).select("doc_id", F.char_length("text").alias("n"))
-    other = R.ranked(_sparse(spark, sf).join(lengths, "doc_id").withColumn("score", F.round(F.col("score") * 100 / F.sqrt(F.col("n") + 1.0), 6)), LIMIT, "doc_id").select("query_id", "doc_id", "rank")
-    return other, sparse
+    other = R.ranked(scores.join(lengths, "doc_id").withColumn("score", F.round(F.col("score") * 100 / F.sqrt(F.col("n") + 1.0), 6)), LIMIT, "doc_id").select("query_id", "doc_id", "rank")
+    return written(other, "ranked"), written(sparse, "ranked")
 
 
 def rrf_fusion(spark, sf):
@@ -103,13 +106,8 @@ def fusion_grid(spark, sf):
 
 
 def _relevant(spark, sf) -> DataFrame:
-    """(query_id, doc_id) of documents that hold the item's text word for word: found by its first eight words, then compared."""
-    key = lambda words: F.array_join(words, " ")
-    q = _queries(spark, sf).withColumn("w", F.split("query", r"\s+")).select("query_id", "query", key(F.slice("w", 1, 8)).alias("key"))
-    d = _docs(spark, sf).withColumn("w", F.split("text", r"\s+"))
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda k: key(F.slice("w", k, F.lit(8))))
-    d = d.select("doc_id", "text", F.explode(F.array_distinct(starts)).alias("key"))
-    return d.join(q, "key").where(F.contains("text", F.col("query"))).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id) of documents that hold the item's text."""
+    return written(R.containing(_docs(spark, sf), _queries(spark, sf)), "relevant")
 
 
 def recall_mrr(spark, sf):
@@ -188,16 +186,17 @@ def query_terms(spark, sf):
 
 QUERIES = {f.__name__: f for f in (bm25_idf, bm25_topk, bm25_scoped, dense_topk, dense_dot, dense_scoped, score_threshold, rrf_fusion, fusion_grid, recall_mrr, retriever_means, failure_taxonomy, rerank_overlap, document_ranks, sources_list, context_budget, context_totals, prompt_blocks, term_overlap_select, memory_window, query_terms)}
 
-_BM25 = r"""d AS (SELECT doc_id, text, source AS tenant_id, lang AS department, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM documents),
+_BM25 = r"""d AS MATERIALIZED (SELECT doc_id, text, source AS tenant_id, lang AS department, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM documents),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS avgdl FROM d),
-post AS (SELECT doc_id, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) GROUP BY ALL),
+post AS MATERIALIZED (SELECT doc_id, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+mean AS (SELECT avg(raw) AS m FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raw, mean),
 q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS term FROM q) GROUP BY ALL),
-scores AS (SELECT * FROM (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN qt USING (term) JOIN idf USING (term), stats GROUP BY ALL) WHERE score <> 0),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10)"""
+scores AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN qt USING (term) JOIN idf USING (term), stats GROUP BY ALL) WHERE score <> 0),
+top AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10)"""
 _TWO = """sparse AS (SELECT query_id, doc_id, rank FROM top),
 other AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score * 100 / sqrt(length(text) + 1.0), 6) AS s2 FROM scores JOIN d USING (doc_id))) WHERE rank <= 10)"""
 _RELEVANT = "rel AS (SELECT DISTINCT query_id, doc_id FROM q, d WHERE contains(d.text, q.query))"
@@ -265,7 +264,7 @@ ORACLE = {
       SELECT query_id, string_agg(u, chr(10) || chr(10) ORDER BY k) AS content FROM b WHERE (top > 0 AND n > 0 AND place <= 3) OR (top = 0 AND first <= 3) GROUP BY query_id""",
     "memory_window": """WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
       t AS (SELECT conv_id, turn, text || nt AS bth, length(text) + length(nt) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM m WHERE role = 'user' AND nr = 'assistant'),
-      f AS (SELECT conv_id, 0::BIGINT AS age, 0::BIGINT AS total, NULL::BIGINT AS turn, NULL AS bth, false AS taken FROM (SELECT DISTINCT conv_id FROM t)
+      f AS (SELECT conv_id, 0::BIGINT AS age, 0::BIGINT AS total, NULL::BIGINT AS turn, NULL::VARCHAR AS bth, false AS taken FROM (SELECT DISTINCT conv_id FROM t)
         UNION ALL SELECT f.conv_id, t.age, CASE WHEN t.size > 0 AND total + t.size <= 1500 THEN total + t.size ELSE total END, t.turn, t.bth, t.size > 0 AND total + t.size <= 1500 FROM f JOIN t ON t.conv_id = f.conv_id AND t.age = f.age + 1 AND t.age <= 5)
       SELECT conv_id AS conversation_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS position, turn AS turn_no, sha256(bth) AS digest FROM f WHERE taken""",
     "query_terms": f"SELECT query_id, string_agg(t, ',' ORDER BY k) AS terms FROM (SELECT query_id, t, min(k) AS k FROM (SELECT item_id AS query_id, unnest({_TERMS('text')}) AS t, generate_subscripts({_TERMS('text')}, 1) AS k FROM benchmark) GROUP BY ALL) GROUP BY query_id",

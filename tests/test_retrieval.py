@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
-from gneiss.operators import context as C, evaluation as E, profiles as P, retrieval as R, stores, tables as A, validation as V
+from gneiss.operators import context as C, evaluation as E, profiles as P, retrieval as R, sparse_index, stores, tables as A, validation as V
 from gneiss.sources import files
 
 
@@ -23,9 +23,9 @@ def arr(*xs):
     return F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
 
 
-def test_bm25_scores(spark):
+def test_bm25_scores(spark, tmp_path):
     docs = spark.createDataFrame([(1, "refund policy policy"), (2, "refund window"), (3, "shipping"), (4, "")], "doc_id long, text string")
-    index = R.build_sparse_index(docs)
+    index = sparse_index.build_sparse_index(docs, str(tmp_path / "index"))
     assert index.documents == 4 and index.average_length == 1.5
     idf = {r.term: r.idf for r in index.idf.collect()}
     assert idf["policy"] == pytest.approx(math.log(3.5) - math.log(1.5)) and idf["refund"] == pytest.approx(0)
@@ -34,6 +34,33 @@ def test_bm25_scores(spark):
     assert [(h.doc_id, h.score) for h in hits] == [(1, pytest.approx(want, abs=1e-6))]
 
 
+def test_sparse_index_is_loaded_for_the_same_corpus_and_checked_against_it(spark, tmp_path):
+    rows = [(1, "a b b"), (2, None), (3, ""), (4, "b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = sparse_index.sparse_index(docs, str(tmp_path))
+    again = sparse_index.sparse_index(docs.orderBy(F.desc("doc_id")), str(tmp_path))
+    assert made.postings.inputFiles() == again.postings.inputFiles() and again.documents == 4 and again.average_length == 5 / 3
+    assert {(r.doc_id, r.dl, r.term, r.tf) for r in made.postings.collect()} == {(1, 3, "a", 1), (1, 3, "b", 2), (4, 2, "b", 1), (4, 2, "c", 1)}
+    path = made.postings.inputFiles()[0].split("/postings")[0]
+    assert sparse_index.sparse_index_issues(docs, path).count() == 0
+    other = spark.createDataFrame([(1, "a b"), (5, "z")], "doc_id long, text string")
+    found = sorted((r.subject, r.code) for r in sparse_index.sparse_index_issues(other, path).collect())
+    assert found == [("1", "LENGTH_MISMATCH"), ("4", "UNKNOWN_DOCUMENT"), ("5", "MISSING_DOCUMENT"), ("manifest", "CORPUS_HASH_MISMATCH"), ("manifest", "DOCUMENT_COUNT_MISMATCH")]
+    assert [r.code for r in sparse_index.sparse_index_issues(docs, str(tmp_path / "none")).collect()] == ["MISSING_MANIFEST"]
+    empty = sparse_index.sparse_index(docs.limit(0), str(tmp_path))
+    assert empty.documents == 0 and empty.postings.count() == 0 and empty.idf.count() == 0
+
+
+def test_containing_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    docs = [(k, "".join(rng.choice(["a", "b ", "cc ", " ", "\n", "dog "]) for _ in range(rng.randint(0, 200)))) for k in range(60)] + [(99, None)]
+    queries = [(k, docs[rng.randrange(60)][1][a : a + n]) for k, (a, n) in enumerate([(rng.randint(0, 40), rng.randint(0, 70)) for _ in range(80)])] + [(200, None), (201, "nowhere to be found at all"), (202, "x")]
+    got = R.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, query string"))
+    assert sorted(map(tuple, got.collect())) == sorted((q, d) for q, own in queries for d, t in docs if own is not None and t is not None and own in t)
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 20, 2)], "query_id long, doc_id long, rank int")
     b = spark.createDataFrame([(1, 20, 1), (1, 30, 2)], "query_id long, doc_id long, rank int")
