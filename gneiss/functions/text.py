@@ -7,7 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # What counts as white space in text (the inside of a character class), and the English stop words and phrases in use.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -56,6 +56,21 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7f]"), _nfkc(text)).otherwise(text)
 
 
+def _composed(value):
+    """NFKC of a string, or of those in nested lists; null stays."""
+    return value if value is None else unicodedata.normalize("NFKC", value) if isinstance(value, str) else [_composed(v) for v in value]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(_composed)
+
+
+@F.pandas_udf(ArrayType(ArrayType(ArrayType(StringType()))))
+def _nfkc_cells(cells: pd.Series) -> pd.Series:
+    return cells.map(_composed)
+
+
 def line_endings(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
@@ -93,6 +108,40 @@ def clean(text: Column, steps: dict | None = None) -> Column:
     return reduce(lambda t, step: step(t), (steps or CLEANING).values(), text)
 
 
+def _clean_composed(text: Column) -> Column:
+    return clean(text, {name: step for name, step in CLEANING.items() if name != "unicode_normalization"})
+
+
+def _any_wide(values: Column) -> Column:
+    return F.to_json(values).rlike(r"[^\x00-\x7f]")
+
+
+def clean_each(texts: Column) -> Column:
+    """An array's texts, cleaned; nulls stay."""
+    return F.transform(F.when(_any_wide(texts), _nfkc_each(texts)).otherwise(texts), _clean_composed)
+
+
+def clean_cells(cells: Column) -> Column:
+    """The cells of an array of tables, each an array of rows, cleaned; nulls stay."""
+    composed = F.when(_any_wide(cells), _nfkc_cells(cells)).otherwise(cells)
+    return F.transform(composed, lambda table: F.transform(table, lambda row: F.transform(row, _clean_composed)))
+
+
+def sorted_numbers(values: Column) -> Column:
+    """Distinct, ascending."""
+    return F.array_sort(F.array_distinct(values))
+
+
+def distinct_texts(values: Column) -> Column:
+    """Those that aren't empty, each once, in their order."""
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, however often and in whatever order."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
 def sentences(text: Column) -> Column:
     """The text cut behind sentence ends that white space follows."""
     return F.split(F.regexp_replace(text, f"([.!?])[{SPACE}]+", "$1\x01"), "\x01")

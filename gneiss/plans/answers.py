@@ -90,6 +90,17 @@ def retrieval_outcomes(spark, sf):
     return _outcomes(spark, sf)
 
 
+def contextualised_hits(spark, sf):
+    """Outcomes of searching each item's first twelve words, and its words from the fifth to the fortieth: whether the second finds what it should in the first three."""
+    words = F.split("query", " ")
+    cut = lambda a, n: P._queries(spark, sf).withColumn("query", F.array_join(F.slice(words, a, n), " "))
+    gathered = lambda queries, name: R.ranked(P._sparse(spark, sf, queries), 3, "doc_id").groupBy("query_id").agg(F.collect_list("doc_id").alias(name))
+    own = P._relevant(spark, sf).groupBy("query_id").agg(F.collect_list("doc_id").alias("expected"))
+    none = F.array().cast("array<bigint>")
+    every = own.join(gathered(cut(1, 12), "before"), "query_id", "left").join(gathered(cut(5, 36), "after"), "query_id", "left")
+    return every.select("query_id", J.retrieval_outcome(F.coalesce("before", none), F.coalesce("after", none), F.col("expected")).alias("outcome"))
+
+
 def retrieval_decision(spark, sf):
     return J.decision(_outcomes(spark, sf))
 
@@ -170,7 +181,7 @@ def hybrid_topk(spark, sf):
     return R.fuse([dense, P.bm25_topk(spark, sf)], 10)
 
 
-QUERIES = {f.__name__: f for f in (judge_parse, claim_verdicts, evidence, judge_prompts, rag_quality, prompt_behaviour, context_retention, retriever_overlap, three_rankings, retrieval_outcomes, retrieval_decision, memory_outcomes, contextualise, history_select, corpus_sync, clean_pair_issues, clean_pair_all_issues, vector_point_issues, cache_entries, point_ids, hybrid_topk)}
+QUERIES = {f.__name__: f for f in (judge_parse, claim_verdicts, evidence, judge_prompts, rag_quality, prompt_behaviour, context_retention, retriever_overlap, three_rankings, retrieval_outcomes, contextualised_hits, retrieval_decision, memory_outcomes, contextualise, history_select, corpus_sync, clean_pair_issues, clean_pair_all_issues, vector_point_issues, cache_entries, point_ids, hybrid_topk)}
 
 _A, _CITES, _NORM, _UNITS, _S = Q._ANSWERS, Q._CITES, Q._NORM, Q._UNITS, T.SPACE
 _COMPLETE = f"""{_UNITS}, f AS (SELECT doc_id, n, contains(u, '[' || source || ']') AS cited, regexp_full_match(trim(u), '(\\s*\\[[^\\[\\]]+\\]\\s*)+') AS alone FROM units WHERE NOT ends_with(trim(u), ':') AND doc_id % 11 <> 0),
@@ -197,6 +208,9 @@ ORACLE = {
     "retriever_overlap": f"WITH {P._BM25}, {P._TWO} SELECT query_id, count(*) AS shared FROM other JOIN sparse USING (query_id, doc_id) GROUP BY query_id",
     "three_rankings": f"WITH {P._BM25}, {P._TWO}, {P._fused('f', 10)}, e AS (SELECT 'other' AS retriever, doc_id FROM other UNION ALL SELECT 'sparse', doc_id FROM sparse UNION ALL SELECT 'fused', doc_id FROM f) SELECT retriever, count(*) AS n, count(DISTINCT doc_id) AS documents FROM e GROUP BY retriever",
     "retrieval_outcomes": f"WITH {_OUT} SELECT * FROM oc",
+    "contextualised_hits": f"""WITH {P._BM25.replace("q AS (SELECT item_id AS query_id, text AS query FROM benchmark)", "q0 AS (SELECT item_id AS query_id, text AS query FROM benchmark), q AS (SELECT query_id * 2 AS query_id, array_to_string(string_split(query, ' ')[1:12], ' ') AS query FROM q0 UNION ALL SELECT query_id * 2 + 1, array_to_string(string_split(query, ' ')[5:40], ' ') FROM q0)")},
+      rel AS (SELECT DISTINCT query_id, doc_id FROM q0, d WHERE contains(d.text, q0.query)), o AS (SELECT query_id, coalesce(bool_or(b.rank <= 3), false) AS had, coalesce(bool_or(a.rank <= 3), false) AS has FROM rel LEFT JOIN (SELECT query_id // 2 AS query_id, doc_id, rank FROM top WHERE query_id % 2 = 0) b USING (query_id, doc_id) LEFT JOIN (SELECT query_id // 2 AS query_id, doc_id, rank FROM top WHERE query_id % 2 = 1) a USING (query_id, doc_id) GROUP BY query_id)
+      SELECT query_id, CASE WHEN NOT had AND has THEN 'IMPROVED' WHEN had AND NOT has THEN 'REGRESSED' ELSE 'UNCHANGED' END AS outcome FROM o""",
     "retrieval_decision": f"WITH {_OUT} SELECT CASE WHEN count(*) FILTER (outcome = 'REGRESSED') > 0 THEN 'regressions' WHEN count(*) FILTER (outcome = 'IMPROVED') > 0 THEN 'improved' ELSE 'no improvement' END AS decision FROM oc",
     "memory_outcomes": f"""WITH {_A}, m AS (SELECT doc_id % 4 = 0 OR doc_id % 11 = 0 AS was, doc_id % 11 = 0 AS now, doc_id % 11 <> 0 AND list_contains({_CITES}, source) AS cited FROM answers)
       SELECT CASE WHEN was AND NOT now AND cited THEN 'IMPROVED' WHEN NOT was AND now THEN 'REGRESSED' ELSE 'UNCHANGED' END AS outcome, count(*) AS n FROM m GROUP BY ALL""",

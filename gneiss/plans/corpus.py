@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gneiss.functions import text as T
 from gneiss.operators import chunking, profiles as P, sequential_chunks as S, stores
 from gneiss.operators.chunking import ChunkConfig
-from gneiss.sources.files import html_columns, ocr_needed, path_parts
+from gneiss.shared import written
+from gneiss.sources.files import html_columns, ocr_needed, parse_files, path_parts
 
 #: What documents get so that each cleaning step has something to do.
 NOISY = "concat('  ', replace(replace(text, '. ', concat('. ', chr(9), chr(13), chr(10), ' ', chr(8203))), ', ', concat(',', chr(10), chr(10), chr(10), chr(1), ' x  ')), ' ', chr(10))"
@@ -36,9 +37,11 @@ def normalised_text(spark, sf):
 
 
 def retention(spark, sf):
-    """Documents whose cleaned noisy text is much shorter or longer than it was."""
+    """The ten documents whose cleaned noisy text is shortest for what it was, and the ten where it is longest."""
     found = _docs(spark, sf).withColumn("raw", F.expr(NOISY)).withColumn("clean", T.clean(F.col("raw")))
-    return found.select("doc_id", F.round(F.char_length("clean") / F.char_length("raw"), 6).alias("share")).orderBy("share", "doc_id").limit(10)
+    found = written(found.select("doc_id", F.round(F.char_length("clean") / F.char_length("raw"), 6).alias("share")), "retention")
+    low, high = found.orderBy("share", "doc_id").limit(10), found.orderBy(F.desc("share"), "doc_id").limit(10)
+    return low.withColumn("end", F.lit("lowest")).union(high.withColumn("end", F.lit("highest")))
 
 
 def cache_keys(spark, sf):
@@ -205,9 +208,10 @@ def html_meta(spark, sf):
 
 
 def csv_rows(spark, sf):
-    """Regions as the text of a parsed CSV."""
-    row = F.concat(F.lit("Row "), F.col("r_regionkey") + 1, F.lit(": "), F.concat_ws(" | ", F.concat(F.lit("key: "), "r_regionkey"), F.concat(F.lit("name: "), "r_name")))
-    return _t(spark, sf, "region").select("r_regionkey", row.alias("line"))
+    """Each nation as a CSV file with a quoted comma and a short row, parsed and rendered."""
+    body = F.concat(F.lit('key,name,"a, b"\n'), F.col("n_nationkey"), F.lit(","), "n_name", F.lit(',"x, y"\n'), F.col("n_regionkey"), F.lit(",z\n"))
+    files = _t(spark, sf, "nation").select(F.concat("n_nationkey", F.lit(".csv")).alias("path"), F.encode(body, "UTF-8").alias("content")).withColumn("length", F.length("content").cast("long"))
+    return parse_files(files).select("path", F.explode(F.split("raw_text", "\n")).alias("line"))
 
 
 def ocr_pages(spark, sf):
@@ -215,9 +219,9 @@ def ocr_pages(spark, sf):
 
 
 def hash_embeddings(spark, sf):
-    """The stand-in embedder's vectors, as the number of places that aren't zero and their length."""
-    v = stores.hashing_embedder(F.col("text"))
-    return _t(spark, sf, "benchmark").select("item_id", F.size(v).alias("dimension"), F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("length"))
+    """The places of the stand-in embedder's vectors of all documents that aren't zero, with their values."""
+    v = _docs(spark, sf).select("doc_id", F.posexplode(stores.hashing_embedder(F.col("text"))).alias("place", "value"))
+    return v.where("value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
 
 
 QUERIES = {
@@ -268,7 +272,7 @@ ORACLE = {
     "clean_text": f"SELECT doc_id, {_CLEAN(_NOISY)} AS clean_text FROM documents",
     "token_stats": f"SELECT doc_id, len(regexp_extract_all(text, '{_TOK}')) AS tokens, length(text) AS characters, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS meaningful, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS words FROM documents",
     "normalised_text": f"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[{_S}]+', ' ', 'g'))) AS digest FROM documents",
-    "retention": f"SELECT doc_id, round(length({_CLEAN('raw')}) / length(raw), 6) AS share FROM (SELECT doc_id, {_NOISY} AS raw FROM documents) ORDER BY share, doc_id LIMIT 10",
+    "retention": f"WITH r AS (SELECT doc_id, round(length({_CLEAN('raw')}) / length(raw), 6) AS share FROM (SELECT doc_id, {_NOISY} AS raw FROM documents)) SELECT *, 'lowest' AS end FROM (FROM r ORDER BY share, doc_id LIMIT 10) UNION ALL SELECT *, 'highest' FROM (FROM r ORDER BY share DESC, doc_id LIMIT 10)",
     "cache_keys": f"SELECT item_id, 'rag:' || sha256('t' || (item_id % 3) || ':finance,hr:' || trim(regexp_replace(lower(text), '[{_S}]+', ' ', 'g'))) AS key FROM benchmark",
     "file_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "paths": "SELECT doc_id, CASE WHEN ok THEN source END AS tenant_id, CASE WHEN ok THEN lang END AS department, CASE WHEN ok THEN substring(sha256(text), 1, 8) END AS content_hash, CASE WHEN ok THEN doc_id || '.txt' END AS file_name FROM (SELECT *, doc_id % 7 <> 0 AS ok FROM documents)",
@@ -287,7 +291,8 @@ ORACLE = {
     "routing_combinations": f"WITH {_PROFILE}, {_ROUTE}, c AS (SELECT doc_id, string_agg(x.s, '+' ORDER BY -x.p, x.s) AS combination FROM r GROUP BY doc_id) SELECT combination, count(*) AS n FROM c GROUP BY combination",
     "json_chunks": "SELECT event_id AS doc_id, k - 1 AS chunk_index, key || ': ' || (props::JSON->key)::VARCHAR AS chunk_text FROM (SELECT event_id, props, unnest(json_keys(props)) AS key, generate_subscripts(json_keys(props), 1) AS k FROM events WHERE trim(props) <> '')",
     "html_meta": "SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language, len(regexp_extract_all(html, '<a ')) AS n_links FROM pages",
-    "csv_rows": "SELECT r_regionkey, 'Row ' || (r_regionkey + 1) || ': key: ' || r_regionkey || ' | name: ' || r_name AS line FROM region",
+    "csv_rows": "SELECT n_nationkey || '.csv' AS path, unnest(['Row 1: key: ' || n_nationkey || ' | name: ' || n_name || ' | a, b: x, y', 'Row 2: key: ' || n_regionkey || ' | name: z | a, b: ']) AS line FROM nation",
     "ocr_pages": "SELECT doc_id, count(*) FILTER (length(regexp_replace(p, '[^\\p{L}\\p{N}]', '', 'g')) < 50) AS pages_for_ocr, count(*) AS pages FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) GROUP BY doc_id",
-    "hash_embeddings": "SELECT item_id, 64 AS dimension, 1.0::DOUBLE AS length FROM benchmark",
+    "hash_embeddings": """WITH w AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS place FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents)), v AS (SELECT doc_id, place, count(*)::DOUBLE AS n FROM w GROUP BY ALL)
+      SELECT doc_id, place::INT AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM v""",
 }

@@ -221,13 +221,6 @@ def faithfulness_score(spark, sf):
     return E.faithfulness(rows)
 
 
-def contextualised_hits(spark, sf):
-    """Queries whose second form finds more or less, counted by outcome."""
-    labels = _t(spark, sf, "labels")
-    outcome = F.when(F.col("toxic") > F.col("quality"), "improved").when(F.col("toxic") < F.col("quality"), "regressed").otherwise("same")
-    return labels.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
 # Validation
 
 
@@ -272,7 +265,7 @@ def quality_by_language(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (agg_count, agg_columns, agg_shape, describe, agg_sum, agg_mean, agg_min, agg_max, top_n, bottom_n, *map(_select, SQL), key_counts, rollup_counts, most_common, duplicate_content, duplicate_ids, latest_version, document_acl, scope_resolution, tool_permissions, catalog_listing, role_lists,
-              stale_points, upserted, pending, semantic_cache, fact_recall, source_recall, citation_validate, citation_completeness, claim_citations, answer_gate, faithfulness_score, contextualised_hits, retrieval_dataset_issues, chunk_issues, embedding_issues, raw_document_status, quality_by_language)
+              stale_points, upserted, pending, semantic_cache, fact_recall, source_recall, citation_validate, citation_completeness, claim_citations, answer_gate, faithfulness_score, retrieval_dataset_issues, chunk_issues, embedding_issues, raw_document_status, quality_by_language)
 }
 
 _DESCRIBE = " UNION ALL ".join(
@@ -324,7 +317,6 @@ ORACLE = {
     "answer_gate": f"WITH {_ANSWERS} SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 OR NOT list_contains({_CITES}, source) THEN 'I do not know based on the provided context.' ELSE answer END) AS digest, doc_id % 11 = 0 AS abstains FROM answers",
     "faithfulness_score": """WITH v AS (SELECT l_orderkey % 500 AS case_id, l_linenumber AS claim_no, CASE WHEN l_returnflag = 'A' THEN 'S' WHEN l_returnflag = 'N' THEN 'P' WHEN l_linenumber = 7 THEN NULL ELSE 'U' END AS v FROM lineitem),
       c AS (SELECT case_id, claim_no, CASE WHEN count(v) > 0 AND count(*) FILTER (v = 'S') = count(v) THEN 1.0 WHEN count(*) FILTER (v IN ('S', 'P')) > 0 THEN 0.5 ELSE 0.0 END AS s FROM v GROUP BY ALL) SELECT case_id, count(*) AS n_claims, round(avg(s), 6) AS faithfulness FROM c GROUP BY case_id""",
-    "contextualised_hits": "SELECT CASE WHEN toxic > quality THEN 'improved' WHEN toxic < quality THEN 'regressed' ELSE 'same' END AS outcome, count(*) AS n FROM labels GROUP BY ALL",
     "retrieval_dataset_issues": """WITH c AS (SELECT item_id AS id, CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN 'same' ELSE text END AS q FROM benchmark), d AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS n FROM c),
       i AS (SELECT unnest([CASE WHEN trim(q) = '' THEN 'EMPTY_QUERY' END, CASE WHEN trim(q) <> '' AND n > 1 THEN 'DUPLICATE_QUERY' END, CASE WHEN id % 5 = 0 THEN 'MISSING_TENANT' END, CASE WHEN id % 4 = 0 THEN 'NO_RELEVANT_DOCUMENTS' ELSE 'UNKNOWN_RELEVANT_DOCUMENT' END]) AS code FROM d)
       SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY code""",

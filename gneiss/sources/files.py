@@ -254,8 +254,12 @@ def _parsed(path: str, content: bytes, parsers: Parsers) -> dict:
 
 
 def read_documents(spark: SparkSession, folder: str, parsers: Parsers = PARSERS) -> DataFrame:
-    """RAW_SCHEMA rows of a folder's files, read through Spark's file systems. A file that can't be parsed has its error and no text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """RAW_SCHEMA rows of a folder's files, read through Spark's file systems (parse_files)."""
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), parsers)
+
+
+def parse_files(files: DataFrame, parsers: Parsers = PARSERS) -> DataFrame:
+    """RAW_SCHEMA rows of files (path, length, content). A file that can't be parsed has its error and no text."""
     given = files.select("path", "length", F.sha2("content", 256).alias("hash"), "content")
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("table_id", pa.string()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))])), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string()]
 
