@@ -115,13 +115,11 @@ def new_uploads(found: DataFrame, catalog: DataFrame) -> DataFrame:
 
     found (path, tenant_id, content_hash), catalog (tenant_id, content_hash); of equal contents in one batch the first path is created.
     """
-    from pyspark.sql import Window
-
     known = catalog.select("tenant_id", "content_hash").distinct().withColumn("there", F.lit(True))
-    joined = found.join(known, ["tenant_id", "content_hash"], "left")
-    nth = F.row_number().over(Window.partitionBy("tenant_id", "content_hash").orderBy(F.col("department").isNull(), "path"))
-    outcome = F.when(F.col("department").isNull(), "ignored").when(F.col("there") | (F.col("nth") > 1), "skipped").otherwise("created")
-    return joined.withColumn("nth", nth).select("path", "tenant_id", "department", "content_hash", outcome.alias("outcome"))
+    first = found.groupBy("tenant_id", "content_hash").agg(F.min(F.struct(F.col("department").isNull().alias("lost"), "path")).alias("first"))
+    joined = found.join(known, ["tenant_id", "content_hash"], "left").join(first, ["tenant_id", "content_hash"], "left")
+    outcome = F.when(F.col("department").isNull(), "ignored").when(F.coalesce("there", F.lit(False)) | (F.col("path") != F.col("first.path")), "skipped").otherwise("created")
+    return joined.select("path", "tenant_id", "department", "content_hash", outcome.alias("outcome"))
 
 
 def department_of(path: Column, departments: tuple[str, ...]) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from gneiss.shared import written
+
 OPERATIONS = ("count", "columns", "shape", "describe", "sum", "mean", "min", "max", "top_n", "bottom_n")
 ADMIN_ROLES = ("admin", "knowledge_admin")
 
@@ -56,14 +58,32 @@ def analyse(df: DataFrame, operation: str, column: str | None = None, n: int = 5
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max) of the numeric columns; quartiles are exact, between ranks by line."""
+    """(column, count, mean, std, min, p25, p50, p75, max) of the numeric columns; quartiles are exact, between ranks by line.
+
+    Values are counted, dealt to ranges by column and value, and numbered within their range; a range's first rank is the sum of the
+    ranges before it, of which there are as many as shuffle partitions. So no task holds a column, and a value that repeats is one row.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _number(c).alias("v")) for c in names])).alias("x")).select("x.column", "x.v")
-    quartiles = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), quartiles.alias("q"), F.max("v").alias("max"))
-    return out.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    figures = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    counted = long.where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
+    dealt = written(counted.repartitionByRange("column", "v").withColumn("part", F.spark_partition_id()), "describe")
+    parts = dealt.groupBy("column", "part").agg(F.sum("n").alias("whole"))
+    before = Window.partitionBy("column").orderBy("part")
+    parts = parts.select("column", "part", (F.sum("whole").over(before) - F.col("whole")).alias("before"), F.sum("whole").over(Window.partitionBy("column")).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("column", "part").orderBy("v"))
+    ranked = dealt.withColumn("upto", upto).join(parts, ["column", "part"]).withColumn("last", F.col("before") + F.col("upto") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    out = []
+    for name, share in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        place = F.lit(share) * (F.col("total") - 1)
+        at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("v")))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        out.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high).alias(name))
+    quartiles = ranked.groupBy("column").agg(*out)
+    return figures.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def select_only(spark: SparkSession, query: str) -> DataFrame:
@@ -100,6 +120,12 @@ def visible(documents: DataFrame, users: DataFrame) -> DataFrame:
     return found.select("user_id", *documents.columns)
 
 
+def visible_counts(documents: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, n) of users that may read any documents: as many as visible gives, counted by tenant and department before the users are joined."""
+    counted = documents.groupBy("tenant_id", "department").agg(F.count("*").alias("n"))
+    return visible(counted, users).groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
 def latest(versions: DataFrame, keys: list[str], version: str, *tie: str) -> DataFrame:
     """The row of each key with the highest version."""
     order = Window.partitionBy(*keys).orderBy(F.col(version).desc(), *tie)
@@ -122,9 +148,9 @@ def not_yet(found: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shared_content(documents: DataFrame, digest: str, path: str) -> DataFrame:
-    """(digest, n, paths) of contents that more than one path has."""
-    out = documents.groupBy(digest).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.col(path).cast("string"))), ",").alias("paths"))
-    return out.where("n > 1")
+    """(digest, path, n): every path of a content that more than one has, n being their number. A content's paths are never gathered."""
+    counts = documents.groupBy(digest).agg(F.count("*").alias("n")).where("n > 1")
+    return documents.select(digest, path).join(counts, digest)
 
 
 def cached_answers(queries: DataFrame, cache: DataFrame, scores: DataFrame, top: int = 10, least: float = 0.8) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gneiss.functions.text import SPACE
 from gneiss.operators import evaluation as E, tables as A, validation as V
+from gneiss.plans.corpus import _CHUNKS, _chunk_rows
 
 RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 FACTS = [["the", "zzz"], ["thtion"], ["qqqq"], []]
@@ -125,7 +126,7 @@ def document_acl(spark, sf):
     """How many documents each user may read."""
     docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("tenant_id"), F.col("lang").alias("department"))
     users = _users(spark, sf).withColumn("tenant_id", F.concat(F.lit("src"), F.expr("user_id div 10") % 20))
-    return A.visible(docs, users).groupBy("user_id").agg(F.count("*").alias("n"))
+    return A.visible_counts(docs, users)
 
 
 def scope_resolution(spark, sf):
@@ -231,8 +232,6 @@ def retrieval_dataset_issues(spark, sf):
 
 
 def chunk_issues(spark, sf):
-    from gneiss.plans.corpus import _chunk_rows
-
     n = F.col("doc_id")
     rows = _chunk_rows(spark, sf).withColumns({
         "expected_document_id": F.when(n % 10 == 0, F.lit("other")).otherwise(F.col("document_id")), "expected_tenant_id": F.col("tenant_id"), "chunk_type": F.when(n % 13 == 0, F.lit("image")).otherwise(F.lit("text")),
@@ -294,7 +293,7 @@ ORACLE = {
     "key_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "rollup_counts": "SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)",
     "most_common": "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 10",
-    "duplicate_content": "SELECT sha256(text) AS digest, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS paths FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_content": "SELECT digest, doc_id, n FROM (SELECT doc_id, sha256(text) AS digest, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1",
     "duplicate_ids": "SELECT source, lang, n_chars, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1",
     "latest_version": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1",
     "document_acl": f"WITH {_USERS} SELECT user_id, count(*) AS n FROM us JOIN documents ON source = tenant_id AND (role = 'admin' OR lang = department) GROUP BY user_id",
@@ -320,6 +319,8 @@ ORACLE = {
     "retrieval_dataset_issues": """WITH c AS (SELECT item_id AS id, CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN 'same' ELSE text END AS q FROM benchmark), d AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS n FROM c),
       i AS (SELECT unnest([CASE WHEN trim(q) = '' THEN 'EMPTY_QUERY' END, CASE WHEN trim(q) <> '' AND n > 1 THEN 'DUPLICATE_QUERY' END, CASE WHEN id % 5 = 0 THEN 'MISSING_TENANT' END, CASE WHEN id % 4 = 0 THEN 'NO_RELEVANT_DOCUMENTS' ELSE 'UNKNOWN_RELEVANT_DOCUMENT' END]) AS code FROM d)
       SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY code""",
+    "chunk_issues": f"""WITH {_CHUNKS}, c2 AS (SELECT doc_id, units, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS nth FROM ch), i AS (SELECT unnest([CASE WHEN doc_id % 10 = 0 THEN 'DOCUMENT_ID_MISMATCH' END, CASE WHEN doc_id % 13 = 0 THEN 'UNKNOWN_CHUNK_TYPE' END,
+      CASE WHEN doc_id % 17 = 0 THEN 'NEGATIVE_CHUNK_INDEX' END, CASE WHEN doc_id % 17 = 0 AND nth > 1 THEN 'DUPLICATE_STRATEGY_INDEX' END, CASE WHEN doc_id % 19 = 0 THEN 'EMPTY_CHUNK_TEXT' END, CASE WHEN units > 500 THEN 'OVERSIZED_CHUNK' END]) AS code FROM c2) SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY ALL""",
     "embedding_issues": """WITH n AS (SELECT label % 5 AS m FROM embeddings), i AS (SELECT unnest(CASE m WHEN 1 THEN ['UNKNOWN_CHUNK'] WHEN 2 THEN ['MISSING_EMBEDDING'] WHEN 3 THEN ['DIMENSION_MISMATCH'] WHEN 4 THEN ['DIMENSION_MISMATCH', 'NON_FINITE_VECTOR'] ELSE [] END) AS code FROM n)
       SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
     "raw_document_status": """WITH n AS (SELECT doc_id AS n, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS m, CASE WHEN doc_id % 8 = 0 THEN 5 ELSE length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) END AS raw FROM documents)

@@ -313,6 +313,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if suffix == ".csv":
         return spark.read.csv(path, header=True, inferSchema=True)
     if suffix in (".xlsx", ".xls"):
-        first = read_documents(spark, path).select(F.col("tables")[0].alias("t")).first()["t"]
-        return spark.createDataFrame([tuple(r) for r in first["rows"]], ", ".join(f"`{h}` string" for h in first["headers"]))
+        table = read_documents(spark, path).select(F.get("tables", F.lit(0)).alias("t"))
+        headers = table.select("t.headers").first()["headers"]
+        return table.select(F.explode("t.rows").alias("r")).select(*[F.get("r", F.lit(k)).alias(h) for k, h in enumerate(headers)])
     raise UnsupportedOperationError(f"{suffix or path!r} isn't a table file")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gneiss.functions.text import clean
 from gneiss.operators.chunking import ChunkConfig, fixed_size, with_chunk_ids
 from gneiss.operators.stores import write_partitions
+from gneiss.shared import written
 
+#: Folders of the store.
+BUCKETS = 64
 DOCUMENT = "doc_id long, tenant_id string, department string, text string"
 
 
@@ -19,13 +23,21 @@ def chunk_stream(docs: DataFrame, config: ChunkConfig) -> DataFrame:
 
 
 def ingest(spark: SparkSession, source: str, store: str, checkpoint: str, config: ChunkConfig) -> StreamingQuery:
-    """Reads new Parquet files of DOCUMENT rows in source and replaces the partitions of their documents in store.
+    """Reads new Parquet files of DOCUMENT rows in source and puts their chunks in the place of the documents' former ones in store.
 
-    A batch that is run again after a failure writes the same partitions, so each document's chunks are there once.
+    The store has BUCKETS folders of documents by hash; a batch rewrites the buckets of its documents. One that is run again
+    after a failure writes the same buckets, so each document's chunks are there once.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        write_partitions(batch, store, "doc_id")
+        fresh = written(batch.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")), "ingest")
+        try:
+            stored = spark.read.schema(fresh.schema).parquet(store)
+        except AnalysisException:  # the first batch
+            stored = fresh.limit(0)
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+        kept = stored.where(F.col("bucket").isin(touched)).join(fresh.select("doc_id").distinct(), "doc_id", "left_anti")
+        write_partitions(written(kept.select(*fresh.columns).unionByName(fresh), "ingest"), store, "bucket")
 
     stream = spark.readStream.schema(DOCUMENT).parquet(source)
     return chunk_stream(stream, config).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
