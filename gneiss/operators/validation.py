@@ -113,7 +113,7 @@ def clean_issues(pairs: DataFrame) -> DataFrame:
 
 
 def chunk_issues(chunks: DataFrame, size: int) -> DataFrame:
-    """From rows (chunk_id, document_id, expected_document_id, tenant_id, expected_tenant_id, strategy, chunk_type, chunk_index, chunk_text, token_count, page_numbers, section_path); the second and later rows of an id or place are duplicates."""
+    """From rows (chunk_id, document_id, tenant_id, department, content_hash, each but the first with an expected_ one, strategy, chunk_type, chunk_index, chunk_text, token_count, page_numbers, table_ids, section_path); the second and later rows of an id or place are duplicates."""
     nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("document_id", "strategy", "chunk_index", "chunk_text"))
     known = chunks.withColumns({"n_id": nth("chunk_id"), "n_local": nth("document_id", "chunk_id"), "n_place": nth("document_id", "strategy", "chunk_index")})
     return issues(
@@ -122,8 +122,10 @@ def chunk_issues(chunks: DataFrame, size: int) -> DataFrame:
         issue(F.col("n_local") > 1, "ERROR", "DUPLICATE_LOCAL_CHUNK_ID"),
         issue(F.col("n_id") > 1, "ERROR", "DUPLICATE_GLOBAL_CHUNK_ID"),
         issue(F.col("n_place") > 1, "ERROR", "DUPLICATE_STRATEGY_INDEX"),
-        issue(F.col("document_id") != F.col("expected_document_id"), "ERROR", "DOCUMENT_ID_MISMATCH"),
-        issue(F.col("tenant_id") != F.col("expected_tenant_id"), "ERROR", "TENANT_ID_MISMATCH"),
+        issue(F.col("document_id") != F.col("expected_document_id"), "ERROR", "CHUNK_DOCUMENT_MISMATCH"),
+        issue(F.col("tenant_id") != F.col("expected_tenant_id"), "ERROR", "CHUNK_TENANT_MISMATCH"),
+        issue(F.col("department") != F.col("expected_department"), "ERROR", "CHUNK_DEPARTMENT_MISMATCH"),
+        issue(F.col("content_hash") != F.col("expected_content_hash"), "ERROR", "CHUNK_CONTENT_HASH_MISMATCH"),
         issue(~F.col("strategy").isin(*STRATEGIES), "ERROR", "UNKNOWN_STRATEGY"),
         issue(~F.col("chunk_type").isin(*CHUNK_TYPES), "ERROR", "UNKNOWN_CHUNK_TYPE"),
         issue(blank(F.col("chunk_text")), "ERROR", "EMPTY_CHUNK_TEXT"),
@@ -131,10 +133,59 @@ def chunk_issues(chunks: DataFrame, size: int) -> DataFrame:
         issue(F.col("token_count") > size, "ERROR", "OVERSIZED_CHUNK"),
         issue(F.col("chunk_index") < 0, "ERROR", "NEGATIVE_CHUNK_INDEX"),
         issue((F.col("strategy") == "page_aware") & (F.size("page_numbers") == 0), "ERROR", "MISSING_PAGE_PROVENANCE"),
+        issue((F.col("strategy") == "table_aware") & (F.size("table_ids") == 0), "ERROR", "MISSING_TABLE_PROVENANCE"),
         issue((F.col("strategy") == "structure_aware") & (F.size("section_path") == 0), "WARNING", "MISSING_SECTION_PROVENANCE"),
     )
 
 
+def layout_issues(files: DataFrame, parts: Column) -> DataFrame:
+    """Issues of chunk files (path, tenant_id, department, content_hash) whose path (parts: as path_parts gives them) names something else, or isn't laid out so."""
+    own = files.withColumn("_p", parts)
+    return issues(
+        own, "path",
+        issue(F.col("_p.tenant_id").isNull(), "ERROR", "INVALID_DIRECTORY_LAYOUT"),
+        issue(F.col("_p.tenant_id") != F.col("tenant_id"), "ERROR", "TENANT_PATH_MISMATCH"),
+        issue(F.col("_p.department") != F.col("department"), "ERROR", "DEPARTMENT_PATH_MISMATCH"),
+        issue(F.col("_p.content_hash") != F.col("content_hash"), "ERROR", "CONTENT_HASH_PATH_MISMATCH"),
+    )
+
+
+def manifest_issues(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Issues of manifests (document_id, chunks, by_strategy, by_type: maps of counts) against chunks (document_id, strategy, chunk_type)."""
+    gathered = lambda name: chunks.groupBy("document_id", name).agg(F.count("*").alias("n")).groupBy("document_id").agg(F.sum("n").alias(f"{name}_n"), F.array_sort(F.collect_list(F.struct(name, "n"))).alias(f"{name}_own"))  # noqa: E731 - of a fixed number of names
+    listed = lambda name: F.array_sort(F.transform(F.map_entries(name), lambda e: F.struct(e["key"].alias("k"), e["value"].cast("long").alias("n"))))
+    plain = lambda name, own: F.transform(own, lambda e: F.struct(e[name].alias("k"), e["n"].alias("n")))
+    both = manifests.join(gathered("strategy").join(gathered("chunk_type"), "document_id"), "document_id", "full")
+    names = lambda found: F.transform(found, lambda e: e["k"])
+    s, t = plain("strategy", F.col("strategy_own")), plain("chunk_type", F.col("chunk_type_own"))
+    return issues(
+        both, "document_id",
+        issue(F.col("strategy_n").isNull(), "ERROR", "MISSING_CHUNKS"),
+        issue(F.col("chunks").isNull(), "ERROR", "MISSING_MANIFEST"),
+        issue(F.col("chunks") != F.col("strategy_n"), "ERROR", "MANIFEST_CHUNK_COUNT_MISMATCH"),
+        issue(names(listed("by_strategy")) != names(s), "ERROR", "MANIFEST_STRATEGY_SET_MISMATCH"),
+        issue((names(listed("by_strategy")) == names(s)) & (listed("by_strategy") != s), "ERROR", "STRATEGY_COUNT_MISMATCH"),
+        issue(listed("by_type") != t, "ERROR", "CHUNK_TYPE_COUNT_MISMATCH"),
+    )
+
+
+def embedding_file_issues(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Issues by document of vectors (document_id, position, chunk_id, model_name, embedding_version) against chunks (document_id, position, chunk_id): the file, the count, the order of ids, one model and version."""
+    pairs = chunks.select("document_id", "position", F.col("chunk_id").alias("wanted")).join(vectors, ["document_id", "position"], "full")
+    each = pairs.groupBy("document_id").agg(
+        F.count("wanted").alias("n"), F.count("chunk_id").alias("m"), F.count_if(F.col("wanted") != F.col("chunk_id")).alias("moved"),
+        (F.min("model_name") != F.max("model_name")).alias("models"), (F.min("embedding_version") != F.max("embedding_version")).alias("versions"),
+    )
+    return issues(
+        each, "document_id",
+        issue((F.col("m") == 0) & (F.col("n") > 0), "ERROR", "MISSING_EMBEDDING_FILE"),
+        issue((F.col("m") > 0) & (F.col("m") != F.col("n")), "ERROR", "EMBEDDING_COUNT_MISMATCH"),
+        issue(F.col("moved") > 0, "ERROR", "CHUNK_ORDER_MISMATCH"),
+        issue(F.col("models"), "ERROR", "MODEL_NOT_CONSTANT"),
+        issue(F.col("versions"), "ERROR", "VERSION_NOT_CONSTANT"),
+    )
+
+
 def embedding_issues(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
     """From chunks (chunk_id) and vectors (chunk_id, vector): missing, unknown, repeated, empty, of another dimension, not finite."""
     own = vectors.withColumn("n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.size("vector"))))

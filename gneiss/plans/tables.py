@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gneiss.functions.text import SPACE
-from gneiss.operators import evaluation as E, tables as A, validation as V
+from gneiss.operators import evaluation as E, lifecycle, tables as A, validation as V
 from gneiss.plans.corpus import _CHUNKS, _chunk_rows
+from gneiss.sources.files import path_parts
 
 RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 FACTS = [["the", "zzz"], ["thtion"], ["qqqq"], []]
@@ -233,12 +234,42 @@ def retrieval_dataset_issues(spark, sf):
 
 def chunk_issues(spark, sf):
     n = F.col("doc_id")
+    none = F.array().cast("array<string>")
     rows = _chunk_rows(spark, sf).withColumns({
-        "expected_document_id": F.when(n % 10 == 0, F.lit("other")).otherwise(F.col("document_id")), "expected_tenant_id": F.col("tenant_id"), "chunk_type": F.when(n % 13 == 0, F.lit("image")).otherwise(F.lit("text")),
-        "chunk_index": F.when(n % 17 == 0, F.lit(-1)).otherwise(F.col("chunk_index")), "page_numbers": F.array().cast("array<int>"), "section_path": F.array().cast("array<string>"), "chunk_text": F.when(n % 19 == 0, F.lit(" ")).otherwise(F.col("chunk_text"))})
+        "expected_document_id": F.when(n % 10 == 0, F.lit("other")).otherwise(F.col("document_id")), "expected_tenant_id": F.when(n % 23 == 0, F.lit("other")).otherwise(F.col("tenant_id")), "expected_department": F.when(n % 29 == 0, F.lit("other")).otherwise(F.col("department")),
+        "expected_content_hash": F.when(n % 31 == 0, F.lit("other")).otherwise(F.col("content_hash")), "chunk_type": F.when(n % 13 == 0, F.lit("image")).otherwise(F.lit("text")), "strategy": F.when(n % 37 == 0, F.lit("table_aware")).when(n % 37 == 1, F.lit("page_aware")).otherwise(F.col("strategy")),
+        "chunk_index": F.when(n % 17 == 0, F.lit(-1)).otherwise(F.col("chunk_index")), "page_numbers": F.array().cast("array<int>"), "table_ids": none, "section_path": none, "chunk_text": F.when(n % 19 == 0, F.lit(" ")).otherwise(F.col("chunk_text"))})
     return V.counts(V.chunk_issues(rows, 500))
 
 
+def chunk_layout_issues(spark, sf):
+    """Chunk files of whose paths some are of another tenant, department or content, or not laid out as they should be."""
+    n = F.col("doc_id")
+    files = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("tenant_id"), F.col("lang").alias("department"), F.sha2("text", 256).alias("content_hash"))
+    part = lambda k, c: F.when(n % 10 == k, F.lit("x")).otherwise(F.col(c))
+    path = F.concat(F.lit("original/"), part(1, "tenant_id"), F.lit("/"), part(2, "department"), F.when(n % 10 == 4, F.lit("/y/z/")).otherwise(F.lit("/")), part(3, "content_hash"), F.lit("/"), n, F.lit(".jsonl"))
+    return V.counts(V.layout_issues(files.withColumn("path", path), path_parts(F.col("path"))))
+
+
+def chunk_manifest_issues(spark, sf):
+    """Manifests of which some are gone, or count chunks, strategies or types otherwise than the chunks do."""
+    rows = _chunk_rows(spark, sf).select("doc_id", "document_id", "strategy", F.when(F.col("chunk_index") == 0, "text").otherwise("table").alias("chunk_type"))
+    n = F.col("document_id").cast("long")
+    made = lifecycle.manifest_by_type(rows.select("document_id", "strategy", "chunk_type")).withColumns({
+        "chunks": F.when(n % 7 == 1, F.col("chunks") + 1).otherwise(F.col("chunks")), "by_strategy": F.when(n % 7 == 2, F.create_map(F.lit("recursive"), F.col("chunks"))).when(n % 7 == 3, F.create_map(F.lit("fixed_size"), F.col("chunks") + 2)).otherwise(F.col("by_strategy")),
+        "by_type": F.when(n % 7 == 4, F.create_map(F.lit("text"), F.col("chunks") + 9)).otherwise(F.col("by_type"))})
+    return V.counts(V.manifest_issues(made.where(n % 7 != 0), rows.where("doc_id % 7 <> 5")))
+
+
+def embedding_file_issues(spark, sf):
+    """Each document's chunks against vectors of which some are gone, out of order, or of another model or version."""
+    rows = _chunk_rows(spark, sf).select("doc_id", "document_id", F.col("chunk_index").alias("position"), "chunk_id")
+    n, first = F.col("doc_id"), F.col("position") == 0
+    vectors = rows.where("not (doc_id % 8 = 1) and not (doc_id % 8 = 2 and position = 1)").select(
+        "document_id", "position", F.when((n % 8 == 3) & first, F.lit("moved")).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when((n % 8 == 4) & first, F.lit("b")).otherwise(F.lit("a")).alias("model_name"), F.when((n % 8 == 5) & first, F.lit("2")).otherwise(F.lit("1")).alias("embedding_version"))
+    return V.counts(V.embedding_file_issues(rows, vectors))
+
+
 def embedding_issues(spark, sf):
     v = _t(spark, sf, "embeddings")
     chunks = v.where("label % 5 <> 1").select(F.col("vec_id").cast("string").alias("chunk_id"))
@@ -264,7 +295,7 @@ def quality_by_language(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (agg_count, agg_columns, agg_shape, describe, agg_sum, agg_mean, agg_min, agg_max, top_n, bottom_n, *map(_select, SQL), key_counts, rollup_counts, most_common, duplicate_content, duplicate_ids, latest_version, document_acl, scope_resolution, tool_permissions, catalog_listing, role_lists,
-              stale_points, upserted, pending, semantic_cache, fact_recall, source_recall, citation_validate, citation_completeness, claim_citations, answer_gate, faithfulness_score, retrieval_dataset_issues, chunk_issues, embedding_issues, raw_document_status, quality_by_language)
+              stale_points, upserted, pending, semantic_cache, fact_recall, source_recall, citation_validate, citation_completeness, claim_citations, answer_gate, faithfulness_score, retrieval_dataset_issues, chunk_issues, chunk_layout_issues, chunk_manifest_issues, embedding_file_issues, embedding_issues, raw_document_status, quality_by_language)
 }
 
 _DESCRIBE = " UNION ALL ".join(
@@ -319,8 +350,14 @@ ORACLE = {
     "retrieval_dataset_issues": """WITH c AS (SELECT item_id AS id, CASE WHEN item_id % 9 = 0 THEN ' ' WHEN item_id % 7 = 0 THEN 'same' ELSE text END AS q FROM benchmark), d AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY id) AS n FROM c),
       i AS (SELECT unnest([CASE WHEN trim(q) = '' THEN 'EMPTY_QUERY' END, CASE WHEN trim(q) <> '' AND n > 1 THEN 'DUPLICATE_QUERY' END, CASE WHEN id % 5 = 0 THEN 'MISSING_TENANT' END, CASE WHEN id % 4 = 0 THEN 'NO_RELEVANT_DOCUMENTS' ELSE 'UNKNOWN_RELEVANT_DOCUMENT' END]) AS code FROM d)
       SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY code""",
-    "chunk_issues": f"""WITH {_CHUNKS}, c2 AS (SELECT doc_id, units, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS nth FROM ch), i AS (SELECT unnest([CASE WHEN doc_id % 10 = 0 THEN 'DOCUMENT_ID_MISMATCH' END, CASE WHEN doc_id % 13 = 0 THEN 'UNKNOWN_CHUNK_TYPE' END,
+    "chunk_issues": f"""WITH {_CHUNKS}, c2 AS (SELECT doc_id, units, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS nth FROM ch), i AS (SELECT unnest([CASE WHEN doc_id % 10 = 0 THEN 'CHUNK_DOCUMENT_MISMATCH' END, CASE WHEN doc_id % 23 = 0 THEN 'CHUNK_TENANT_MISMATCH' END, CASE WHEN doc_id % 29 = 0 THEN 'CHUNK_DEPARTMENT_MISMATCH' END,
+      CASE WHEN doc_id % 31 = 0 THEN 'CHUNK_CONTENT_HASH_MISMATCH' END, CASE doc_id % 37 WHEN 0 THEN 'MISSING_TABLE_PROVENANCE' WHEN 1 THEN 'MISSING_PAGE_PROVENANCE' END, CASE WHEN doc_id % 13 = 0 THEN 'UNKNOWN_CHUNK_TYPE' END,
       CASE WHEN doc_id % 17 = 0 THEN 'NEGATIVE_CHUNK_INDEX' END, CASE WHEN doc_id % 17 = 0 AND nth > 1 THEN 'DUPLICATE_STRATEGY_INDEX' END, CASE WHEN doc_id % 19 = 0 THEN 'EMPTY_CHUNK_TEXT' END, CASE WHEN units > 500 THEN 'OVERSIZED_CHUNK' END]) AS code FROM c2) SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY ALL""",
+    "chunk_layout_issues": "SELECT 'ERROR' AS severity, ['TENANT_PATH_MISMATCH', 'DEPARTMENT_PATH_MISMATCH', 'CONTENT_HASH_PATH_MISMATCH', 'INVALID_DIRECTORY_LAYOUT'][doc_id % 10] AS code, count(*) AS n FROM documents WHERE doc_id % 10 BETWEEN 1 AND 4 GROUP BY ALL",
+    "chunk_manifest_issues": f"""WITH {_CHUNKS}, own AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id), i AS (SELECT unnest(CASE doc_id % 7 WHEN 0 THEN ['MISSING_MANIFEST'] WHEN 1 THEN ['MANIFEST_CHUNK_COUNT_MISMATCH'] WHEN 2 THEN ['MANIFEST_STRATEGY_SET_MISMATCH'] WHEN 3 THEN ['STRATEGY_COUNT_MISMATCH'] WHEN 4 THEN ['CHUNK_TYPE_COUNT_MISMATCH'] WHEN 5 THEN ['MISSING_CHUNKS'] ELSE [] END) AS code FROM own)
+      SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
+    "embedding_file_issues": f"""WITH {_CHUNKS}, own AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id), i AS (SELECT CASE doc_id % 8 WHEN 1 THEN 'MISSING_EMBEDDING_FILE' WHEN 2 THEN CASE WHEN n > 1 THEN 'EMBEDDING_COUNT_MISMATCH' END WHEN 3 THEN 'CHUNK_ORDER_MISMATCH' WHEN 4 THEN CASE WHEN n > 1 THEN 'MODEL_NOT_CONSTANT' END WHEN 5 THEN CASE WHEN n > 1 THEN 'VERSION_NOT_CONSTANT' END END AS code FROM own)
+      SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY code""",
     "embedding_issues": """WITH n AS (SELECT label % 5 AS m FROM embeddings), i AS (SELECT unnest(CASE m WHEN 1 THEN ['UNKNOWN_CHUNK'] WHEN 2 THEN ['MISSING_EMBEDDING'] WHEN 3 THEN ['DIMENSION_MISMATCH'] WHEN 4 THEN ['DIMENSION_MISMATCH', 'NON_FINITE_VECTOR'] ELSE [] END) AS code FROM n)
       SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
     "raw_document_status": """WITH n AS (SELECT doc_id AS n, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS m, CASE WHEN doc_id % 8 = 0 THEN 5 ELSE length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) END AS raw FROM documents)

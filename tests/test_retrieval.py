@@ -229,9 +229,9 @@ def test_stores(spark, tmp_path):
 
 
 def test_validators(spark):
-    chunks = spark.createDataFrame([("i", "d", "d", "t", "t", "recursive", "text", 0, "x", 1, [], []), ("i", "d", "e", "t", "u", "odd", "text", 0, " ", 0, [], [])], "chunk_id string, document_id string, expected_document_id string, tenant_id string, expected_tenant_id string, strategy string, chunk_type string, chunk_index int, chunk_text string, token_count int, page_numbers array<int>, section_path array<string>")
+    chunks = spark.createDataFrame([("i", "d", "d", "t", "t", "recursive", "text", 0, "x", 1, [], [], "p", "p", "h", "h", []), ("i", "d", "e", "t", "u", "odd", "text", 0, " ", 0, [], [], "p", "q", "h", "g", [])], "chunk_id string, document_id string, expected_document_id string, tenant_id string, expected_tenant_id string, strategy string, chunk_type string, chunk_index int, chunk_text string, token_count int, page_numbers array<int>, section_path array<string>, department string, expected_department string, content_hash string, expected_content_hash string, table_ids array<string>")
     codes = {r.code for r in V.chunk_issues(chunks, 10).collect()}
-    assert codes == {"DUPLICATE_LOCAL_CHUNK_ID", "DUPLICATE_GLOBAL_CHUNK_ID", "DOCUMENT_ID_MISMATCH", "TENANT_ID_MISMATCH", "UNKNOWN_STRATEGY", "EMPTY_CHUNK_TEXT", "INVALID_TOKEN_COUNT"}
+    assert codes == {"DUPLICATE_LOCAL_CHUNK_ID", "DUPLICATE_GLOBAL_CHUNK_ID", "CHUNK_DOCUMENT_MISMATCH", "CHUNK_TENANT_MISMATCH", "CHUNK_DEPARTMENT_MISMATCH", "CHUNK_CONTENT_HASH_MISMATCH", "UNKNOWN_STRATEGY", "EMPTY_CHUNK_TEXT", "INVALID_TOKEN_COUNT"}
     pairs = spark.createDataFrame([("a", "a", "x" * 10, "x" * 3, [(1, False)], [(2, False)], [], [], []), ("b", "c", "x", None, [], None, [("t", 1)], [], None)],
         "doc_id string, clean_doc_id string, raw_text string, clean_text string, raw_pages array<struct<page_number:int,ocr_used:boolean>>, clean_pages array<struct<page_number:int,ocr_used:boolean>>, raw_tables array<struct<table_id:string,n_rows:int>>, clean_tables array<struct<table_id:string,n_rows:int>>, steps array<string>")
     got = {(r.subject, r.code) for r in V.clean_issues(pairs).collect()}
