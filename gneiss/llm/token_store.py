@@ -100,27 +100,35 @@ class Encoder:
         odd, core, tail = [], [], []
         plain: dict[bool, list[int]] = {True: [], False: []}
         alone: list[int] = []
-        while k < len(self.listed):
-            piece, spaced = self.listed[k]
+        listed, nothing = self.listed, self.nothing
+        while k < len(listed):
+            piece, spaced = listed[k]
+            self.chars += len(piece)
+            if piece.isalpha():  # most pieces: no white space, no signs
+                odd.append(False)
+                core.append(first + k)
+                tail.append(nothing)
+                plain[spaced].append(k)
+                k += 1
+                continue
             odd.append(not piece or space(piece[-1]) or space(piece[0]))
             stem = piece.rstrip(SIGNS)
             if len(stem) == len(piece) or not stem or not stem[-1].isalpha():
                 core.append(first + k)
-                tail.append(self.nothing)
+                tail.append(nothing)
                 (alone if not piece or " " in piece or "\n" in piece else plain[spaced]).append(k)
             else:
                 core.append((self.pieces if spaced else self.heads)[stem])
                 tail.append(self.heads[piece[len(stem) :]])
-            self.chars += len(piece)
             k += 1
         odd = np.array(odd, bool)
         if not first:
             odd[self.end_number] = False  # a line end is one token wherever it is cut off
         begin, length = np.zeros(k, np.int32), np.zeros(k, np.int32)
-        parts, size, texts = [self.ids], len(self.ids), [" " + p if spaced else p for p, spaced in self.listed]
+        parts, size = [self.ids], len(self.ids)
         for spaced, own in plain.items():
             groups = [own[j : j + TOGETHER] for j in range(0, len(own), TOGETHER)]
-            for group, ids in zip(groups, self._encoded([("" if spaced else "\n").join([texts[j] for j in g]) for g in groups])):
+            for group, ids in zip(groups, self._encoded([" " + " ".join([listed[j][0] for j in g]) if spaced else "\n".join([listed[j][0] for j in g]) for g in groups])):
                 if spaced:
                     start = np.flatnonzero(self.opens[ids])
                     stop = np.append(start[1:], len(ids))
@@ -133,7 +141,7 @@ class Encoder:
                 begin[group], length[group] = size + start, stop - start
                 parts.append(ids)
                 size += len(ids)
-        for j, ids in zip(alone, self._encoded([texts[j] for j in alone])):
+        for j, ids in zip(alone, self._encoded([" " + listed[j][0] if listed[j][1] else listed[j][0] for j in alone])):
             begin[j], length[j] = size, len(ids)
             parts.append(ids)
             size += len(ids)
