@@ -10,17 +10,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Used by sessions on one machine that name no shared folder, as in tests.
-LOCAL_SHARED_DIR = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share; a session of many machines has to name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-    return named or LOCAL_SHARED_DIR
+from gneiss.shared import shared_dir, written
 
+__all__ = ["free_name", "new_path", "only_cache", "shared_dir", "small_batches", "table", "text_or_empty", "written"]
 
 #: What a Python worker keeps from task to task: one thing at a time.
 _KEPT: dict[Hashable, Any] = {}
@@ -45,14 +37,7 @@ def only_cache(name: Hashable, make: Callable[[], Any] | None = None) -> Any:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def free_name(df: DataFrame, base: str) -> str:
