@@ -249,6 +249,23 @@ def _windows(source: str, size: int, overlap: int, least: int, unit: str = "[^"
     w AS (SELECT * EXCLUDE (j), {strip} AS chunk_text, start + length({strip}) AS stop FROM j WHERE units >= {least})"""
 
 
+def _packed(text: str, boundary: str, joiner: str, strategy: str, last: str = "TRUE", size: int = 128, overlap: int = 16, least: int = 12) -> str:
+    """Chunks of units of documents' texts: a unit ends before group 2 of boundary; those over size are cut; groups and a small last one as in the chunker."""
+    return f"""WITH RECURSIVE m AS (SELECT doc_id, {text} AS text FROM documents), b AS (SELECT *, string_split(regexp_replace(text, '{boundary}', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM m),
+    q AS (SELECT *, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM b), r AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+    v AS (SELECT doc_id, i, before + length(regexp_extract(p, '^[{_S}]*')) AS pos, regexp_extract_all(p, '{_TOK}[{_S}]*') AS us FROM r WHERE {last}),
+    k AS (SELECT *, unnest(generate_series(0, len(us) - 1, {size})) AS k FROM v WHERE len(us) > 0),
+    x AS (SELECT doc_id, i, k, len(us[k + 1:k + {size}]) AS n, regexp_replace(array_to_string(us[k + 1:k + {size}], ''), '[{_S}]+$', '') AS t, pos + length(array_to_string(us[1:k], '')) AS pos FROM k),
+    y AS (SELECT doc_id, list(t ORDER BY i, k) AS ts, list(pos ORDER BY i, k) AS starts, list(pos + length(t) ORDER BY i, k) AS stops, list_concat([0], list(s ORDER BY i, k)) AS sums FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i, k) AS s FROM x) GROUP BY doc_id),
+    g AS (SELECT doc_id, 0 AS g, 1 AS a, len(list_filter(sums, lambda s: s <= {size})) - 1 AS z FROM y
+      UNION ALL SELECT doc_id, g + 1, f, len(list_filter(sums, lambda s: s <= sums[f] + {size})) - 1 FROM (
+        SELECT g.*, sums, greatest(a, list_min(list_filter(range(1, z + 2), lambda f: f = z + 1 OR (sums[z + 1] - sums[f] <= {overlap} AND sums[z + 2] - sums[f] <= {size})))) AS f FROM g JOIN y USING (doc_id) WHERE z < len(ts))),
+    c AS (SELECT doc_id, g, array_to_string(ts[a:z], '{joiner}') AS t, sums[z + 1] - sums[a] AS n, starts[a] AS start, stops[z] AS stop FROM g JOIN y USING (doc_id)),
+    e AS (SELECT *, lead(t) OVER w AS t2, lead(n) OVER w AS n2, lead(stop) OVER w AS stop2, lag(n) OVER w AS n0, max(g) OVER (PARTITION BY doc_id) AS top FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY g)),
+    o AS (SELECT *, g = top - 1 AND n2 < {least} AND n + n2 <= {size} AS merged FROM e WHERE NOT (g = top AND g > 0 AND n < {least} AND n0 + n <= {size}))
+    SELECT doc_id, '{strategy}' AS strategy, g AS chunk_index, CASE WHEN merged THEN t || '{joiner}' || t2 ELSE t END AS chunk_text, 'text' AS chunk_type, []::VARCHAR[] AS section_path, start AS start_char, CASE WHEN merged THEN stop2 ELSE stop END AS end_char, CASE WHEN merged THEN n + n2 ELSE n END AS token_count FROM o"""
+
+
 _DOCS = "d AS (SELECT doc_id, text, source AS tenant_id, lang AS department FROM documents)"
 _INDEXED = "c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index FROM w)"
 _CHUNKS = f"{_DOCS}, {_windows('d', 512, 64, 50)}, {_INDEXED}, ch AS (SELECT *, sha256(concat_ws('|', tenant_id, doc_id::VARCHAR, sha256(text), 'fixed_size', '1.0', chunk_index::VARCHAR, sha256(chunk_text))) AS chunk_id FROM c)"
@@ -289,6 +306,11 @@ ORACLE = {
     "structure_histogram": f"WITH {_PROFILE} SELECT CASE WHEN structure_confidence < 0.25 THEN 'low' WHEN structure_confidence < 0.5 THEN 'medium' WHEN structure_confidence < 0.75 THEN 'high' ELSE 'very_high' END AS bucket, file_type, count(*) AS n FROM pr GROUP BY ALL",
     "route": f"WITH {_PROFILE}, {_ROUTE} SELECT doc_id, x.s AS strategy, x.c AS content, x.p AS priority FROM r",
     "routing_combinations": f"WITH {_PROFILE}, {_ROUTE}, c AS (SELECT doc_id, string_agg(x.s, '+' ORDER BY -x.p, x.s) AS combination FROM r GROUP BY doc_id) SELECT combination, count(*) AS n FROM c GROUP BY combination",
+    "sentence_chunks": _packed("text", f"([.!?])([{_S}])", " ", "sentence"),
+    "paragraph_chunks": _packed("replace(text, chr(10), chr(10) || chr(10))", f"([^{_S}])(\\n[{_S}]*\\n)", "\n\n", "paragraph", f"i < len(ps) OR NOT regexp_matches(text, '[{_S}]$')"),
+    "table_chunks": """WITH r AS (SELECT o_custkey::BIGINT AS doc_id, o_orderkey::VARCHAR AS key, concat_ws(' | ', o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d')) AS line FROM orders),
+      n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY key, line) - 1) // ((64 - 7) // 7) AS chunk_index FROM r)
+      SELECT doc_id, 'orders' AS table_id, chunk_index, 'key | status | price | date' || chr(10) || string_agg(line, chr(10) ORDER BY key, line) AS chunk_text, 7 + 7 * count(*) AS token_count FROM n GROUP BY doc_id, chunk_index""",
     "json_chunks": "SELECT event_id AS doc_id, k - 1 AS chunk_index, key || ': ' || (props::JSON->key)::VARCHAR AS chunk_text FROM (SELECT event_id, props, unnest(json_keys(props)) AS key, generate_subscripts(json_keys(props), 1) AS k FROM events WHERE trim(props) <> '')",
     "html_meta": "SELECT page_id, nullif(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS language, len(regexp_extract_all(html, '<a ')) AS n_links FROM pages",
     "csv_rows": "SELECT n_nationkey || '.csv' AS path, unnest(['Row 1: key: ' || n_nationkey || ' | name: ' || n_name || ' | a, b: x, y', 'Row 2: key: ' || n_regionkey || ' | name: z | a, b: ']) AS line FROM nation",
