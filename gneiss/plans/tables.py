@@ -344,6 +344,14 @@ ORACLE = {
     "citation_completeness": f"""WITH {_ANSWERS}, {_UNITS}, f AS (SELECT doc_id, n, contains(u, '[' || source || ']') AS cited, regexp_full_match(trim(u), '(\\s*\\[[^\\[\\]]+\\]\\s*)+') AS alone FROM units WHERE NOT ends_with(trim(u), ':') AND doc_id % 11 <> 0),
       g AS (SELECT *, sum(CASE WHEN alone THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM f), h AS (SELECT doc_id, grp, bool_or(cited) AS cited FROM g WHERE grp > 0 GROUP BY ALL)
       SELECT doc_id, count(h.grp)::INT AS factual, count(*) FILTER (cited)::INT AS cited, round(CASE WHEN count(h.grp) = 0 THEN 1.0 ELSE count(*) FILTER (cited) / count(h.grp) END, 6)::DOUBLE AS score FROM answers LEFT JOIN h USING (doc_id) GROUP BY doc_id""",
+    "claim_citations": f"""WITH {_ANSWERS}, l AS (SELECT doc_id, source, unnest(string_split(replace(answer, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(answer, chr(13) || chr(10), chr(10)), chr(10)), 1) AS l FROM answers),
+      p AS (SELECT *, string_split(regexp_replace(trim(line), '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM l), v AS (SELECT doc_id, source, l, unnest(ps) AS answer, generate_subscripts(ps, 1) AS k FROM p),
+      c AS (SELECT doc_id, source, l, k, list_contains({_CITES}, source) AS own,
+        regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(answer), '{E.CITATION}', '', 'g'), '^\s*([-*•]|\d+[.)])\s*', ''), '[{SPACE}]+', ' ', 'g')), '[ ,;:]+$', '') AS claim FROM v WHERE trim(answer) <> ''),
+      w AS (SELECT *, len(regexp_extract_all(claim, '[^ ]+')) AS words FROM c),
+      x AS (SELECT *, coalesce(last_value(CASE WHEN NOT own AND claim <> '' AND (words >= 4 OR regexp_matches(lower(claim), '{"|".join(E.PREFIX_MARKERS)}')) THEN claim END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY l, k), '') AS prefix FROM w)
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l, k) - 1 AS claim_no, source AS citations,
+        CASE WHEN prefix <> '' AND (words <= 6 OR regexp_matches(lower(claim), '^({"|".join(E.CONTINUATIONS)})')) THEN regexp_replace(prefix, '[ ,;:]+$', '') || ' ' || regexp_replace(claim, '^[ ,;:]+', '') ELSE claim END AS claim FROM x WHERE own AND claim <> ''""",
     "answer_gate": f"WITH {_ANSWERS} SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 OR NOT list_contains({_CITES}, source) THEN 'I do not know based on the provided context.' ELSE answer END) AS digest, doc_id % 11 = 0 AS abstains FROM answers",
     "faithfulness_score": """WITH v AS (SELECT l_orderkey % 500 AS case_id, l_linenumber AS claim_no, CASE WHEN l_returnflag = 'A' THEN 'S' WHEN l_returnflag = 'N' THEN 'P' WHEN l_linenumber = 7 THEN NULL ELSE 'U' END AS v FROM lineitem),
       c AS (SELECT case_id, claim_no, CASE WHEN count(v) > 0 AND count(*) FILTER (v = 'S') = count(v) THEN 1.0 WHEN count(*) FILTER (v IN ('S', 'P')) > 0 THEN 0.5 ELSE 0.0 END AS s FROM v GROUP BY ALL) SELECT case_id, count(*) AS n_claims, round(avg(s), 6) AS faithfulness FROM c GROUP BY case_id""",
