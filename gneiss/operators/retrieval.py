@@ -55,6 +55,39 @@ def per_department(hits: DataFrame, limit: int, truncate: bool) -> DataFrame:
     return found.where(F.col("rank") <= limit) if truncate else found
 
 
+#: Query vectors that are scored against a batch at once, so that the scores fit beside it.
+SCORED_AT_ONCE = 256
+
+
+def scored(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """The scores, to 6 places, of each query vector (rows) and vector (columns)."""
+    if metric == "euclid":
+        score = -np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2 * (q @ v.T) + (v * v).sum(axis=1)[None], 0))
+    else:
+        score = q @ v.T
+        if metric == "cosine":
+            norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+            score = np.divide(score, norm, out=np.zeros_like(score), where=norm > 0)
+    return np.round(score, 6) + 0.0
+
+
+def best(score: np.ndarray, keys: np.ndarray, limit: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of score: of each row those of least or more, and of these the first limit by score and then by key.
+
+    A row's limit-th best score is found without sorting it, so only what reaches that is sorted.
+    """
+    keep = np.ones(score.shape, bool) if least is None else score >= least
+    if limit is None:
+        return np.nonzero(keep)
+    n = min(limit, score.shape[1])
+    keep &= ~(score < -np.partition(-score, n - 1, axis=1)[:, n - 1 : n])
+    k, j = np.nonzero(keep)
+    order = np.lexsort((keys[j], -score[k, j], k))
+    k, j = k[order], j[order]
+    place = np.arange(len(k)) - np.searchsorted(k, k)
+    return k[place < n], j[place < n]
+
+
 def dense_scores(vectors: DataFrame, queries: DataFrame, limit: int | None = None, metric: str = "cosine", lane: str | None = None, least: float | None = None) -> DataFrame:
     """(query_id, doc_id, score[, lane]) of rows (doc_id, vector) for query rows (query_id, vector), scores rounded to 6 places.
 
@@ -84,27 +117,19 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, limit: int | None = Non
                 v = np.array(own, np.float64)
                 if v.ndim != 2 or v.shape[1] != q.shape[1]:
                     raise ValueError("the vectors have different lengths")
-                if metric == "euclid":
-                    score = -np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2 * (q @ v.T) + (v * v).sum(axis=1)[None], 0))
-                else:
-                    score = q @ v.T
-                    if metric == "cosine":
-                        norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
-                        score = np.divide(score, norm, out=np.zeros_like(score), where=norm > 0)
-                score = np.round(score, 6) + 0.0
                 lanes = np.array([str(x) for x in batch.column(2).to_pylist()]) if lane else np.full(len(own), "")
                 keys = np.array(batch.column(0).to_pylist(), np.int64)
-                qs, vs = [], []
-                for name in np.unique(lanes):
-                    at = np.flatnonzero(lanes == name)
-                    n = len(at) if limit is None else min(limit, len(at))
-                    for k in range(len(ids)):
-                        best = at[np.lexsort((keys[at], -score[k, at]))[:n]] if limit is not None else at
-                        best = best if least is None else best[score[k, best] >= least]
-                        qs.append(np.full(len(best), k))
-                        vs.append(best)
-                qs, vs = np.concatenate(qs), np.concatenate(vs)
-                columns = [pa.array(ids[qs]), pa.array(keys[vs]), pa.array(score[qs, vs])]
+                at = [np.flatnonzero(lanes == name) for name in np.unique(lanes)]
+                qs, vs, scores = [], [], []
+                for lo in range(0, len(ids), SCORED_AT_ONCE):
+                    score = scored(q[lo : lo + SCORED_AT_ONCE], v, metric)
+                    for own_at in at:
+                        k, j = best(score[:, own_at], keys[own_at], limit, least)
+                        qs.append(lo + k)
+                        vs.append(own_at[j])
+                        scores.append(score[k, own_at[j]])
+                qs, vs, scores = np.concatenate(qs), np.concatenate(vs), np.concatenate(scores)
+                columns = [pa.array(ids[qs]), pa.array(keys[vs]), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(lanes[vs].tolist(), pa.string())] if lane else [])], ["query_id", "doc_id", "score", *([lane] if lane else [])])
 
         given = vectors.where("vector is not null").select("doc_id", F.col("vector").cast("array<double>"), *([F.col(lane).cast("string")] if lane else []))

@@ -7,6 +7,7 @@ import math
 import uuid
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,19 @@ def test_files(spark, tmp_path):
         files.PARSERS.register((".csv",), files.parse_csv)
     with pytest.raises(files.UnsupportedOperationError):
         files.read_table(spark, "x.pdf")
+
+
+def test_best_of_scores_against_sorting_each_row():
+    rng = np.random.default_rng(4)
+    for limit, least in ((1, None), (3, None), (3, 0.4), (50, 0.2), (None, 0.5), (None, None)):
+        score = np.round(rng.random((7, 40)), 1)
+        score[0] = 0.0
+        score[1, ::3] = np.nan
+        keys = rng.permutation(40)
+        k, j = R.best(score, keys, limit, least)
+        got = sorted(zip(k.tolist(), j.tolist()))
+        expected = []
+        for row in range(7):
+            order = sorted(range(40), key=lambda c: (np.isnan(score[row, c]), -score[row, c] if not np.isnan(score[row, c]) else 0, keys[c]))
+            expected += [(row, c) for c in order[: limit or 40] if least is None or score[row, c] >= least]
+        assert got == sorted(expected)
