@@ -11,11 +11,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
+from gneiss.functions.text import SPACE
 from gneiss.operators.chunking import ChunkConfig
+from gneiss.shared import written
 
 CHUNK_SCHEMA = "doc_id long, strategy string, chunk_index int, chunk_text string, chunk_type string, section_path array<string>, start_char int, end_char int, token_count int"
+TABLE_CHUNKS = "doc_id long, table_id string, chunk_index int, chunk_text string, token_count int"
+#: Rows of a table that one task packs at a time.
+ROWS_IN_BLOCK = 4096
 _TOKEN = re.compile(r"\S+")
 
 
@@ -233,36 +238,64 @@ def _carried(before: str, part: str, config: ChunkConfig, count: Callable[[str],
     return f"{best} " if best else ""
 
 
+class TableLayout:
+    """How rows go into chunks under a repeated header: what a row weighs, how long a group is, what a group shows."""
+
+    def __init__(self, headers: list[str | None], config: ChunkConfig) -> None:
+        self.config, self.count = config, counter(config)
+        self.headers = ["" if h is None else str(h).strip() for h in headers]
+        self.head = " | ".join(self.headers) if any(self.headers) else ""
+        self.line_end = int(config.unit == "characters")
+        self.room = config.size - (self.count(f"{self.head}\n") if self.head else 0)
+        #: The most that a group's rows may weigh; each row's line end counts, so one more than the last has.
+        self.capacity = self.room + self.line_end
+
+    def weight(self, row: list[str]) -> int:
+        return self.count(" | ".join(row)) + self.line_end
+
+    def shown(self, group: list[list[str]]) -> str:
+        return "\n".join([*([self.head] if self.head else []), *(" | ".join(r) for r in group)])
+
+    def fields(self, row: list[str]) -> list[str]:
+        """The texts of a row that doesn't fit: `header: value` fields, cut, each part under the header."""
+        if self.room <= 0:
+            raise ValueError("a table's header alone fills a chunk")
+        fields = "\n".join(f"{self.headers[k] if k < len(self.headers) else f'column_{k + 1}'}: {cell}" for k, cell in enumerate(row))
+        parts = _cut(fields, (), ChunkConfig(size=self.room, overlap=0, least=0, unit=self.config.unit), self.count)
+        return [f"{self.head}\n{part}".strip() if self.head else part.strip() for part in parts if part.strip()]
+
+    def ends(self, weights: list[int], most: int) -> list[int]:
+        """Of each row, where a group that begins with it ends: at most rows and the capacity; a row beyond it is alone."""
+        out, end, held = [], 0, 0
+        for k, w in enumerate(weights):
+            if end <= k:
+                end, held = k, 0
+            while end < len(weights) and end - k < most and held + weights[end] <= self.capacity:
+                held += weights[end]
+                end += 1
+            out.append(max(end, k + 1))
+            if end > k:
+                held -= w
+        return out
+
+    def texts(self, group: list[list[str]]) -> list[str]:
+        return self.fields(group[0]) if len(group) == 1 and self.weight(group[0]) > self.capacity else [self.shown(group)]
+
+
+def table_cells(row: list[str | None]) -> list[str]:
+    return ["" if c is None else str(c).strip() for c in row]
+
+
 def table(headers: list[str], rows: list[list[str | None]], config: ChunkConfig) -> Iterator[Piece]:
     """Groups of rows under a repeated header, of at most rows_per_group rows and size units; a row that doesn't fit is written as `header: value` fields and cut, each part under the header."""
-    count = counter(config)
-    rows = [["" if c is None else str(c).strip() for c in row] for row in rows]
-    rows = [row for row in rows if any(row)]
-    if not rows:
-        return
-    headers = ["" if h is None else str(h).strip() for h in headers]
-    head = " | ".join(headers) if any(headers) else ""
-    shown = lambda group: "\n".join([*([head] if head else []), *(" | ".join(r) for r in group)])
-    if config.whole_table and count(shown(rows)) <= config.size:
-        yield Piece(shown(rows), kind="table")
-        return
-    room = config.size - (count(f"{head}\n") if head else 0)
-    group: list[list[str]] = []
-    for row in rows:
-        if group and (len(group) >= config.rows_per_group or count(shown([*group, row])) > config.size):
-            yield Piece(shown(group), kind="table")
-            group = []
-        if count(shown([row])) <= config.size:
-            group.append(row)
-            continue
-        if room <= 0:
-            raise ValueError("a table's header alone fills a chunk")
-        fields = "\n".join(f"{headers[k] if k < len(headers) else f'column_{k + 1}'}: {cell}" for k, cell in enumerate(row))
-        for part in _cut(fields, (), ChunkConfig(size=room, overlap=0, least=0, unit=config.unit), count):
-            if part.strip():
-                yield Piece(f"{head}\n{part}".strip() if head else part.strip(), kind="table")
-    if group:
-        yield Piece(shown(group), kind="table")
+    layout = TableLayout(headers, config)
+    rows = [row for row in map(table_cells, rows) if any(row)]
+    weights = [layout.weight(row) for row in rows]
+    ends = layout.ends(weights, len(rows) if config.whole_table and sum(weights) <= layout.capacity else config.rows_per_group)
+    at = 0
+    while at < len(rows):
+        yield from (Piece(text, kind="table") for text in layout.texts(rows[at : ends[at]]))
+        at = ends[at]
 
 
 def json_values(text: str, config: ChunkConfig) -> Iterator[Piece]:
@@ -319,4 +352,83 @@ def chunk_tables(tables: DataFrame, config: ChunkConfig) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()])], ["doc_id", "table_id", "chunk_index", "chunk_text", "token_count"])
 
-    return tables.select("doc_id", "table_id", "headers", "rows").mapInArrow(batches, "doc_id long, table_id string, chunk_index int, chunk_text string, token_count int")
+    return tables.select("doc_id", "table_id", "headers", "rows").mapInArrow(batches, TABLE_CHUNKS)
+
+
+def chunk_table_rows(rows: DataFrame, headers: DataFrame, config: ChunkConfig, block: int = ROWS_IN_BLOCK) -> DataFrame:
+    """What chunk_tables gives, from a table's rows (doc_id, table_id, row_no, cells) and headers (doc_id, table_id, headers), however many rows a table has.
+
+    Rows are numbered again without the blank ones and packed in blocks, each with the first rows of the next. A group has at
+    most rows_per_group rows, so a block's first group begins at one of as many rows: each block says for every such
+    beginning where the next block's is and how many chunks it makes. One small row a block is then followed from the table's
+    first row on, and the blocks are cut. Rows of equal row_no are in the order of their cells; those with null ids
+    are left out; tables without rows, and rows without headers, give none.
+    """
+    most = config.rows_per_group
+    size = max(block, most, config.size)
+    key = ["doc_id", "table_id"]
+    cells = F.transform("cells", lambda c: F.coalesce(F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", ""), F.lit("")))
+    given = rows.select(*key, "row_no", cells.alias("cells")).where(F.exists("cells", lambda c: c != "")).withColumn("part", F.floor(F.col("row_no") / size))
+    parts = given.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct("row_no", "cells"))).alias("body"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = given.groupBy(*key, "part").agg(F.count("*").alias("n")).select(*key, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = parts.join(before, [*key, "part"]).select(*key, "before", F.posexplode("body").alias("k", "row")).select(*key, (F.col("before") + F.col("k")).alias("n"), "row.cells")
+    own = F.floor(F.col("n") / size)
+    blocks = F.when((own > 0) & (F.col("n") % size < most), F.array(own, own - 1)).otherwise(F.array(own))
+    packed = numbered.withColumn("block", F.explode(blocks)).groupBy(*key, "block").agg(F.sort_array(F.collect_list(F.struct("n", "cells"))).alias("body"))
+    packed = written(packed.join(headers.select(*key, "headers"), key).select(*key, "block", "headers", F.col("body.cells").alias("body")), "table-blocks")
+
+    def layout_of(number: int, headers: list, body: list) -> tuple[TableLayout, list[int], list[int]]:
+        layout = TableLayout(headers or [], config)
+        weights = [layout.weight(row) for row in body]
+        whole = config.whole_table and number == 0 and len(body) <= size and sum(weights) <= layout.capacity
+        return layout, weights, layout.ends(weights, len(body) if whole else most)
+
+    def steps(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            out = []
+            for number, names, body in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                layout, weights, ends = layout_of(number, names, body)
+                last = min(len(body), size)
+                leaves, counts = [max(0, k - size) for k in range(last + most)], [0] * (last + most)
+                for k in range(last - 1, -1, -1):
+                    alone = weights[k] > layout.capacity
+                    counts[k] = len(layout.fields(body[k])) if alone else 1
+                    if ends[k] < last:
+                        counts[k] += counts[ends[k]]
+                        leaves[k] = leaves[ends[k]]
+                    else:
+                        leaves[k] = ends[k] - last
+                out.append((leaves[:most], counts[:most]))
+            columns = [pa.array([o[k] for o in out], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], [*key, "block", "leaves", "counts"])
+
+    def follow(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            out = []
+            for doc_id, table_id, way in zip(*(c.to_pylist() for c in batch.columns)):
+                entry, first = 0, 0
+                for step in way:
+                    out.append((doc_id, table_id, step["block"], entry, first))
+                    entry, first = step["leaves"][entry], first + step["counts"][entry]
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()])], [*key, "block", "entry", "first"])
+
+    def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            out = []
+            for doc_id, table_id, number, names, body, at, index in zip(*(c.to_pylist() for c in batch.columns)):
+                layout, _, ends = layout_of(number, names, body)
+                while at < min(len(body), size):
+                    for text in layout.texts(body[at : ends[at]]):
+                        out.append((doc_id, table_id, index, text, len(text.split())))
+                        index += 1
+                    at = ends[at]
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()])], [*key, "chunk_index", "chunk_text", "token_count"])
+
+    schema = "doc_id long, table_id string, block long"
+    made = packed.mapInArrow(steps, f"{schema}, leaves array<int>, counts array<int>")
+    ways = made.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("block", "leaves", "counts"))).alias("way"))
+    entries = ways.mapInArrow(follow, f"{schema}, entry int, first int")
+    return packed.join(entries, [*key, "block"]).select(*key, "block", "headers", "body", "entry", "first").mapInArrow(cut, TABLE_CHUNKS)

@@ -160,10 +160,10 @@ def structure_chunks(spark, sf):
 
 def table_chunks(spark, sf):
     """The orders of each customer as a table."""
-    row = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))
-    found = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    found = found.select(F.col("doc_id").cast("long"), F.lit("orders").alias("table_id"), F.array(*map(F.lit, ("key", "status", "price", "date"))).alias("headers"), "rows")
-    return S.chunk_tables(found, ChunkConfig("table_aware", size=64, overlap=0, least=1))
+    cells = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = _t(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("doc_id"), F.lit("orders").alias("table_id"), F.col("o_orderkey").alias("row_no"), cells.alias("cells"))
+    headers = rows.select("doc_id", "table_id").distinct().withColumn("headers", F.array(*map(F.lit, ("key", "status", "price", "date"))))
+    return S.chunk_table_rows(rows, headers, ChunkConfig("table_aware", size=64, overlap=0, least=1))
 
 
 def json_chunks(spark, sf):
@@ -308,7 +308,7 @@ ORACLE = {
     "routing_combinations": f"WITH {_PROFILE}, {_ROUTE}, c AS (SELECT doc_id, string_agg(x.s, '+' ORDER BY -x.p, x.s) AS combination FROM r GROUP BY doc_id) SELECT combination, count(*) AS n FROM c GROUP BY combination",
     "sentence_chunks": _packed("text", f"([.!?])([{_S}])", " ", "sentence"),
     "paragraph_chunks": _packed("replace(text, chr(10), chr(10) || chr(10))", f"([^{_S}])(\\n[{_S}]*\\n)", "\n\n", "paragraph", f"i < len(ps) OR NOT regexp_matches(text, '[{_S}]$')"),
-    "table_chunks": """WITH r AS (SELECT o_custkey::BIGINT AS doc_id, o_orderkey::VARCHAR AS key, concat_ws(' | ', o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d')) AS line FROM orders),
+    "table_chunks": """WITH r AS (SELECT o_custkey::BIGINT AS doc_id, o_orderkey AS key, concat_ws(' | ', o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d')) AS line FROM orders),
       n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY key, line) - 1) // ((64 - 7) // 7) AS chunk_index FROM r)
       SELECT doc_id, 'orders' AS table_id, chunk_index, 'key | status | price | date' || chr(10) || string_agg(line, chr(10) ORDER BY key, line) AS chunk_text, 7 + 7 * count(*) AS token_count FROM n GROUP BY doc_id, chunk_index""",
     "json_chunks": "SELECT event_id AS doc_id, k - 1 AS chunk_index, key || ': ' || (props::JSON->key)::VARCHAR AS chunk_text FROM (SELECT event_id, props, unnest(json_keys(props)) AS key, generate_subscripts(json_keys(props), 1) AS k FROM events WHERE trim(props) <> '')",

@@ -69,6 +69,10 @@ def dense_dot(spark, sf):
     return R.ranked(R.dense_scores(_vectors(spark, sf), _asked(spark, sf), LIMIT, "dot"), LIMIT, "doc_id")
 
 
+def dense_euclid(spark, sf):
+    return R.ranked(R.dense_scores(_vectors(spark, sf), _asked(spark, sf), LIMIT, "euclid"), LIMIT, "doc_id")
+
+
 def dense_scoped(spark, sf):
     """Of each query's two departments the first rows each, together and not cut again."""
     hits = R.dense_scores(_vectors(spark, sf), _asked(spark, sf), 5, lane="lane")
@@ -184,7 +188,7 @@ def query_terms(spark, sf):
     return _queries(spark, sf).select("query_id", F.array_join(terms(F.col("query")), ",").alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_idf, bm25_topk, bm25_scoped, dense_topk, dense_dot, dense_scoped, score_threshold, rrf_fusion, fusion_grid, recall_mrr, retriever_means, failure_taxonomy, rerank_overlap, document_ranks, sources_list, context_budget, context_totals, prompt_blocks, term_overlap_select, memory_window, query_terms)}
+QUERIES = {f.__name__: f for f in (bm25_idf, bm25_topk, bm25_scoped, dense_topk, dense_dot, dense_euclid, dense_scoped, score_threshold, rrf_fusion, fusion_grid, recall_mrr, retriever_means, failure_taxonomy, rerank_overlap, document_ranks, sources_list, context_budget, context_totals, prompt_blocks, term_overlap_select, memory_window, query_terms)}
 
 _BM25 = r"""d AS MATERIALIZED (SELECT doc_id, text, source AS tenant_id, lang AS department, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ts FROM documents),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(ts)) AS avgdl FROM d),
@@ -235,6 +239,7 @@ ORACLE = {
       l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, doc_id) AS p FROM s) WHERE p <= 10)
       SELECT * FROM (SELECT query_id, doc_id, department, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM l) WHERE rank <= 10""",
     "dense_topk": f"WITH {_DENSE} SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= 10",
+    "dense_euclid": f"WITH {_DENSE}, de AS (SELECT a.query_id, v.doc_id, round(-list_distance(asked, vector), 6) + 0.0 AS score FROM v, a) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM de) WHERE rank <= 10",
     "dense_dot": f"WITH {_DENSE} SELECT * FROM (SELECT query_id, doc_id, dot AS score, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, doc_id) AS rank FROM ds) WHERE rank <= 10",
     "dense_scoped": f"""WITH {_DENSE}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lane ORDER BY score DESC, doc_id) AS p FROM ds WHERE lane IN ('0', '1')) WHERE p <= 5)
       SELECT query_id, doc_id, lane AS department, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM l""",

@@ -131,3 +131,14 @@ def test_bad_configurations(bad):
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError, match="recursive"):
         S.chunk(spark.createDataFrame([(1, "x")], "doc_id long, text string"), ChunkConfig("nothing"))
+
+
+def test_table_rows_in_blocks_against_whole_tables(spark):
+    rng = random.Random(5)
+    tables = {k: [[rng.choice(["x", "", "y z", None, " w ", "many words in this one cell here"]) for _ in range(3)] for _ in range(rng.choice([0, 1, 4, 9, 60]))] for k in range(30)}
+    rows = spark.createDataFrame([(k, "t", 3 * n, row) for k, body in tables.items() for n, row in enumerate(body)], "doc_id long, table_id string, row_no long, cells array<string>")
+    whole = spark.createDataFrame([(k, "t", ["a", "b", None], body) for k, body in tables.items()], "doc_id long, table_id string, headers array<string>, rows array<array<string>>")
+    for how in (dict(size=8, rows_per_group=3), dict(size=30, rows_per_group=25, unit="characters"), dict(size=12, rows_per_group=12, whole_table=True)):
+        config = ChunkConfig("table_aware", overlap=0, least=0, **how)
+        expected = sorted(map(tuple, S.chunk_tables(whole, config).collect()))
+        assert sorted(map(tuple, S.chunk_table_rows(rows, whole.select("doc_id", "table_id", "headers"), config, block=5).collect())) == expected
