@@ -347,7 +347,7 @@ ORACLE = {
     "claim_citations": f"""WITH {_ANSWERS}, l AS (SELECT doc_id, source, unnest(string_split(replace(answer, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(answer, chr(13) || chr(10), chr(10)), chr(10)), 1) AS l FROM answers),
       p AS (SELECT *, string_split(regexp_replace(trim(line), '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM l), v AS (SELECT doc_id, source, l, unnest(ps) AS answer, generate_subscripts(ps, 1) AS k FROM p),
       c AS (SELECT doc_id, source, l, k, list_contains({_CITES}, source) AS own,
-        regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(answer), '{E.CITATION}', '', 'g'), '^\s*([-*•]|\d+[.)])\s*', ''), '[{SPACE}]+', ' ', 'g')), '[ ,;:]+$', '') AS claim FROM v WHERE trim(answer) <> ''),
+        regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(answer), '{E.CITATION}', '', 'g'), '^\\s*([-*•]|\\d+[.)])\\s*', ''), '[{SPACE}]+', ' ', 'g')), '[ ,;:]+$', '') AS claim FROM v WHERE trim(answer) <> ''),
       w AS (SELECT *, len(regexp_extract_all(claim, '[^ ]+')) AS words FROM c),
       x AS (SELECT *, coalesce(last_value(CASE WHEN NOT own AND claim <> '' AND (words >= 4 OR regexp_matches(lower(claim), '{"|".join(E.PREFIX_MARKERS)}')) THEN claim END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY l, k), '') AS prefix FROM w)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l, k) - 1 AS claim_no, source AS citations,
