@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gneiss.llm import sql
 from gneiss.llm.chat_format import digest_chats, format_chats
 from gneiss.llm.decontaminate import leaked_pairs
+from gneiss.llm.exact_dedup import exact_groups
 from gneiss.llm.license_scan import scan_licenses
 from gneiss.llm.mixing import mix_sources
 from gneiss.llm.pii import find_pii
@@ -18,6 +19,8 @@ from gneiss.llm.session import new_path, table
 from gneiss.llm.simhash import simhash_groups
 from gneiss.llm.token_store import tokenize
 from gneiss.llm.url_filter import filter_urls
+from gneiss.llm.vector_codes import compress
+from gneiss.llm.whitening import whiten
 
 #: The conversation that the chat query adds to the table: both turns hold what other templates use as marks.
 EXTRA_CHAT = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
@@ -80,8 +83,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation as a long, null beyond one; the operator has up to 38 digits."""
+    return whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_quality_rules, op4_license_scan, op5_mixing, op6_url_filter, op7_quality_classifier, op8_simhash, op9_token_ids, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_chat_format, op2_pii, op3_quality_rules, op4_license_scan, op5_mixing, op6_url_filter, op7_quality_classifier, op8_simhash, op9_token_ids, op10_decontaminate, op11_exact_dedup, op12_whitening, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:

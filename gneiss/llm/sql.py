@@ -115,4 +115,48 @@ WITH d AS (
 SELECT doc_id, hits.item_id, shared, shingles, shared / shingles AS containment FROM hits JOIN n ON hits.item_id IS NOT DISTINCT FROM n.item_id AND hits.text = n.text WHERE 10 * shared >= 8 * shingles
 """
 
-ORACLE = {"op1_chat_format": OP1, "op3_quality_rules": OP3, "op6_url_filter": OP6, "op10_decontaminate": OP10}
+OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), g AS (
+  SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text
+)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM t JOIN g USING (text)
+"""
+
+
+def _codes(rounds: int = 2) -> str:
+    """The vector codes' SQL: a codebook, the nearest entries and the moved codebook for each round, then the last assignment."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS (
+  SELECT r, p, any_value(x.a) AS a, any_value(x.b) AS b, any_value(x.c) AS c, any_value(x.d) AS d,
+    min(64 * ((x.a - e.a) * (x.a - e.a) + (x.b - e.b) * (x.b - e.b) + (x.c - e.c) * (x.c - e.c) + (x.d - e.d) * (x.d - e.d)) + k) AS best
+  FROM parts x JOIN book{i} e USING (p) GROUP BY r, p
+)""")
+        if i < rounds:
+            steps.append(f"""book{i + 1} AS (
+  SELECT p, k, coalesce(m.a, e.a) AS a, coalesce(m.b, e.b) AS b, coalesce(m.c, e.c) AS c, coalesce(m.d, e.d) AS d
+  FROM book{i} e LEFT JOIN (
+    SELECT p, best % 64 AS k, CAST(floor(sum(a) / count(*)) AS BIGINT) AS a, CAST(floor(sum(b) / count(*)) AS BIGINT) AS b,
+      CAST(floor(sum(c) / count(*)) AS BIGINT) AS c, CAST(floor(sum(d) / count(*)) AS BIGINT) AS d
+    FROM near{i} GROUP BY p, best % 64) m USING (p, k)
+)""")
+    return r"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, [CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT) FOR v IN embedding] AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len([v FOR v IN embedding IF v IS NULL OR isnan(v) OR isinf(v)]) = 0
+), parts AS (
+  SELECT r, p, x[4 * p + 1] AS a, x[4 * p + 2] AS b, x[4 * p + 3] AS c, x[4 * p + 4] AS d FROM (SELECT r, x, unnest(generate_series(0, 15)) AS p FROM kept)
+), book0 AS (
+  SELECT p, r AS k, a, b, c, d FROM parts WHERE r < 64
+), """ + ", ".join(steps) + f""", coded AS (
+  SELECT r, string_agg(lpad(lower(hex(best % 64)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books
+"""
+
+
+ORACLE = {"op1_chat_format": OP1, "op3_quality_rules": OP3, "op6_url_filter": OP6, "op10_decontaminate": OP10, "op11_exact_dedup": OP11, "op13_vector_codes": _codes()}
