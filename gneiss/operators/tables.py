@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from gneiss.operators.readonly import UnsupportedQueryError, select_only
 from gneiss.shared import written
 
+__all__ = [
+    "ADMIN_ROLES", "OPERATIONS", "ColumnNotFoundError", "UnsupportedOperationError", "UnsupportedQueryError", "analyse", "cached_answers", "describe", "fresh_entries", "latest", "may_use", "not_yet",
+    "register_tables", "scope", "select_only", "shared_content", "stale", "upsert", "visible", "visible_counts",
+]
+
 OPERATIONS = ("count", "columns", "shape", "describe", "sum", "mean", "min", "max", "top_n", "bottom_n")
 ADMIN_ROLES = ("admin", "knowledge_admin")
 
@@ -21,10 +25,6 @@ class UnsupportedOperationError(ValueError):
     """An operation that isn't one of OPERATIONS."""
 
 
-class UnsupportedQueryError(ValueError):
-    """SQL that isn't a SELECT."""
-
-
 def _number(column: str) -> Column:
     value = F.col(f"`{column}`").cast("double")
     return F.when(~F.isnan(value), value)
@@ -86,13 +86,6 @@ def describe(df: DataFrame) -> DataFrame:
     return figures.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def select_only(spark: SparkSession, query: str) -> DataFrame:
-    """spark.sql of a query that begins with SELECT and is one statement; anything else, WITH too, raises UnsupportedQueryError."""
-    if not query.strip().lower().startswith("select") or re.search(r";\s*\S", query):
-        raise UnsupportedQueryError("only SELECT is allowed")
-    return spark.sql(query.strip().rstrip(";"))
-
-
 def register_tables(spark: SparkSession, folder: str, names: list[str]) -> None:
     for name in names:
         spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)

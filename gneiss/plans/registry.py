@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.plans import answers, corpus, lifecycle, retrieval, streams, tables
+from gneiss.plans import answers, corpus, lifecycle, retrieval, stored, streams, tables
 
-MODULES = [retrieval, corpus, tables, answers, lifecycle, streams]
+MODULES = [retrieval, corpus, tables, answers, lifecycle, stored, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
