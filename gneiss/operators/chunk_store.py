@@ -96,6 +96,25 @@ def verify(expected: DataFrame, staged: DataFrame) -> None:
         raise VerificationError("; ".join(f"{r['document_id']}: {r['wrong']}" for r in bad))
 
 
+def delete_documents(gone: DataFrame, root: str) -> None:
+    """Takes the documents of gone (tenant_id, document_id) out of the store, with their manifests, as one generation."""
+    spark = gone.sparkSession
+    begun, generation = current(spark, root), new_generation()
+    keys = ["tenant_id", "document_id"]
+    there = load_manifests(spark, root).join(gone.select(*keys).distinct(), keys, "left_semi").select(*keys, "bucket")
+    touched = {str(r[0]) for r in there.select("bucket").distinct().collect()}  # BUCKETS at most
+    if not touched:
+        return
+    left = set()
+    for what, schema in (("manifests", MANIFEST), ("chunks", CHUNK)):
+        kept = written(_read(spark, root, begun, what, schema, touched).join(gone.select(*keys).distinct(), keys, "left_anti").select(*schema.names), what)
+        kept.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "document_id").write.partitionBy("bucket").parquet(f"{root}/{generation}/{what}")
+        left = {str(r[0]) for r in kept.select("bucket").distinct().collect()}  # BUCKETS at most
+    own = Pointer(parts=dict.fromkeys(left, generation))
+    verify(_read(spark, root, own, "manifests", MANIFEST), _read(spark, root, own, "chunks", CHUNK))
+    publish(spark, root, begun, Pointer(generation=generation, parts={b: g for b, g in begun.parts.items() if b not in touched} | own.parts))
+
+
 def persist(documents: DataFrame, chunks: DataFrame, root: str, config: Mapping[str, Any], force: bool = False) -> DataFrame:
     """(document_id, status): stores the chunks of documents whose manifest has changed (all, with force) in place of their former ones.
 

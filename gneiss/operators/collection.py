@@ -106,6 +106,16 @@ def delete_points(spark: SparkSession, root: str, tenant_id: str, document_id: s
     return total
 
 
+def delete_documents(gone: DataFrame, root: str, row_group: int = ROW_GROUP) -> int:
+    """Deletes the points of all the documents of gone (tenant_id, document_id), and returns how many the collection then has."""
+    spark = gone.sparkSession
+    found = info(spark, root)
+    kept = points(spark, root).join(gone.select("tenant_id", "document_id").distinct(), ["tenant_id", "document_id"], "left_anti").select(*POINT.names)
+    total = kept.count()
+    _replace(spark, root, found.pointer, kept, found.pointer.facts | {"points": str(total)}, row_group)
+    return total
+
+
 def count(spark: SparkSession, root: str) -> int:
     """Points, from the pointer: no point is read."""
     return int(info(spark, root).pointer.facts["points"])

@@ -82,10 +82,11 @@ def raw_issues(docs: DataFrame) -> DataFrame:
 
 
 def clean_issues(pairs: DataFrame) -> DataFrame:
-    """From rows (doc_id, clean_doc_id, raw_text, clean_text, raw_pages, clean_pages, raw_tables, clean_tables, steps); pages: array of (page_number, ocr_used), tables: array of (table_id, n_rows).
+    """From rows (doc_id, clean_doc_id, raw_text, clean_text, raw_pages, clean_pages, raw_tables, clean_tables, steps); pages: array of (page_number, ocr_used), tables: array of (table_id, n_rows), and page_number where both have it.
 
     Retention compares lengths where the raw text isn't blank.
     """
+    paged = all("page_number" in pairs.schema[c].dataType.elementType.names for c in ("raw_tables", "clean_tables"))
     share = F.char_length("clean_text") / F.char_length("raw_text")
     compared = F.col("raw_text").isNotNull() & F.col("clean_text").isNotNull() & ~blank(F.col("raw_text")) & ~blank(F.col("clean_text"))
     same_size = lambda what: F.size(f"raw_{what}") == F.size(f"clean_{what}")
@@ -106,6 +107,7 @@ def clean_issues(pairs: DataFrame) -> DataFrame:
         issue(F.col("clean_tables").isNull(), "ERROR", "INVALID_CLEAN_TABLES"),
         issue(~same_size("tables"), "ERROR", "TABLE_COUNT_MISMATCH"),
         issue(differ("tables", "table_id"), "ERROR", "TABLE_ID_MISMATCH"),
+        *([issue(differ("tables", "page_number"), "ERROR", "TABLE_PROVENANCE_MISMATCH")] if paged else []),
         issue(differ("tables", "n_rows"), "ERROR", "TABLE_ROW_COUNT_MISMATCH"),
         issue(F.col("steps").isNull(), "ERROR", "INVALID_CLEANING_STEPS"),
         issue(F.size("steps") == 0, "WARNING", "NO_CLEANING_STEPS_RECORDED"),
@@ -203,6 +205,34 @@ def embedding_issues(chunks: DataFrame, vectors: DataFrame, dimension: int) -> D
     )
 
 
+def embedding_identity_issues(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Issues of vectors (document_id, position, chunk_id, tenant_id, department) at the places of chunks of the same columns: whose they are, and ids that a document or the corpus has twice.
+
+    Of an id's rows the first by document and position is no duplicate; a second one of the same document is one of the document and of the corpus. Ids are counted by
+    partial aggregates, so a frequent one isn't gathered.
+    """
+    place = ["document_id", "position"]
+    pairs = vectors.join(chunks.select(*place, *[F.col(c).alias(f"chunk_{c}") for c in ("tenant_id", "department")]), place, "left")
+    local = vectors.groupBy("document_id", "chunk_id").agg(F.min("position").alias("first_place"))
+    first = vectors.groupBy("chunk_id").agg(F.min("document_id").alias("first_document"))
+    known = pairs.join(local, ["document_id", "chunk_id"]).join(first, "chunk_id")
+    again = F.col("position") > F.col("first_place")
+    other = lambda c: F.col(f"chunk_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"chunk_{c}"))
+    return issues(
+        known, "chunk_id",
+        issue(F.col("chunk_tenant_id").isNull() & F.col("chunk_department").isNull(), "ERROR", "DOCUMENT_MISMATCH"),
+        issue(other("tenant_id"), "ERROR", "TENANT_MISMATCH"),
+        issue(other("department"), "ERROR", "DEPARTMENT_MISMATCH"),
+        issue(again, "ERROR", "DUPLICATE_LOCAL_EMBEDDING"),
+        issue(again | (F.col("document_id") > F.col("first_document")), "ERROR", "DUPLICATE_GLOBAL_EMBEDDING"),
+    )
+
+
+def point_count_issues(points: DataFrame, stated: int) -> DataFrame:
+    """The issue of a collection that states another number of points than it has."""
+    return issues(points.agg(F.count("*").alias("n")).withColumn("collection", F.lit("collection")), "collection", issue(F.col("n") != stated, "ERROR", "POINT_COUNT_MISMATCH"))
+
+
 def vector_issues(points: DataFrame, dimension: int) -> DataFrame:
     """From points of (PAYLOAD columns, vector); missing_fields lists the payload fields that are null."""
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in PAYLOAD]), lambda c: c.isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gneiss.functions import registry
 from gneiss.functions.text import token_count
-from gneiss.operators import chunk_store as S, collection as V, observed, retrieval as R, vector_index as I
+from gneiss.operators import chunk_store as S, collection as V, documents as D, observed, validation as X, vector_index as I
 from gneiss.operators.chunking import ChunkConfig, fixed_size, with_chunk_ids
 from gneiss.operators.readonly import select_only
 from gneiss.plans import corpus as K, retrieval as P
@@ -125,6 +125,45 @@ def chunk_store_chunks(spark, sf):
     return own.join(S.load_manifests(spark, root).select("document_id", "total_chunks", F.col("strategy_counts")[0]["n"].alias("fixed")), "document_id")
 
 
+def _catalog(spark, sf):
+    """Every document as a record and its text as an object."""
+    docs = _documents(spark, sf)
+    records = D.catalog(_root(spark, "catalog"))
+    none = F.lit(None).cast("string")
+    D.create(records, docs.select("document_id", "tenant_id", "department", F.concat("document_id", F.lit(".txt")).alias("filename"), F.lit(".txt").alias("file_type"), F.sha2("text", 256).alias("content_hash"), F.concat(F.lit("o/"), "document_id").alias("s3_key"), none.alias("status"), F.length("text").cast("long").alias("file_size"), F.lit(1).alias("version")))
+    return records, docs
+
+
+def catalog_states(spark, sf):
+    """Documents whose processing gives chunks become ready, the others fail."""
+    records, docs = _catalog(spark, sf)
+    chunked = fixed_size(docs, STORED).select("document_id").distinct().withColumn("done", F.lit(True))
+    D.settle(records, docs.join(chunked, "document_id", "left").select("document_id", F.when(F.col("done").isNull(), "no chunks").alias("error")))
+    return records.read(spark).groupBy("department", "status").agg(F.count("*").alias("n"), F.sum("file_size").alias("size"))
+
+
+def cascade_delete(spark, sf):
+    """Admins ask for toxic documents of their tenant and, as another tenant's, for those of low quality; employees for all other labelled ones. What comes of it, and what is left."""
+    records, docs = _catalog(spark, sf)
+    files = D.objects(_root(spark, "objects"))
+    files.put(docs.select(F.concat(F.lit("o/"), "document_id").alias("key"), F.encode("text", "UTF-8").alias("content")))
+    owners = docs.select("document_id", "tenant_id")
+    labels = _t(spark, sf, "labels").withColumn("document_id", F.col("doc_id").cast("string")).join(owners, "document_id")
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    asked = labels.select(F.col("doc_id").alias("request_id"), F.when(bad, "admin").otherwise("employee").alias("role"), F.when(F.col("toxic") == 1, F.col("tenant_id")).otherwise("elsewhere").alias("tenant_id"), "document_id")
+    found = D.delete_documents(asked, records, files=files).groupBy("outcome").agg(F.count("*").alias("n"))
+    left = records.read(spark).agg(F.lit("records left").alias("outcome"), F.count("*").alias("n"))
+    return found.union(left).union(files.read(spark).agg(F.lit("objects left"), F.count("*")))
+
+
+def embedding_owner_issues(spark, sf):
+    """Chunks of which equal texts have one id: whose vectors claim the least tenant and department of their id's chunks, and which repeat."""
+    chunks = fixed_size(_documents(spark, sf), STORED).select("document_id", F.col("chunk_index").alias("position"), F.md5("chunk_text").alias("chunk_id"), "tenant_id", "department")
+    chunks = written(chunks, "chunks")
+    claimed = chunks.groupBy("chunk_id").agg(F.min("tenant_id").alias("tenant_id"), F.min("department").alias("department"))
+    return X.counts(X.embedding_identity_issues(chunks, chunks.select("document_id", "position", "chunk_id").join(claimed, "chunk_id")))
+
+
 def sql_chunks(spark, sf):
     """Chunks by SQL alone: a cleaner and a chunker in a SELECT."""
     registry.register(spark)
@@ -187,7 +226,7 @@ def counted_write(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (indexed_topk, indexed_recall, indexed_whole, indexed_lists, collection_search, collection_counts, collection_document, chunk_store_statuses, chunk_store_chunks, sql_chunks, sql_cleaned, sql_packed, remembered_turns, cached_requests, bad_json_lines, line_round_trip, counted_write)
+    for f in (indexed_topk, indexed_recall, indexed_whole, indexed_lists, collection_search, collection_counts, collection_document, chunk_store_statuses, chunk_store_chunks, catalog_states, cascade_delete, embedding_owner_issues, sql_chunks, sql_cleaned, sql_packed, remembered_turns, cached_requests, bad_json_lines, line_round_trip, counted_write)
 }
 
 _POINTS = "p AS (SELECT vec_id AS doc_id, coalesce(label, -1)::VARCHAR AS document_id, 't' || (coalesce(label, -1) % 3) AS tenant_id, CASE WHEN coalesce(label, -1) % 2 = 0 THEN 'hr' ELSE 'it' END AS department, embedding::DOUBLE[] AS vector FROM embeddings)"
@@ -201,6 +240,13 @@ ORACLE = {
     "collection_document": f"WITH {_POINTS} SELECT tenant_id, department, document_id, count(*) AS n FROM p WHERE NOT (tenant_id = 't1' AND document_id = '7') GROUP BY ALL",
     "chunk_store_statuses": f"WITH {_SMALL}, has AS (SELECT DISTINCT doc_id FROM w) SELECT CASE WHEN has.doc_id IS NULL THEN 'REFUSED_ZERO_CHUNKS' WHEN l.doc_id IS NULL THEN 'WRITTEN' WHEN quality = 0 AND upper(text) <> text THEN 'REBUILT' ELSE 'SKIPPED_UP_TO_DATE' END AS status, count(*) AS n FROM documents LEFT JOIN has USING (doc_id) LEFT JOIN labels l USING (doc_id) GROUP BY ALL",
     "chunk_store_chunks": f"WITH {_SMALL} SELECT doc_id::VARCHAR AS document_id, count(*) AS chunks, sum(units)::BIGINT AS tokens, count(*) AS total_chunks, count(*) AS fixed FROM w GROUP BY doc_id",
+    "catalog_states": f"WITH {_SMALL}, has AS (SELECT DISTINCT doc_id, true AS done FROM w) SELECT lang AS department, CASE WHEN done THEN 'READY' ELSE 'FAILED' END AS status, count(*) AS n, sum(length(text))::BIGINT AS size FROM documents LEFT JOIN has USING (doc_id) GROUP BY ALL",
+    "cascade_delete": """WITH o AS (SELECT CASE WHEN toxic = 1 THEN 'DELETED' ELSE 'DENIED' END AS outcome FROM labels JOIN documents USING (doc_id)), k AS (SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+      SELECT outcome, count(*) AS n FROM o GROUP BY outcome UNION ALL SELECT 'records left', n FROM k UNION ALL SELECT 'objects left', n FROM k""",
+    "embedding_owner_issues": f"""WITH {_SMALL}, {K._INDEXED}, e AS (SELECT doc_id::VARCHAR AS document_id, chunk_index AS position, md5(chunk_text) AS chunk_id, source AS tenant_id, lang AS department FROM c JOIN documents USING (doc_id)),
+      g AS (SELECT *, min(tenant_id) OVER g AS t, min(department) OVER g AS d, min(document_id) OVER g AS f, min(position) OVER (PARTITION BY chunk_id, document_id) AS p FROM e WINDOW g AS (PARTITION BY chunk_id)),
+      i AS (SELECT unnest([CASE WHEN t <> tenant_id THEN 'TENANT_MISMATCH' END, CASE WHEN d <> department THEN 'DEPARTMENT_MISMATCH' END, CASE WHEN position > p THEN 'DUPLICATE_LOCAL_EMBEDDING' END, CASE WHEN position > p OR document_id > f THEN 'DUPLICATE_GLOBAL_EMBEDDING' END]) AS code FROM g)
+      SELECT 'ERROR' AS severity, code, count(*) AS n FROM i WHERE code IS NOT NULL GROUP BY code""",
     "sql_chunks": f"WITH {_SMALL}, {K._INDEXED} SELECT doc_id, chunk_index, units AS token_count, md5(chunk_text) AS digest FROM c",
     "sql_cleaned": K.ORACLE["clean_text"],
     "sql_packed": r"""WITH RECURSIVE u AS (
