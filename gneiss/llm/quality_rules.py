@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gneiss.llm.session import small_batches, text_or_empty, written
 
@@ -15,8 +15,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 FENCE = 6
 #: Metrics in thousandths, and their least spreads.
 METRICS = {"symbols": 60, "repeats": 60, "dup_lines": 60, "word_length": 500}
-#: A group of fewer documents is judged by the sketch merged over all groups.
-MIN_GROUP = 100
+#: Documents that the sketch of all documents counts as, merged into each group's own.
+PRIOR = 20
 #: Bits of a value that the sketch keeps: the relative error of a quantile is under 2 ** (1 - BITS).
 BITS = 8
 SYMBOLS = "#*$%&|<>"
@@ -89,15 +89,38 @@ def sketch(measured: DataFrame) -> DataFrame:
     return found.groupBy("lang", "source", "m.metric", "m.bin").agg(F.count("*").alias("n"))
 
 
-def fences(sketched: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, total and fence: the least value over which a document of the group is rejected."""
-    merged = sketched.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "metric")
-    placed = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "total": F.sum("n").over(group)})
-    quartile = lambda p: F.min(F.when(F.expr(f"100 * upto >= {p} * total"), F.col("bin")))
-    spread = F.create_map(*[F.lit(x) for pair in METRICS.items() for x in pair])[F.col("metric")]
-    cut = placed.groupBy(*keys, "metric").agg(quartile(25).alias("low"), quartile(75).alias("high"), F.max("total").alias("total"))
-    return cut.select(*keys, "metric", "total", (F.col("high") + FENCE * F.greatest(F.col("high") - F.col("low"), spread)).alias("fence"))
+def quantile(own: dict[int, int], whole: dict[int, int], percent: int) -> int:
+    """The least bin that so many percent of the blend reach: the group's documents, one each, and PRIOR documents spread as all documents are. In integers."""
+    n, total = sum(own.values()), sum(whole.values())
+    upto = 0
+    for b in sorted(own.keys() | whole.keys()):
+        upto += total * own.get(b, 0) + PRIOR * whole.get(b, 0)
+        if 100 * upto >= percent * total * (n + PRIOR):
+            return b
+    raise ValueError("a sketch without documents")
+
+
+def fences(sketched: DataFrame) -> DataFrame:
+    """(lang, source, metric, fence): fence is the value over which a document of the group is rejected.
+
+    A group's quartiles are those of its own sketch merged with the sketch of all documents, which counts as PRIOR documents whatever its size: a group of a few documents is judged much
+    like all are, a large one by itself, and nothing is switched on between. A sketch has a bounded number of bins, so a group's are held together, and the driver takes those of all documents.
+    """
+    whole: dict[str, dict[int, int]] = {m: {} for m in METRICS}
+    for m, b, n in sketched.groupBy("metric", "bin").agg(F.sum("n")).toLocalIterator():  # as many rows as bins at most
+        whole[m][b] = n
+    groups = sketched.groupBy("lang", "source", "metric").agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            out = []
+            for m, bins in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own = {x["bin"]: x["n"] for x in bins}
+                low, high = (quantile(own, whole[m], p) for p in (25, 75))
+                out.append(high + FENCE * max(high - low, METRICS[m]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], ["lang", "source", "metric", "fence"])
+
+    return groups.mapInArrow(batches, groups.select("lang", "source", "metric").schema.add("fence", "long"))
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
@@ -110,11 +133,8 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     """
     measured = written(with_measures(docs), "rules")
     sketched = written(sketch(measured), "rules-sketch")
-    wide = lambda f, keys: f.groupBy(*keys).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(m) for m in METRICS])
-    own, overall = wide(fences(sketched, ["lang", "source"]), ["lang", "source"]), wide(fences(sketched, []), [])
-    whole = overall.first()
-    use = lambda m: F.when(F.col("total") >= MIN_GROUP, F.col(m)).otherwise(F.lit(whole[m]).cast("long")).alias(f"fence_{m}")
-    own = written(own.select(F.col("lang").alias("l"), F.col("source").alias("s"), *[use(m) for m in METRICS]), "rules-fences")
+    cut = [F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"fence_{m}") for m in METRICS]
+    own = written(fences(sketched).groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(*cut), "rules-fences")
     joined = measured.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     base_failed = (F.col("n_words") < MIN_WORDS) | F.expr(f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     over = F.lit(False)

@@ -72,19 +72,21 @@ WITH w AS (
   FROM v WHERE n_words > 0
 ), counts AS (
   SELECT lang, source, metric, bin, max(spread) AS spread, count(*) AS n FROM b GROUP BY lang, source, metric, bin
-), own AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM counts
 ), merged AS (
   SELECT metric, bin, max(spread) AS spread, sum(n) AS n FROM counts GROUP BY metric, bin
-), overall AS (
-  SELECT *, sum(n) OVER (PARTITION BY metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY metric) AS total FROM merged
-), f AS (
-  SELECT lang, source, metric, max(total) AS total, min(bin) FILTER (100 * upto >= 75 * total) AS high, min(bin) FILTER (100 * upto >= 25 * total) AS low, max(spread) AS spread FROM own GROUP BY lang, source, metric
-), g AS (
-  SELECT metric, min(bin) FILTER (100 * upto >= 75 * total) AS high, min(bin) FILTER (100 * upto >= 25 * total) AS low, max(spread) AS spread FROM overall GROUP BY metric
+), blend AS (
+  SELECT lang, source, metric, bin, spread, n AS own, 0 AS every FROM counts
+  UNION ALL SELECT g.lang, g.source, metric, bin, spread, 0, n FROM (SELECT DISTINCT lang, source, metric FROM counts) g JOIN merged USING (metric)
+), cells AS (
+  SELECT lang, source, metric, bin, max(spread) AS spread, sum(own) AS own, sum(every) AS every FROM blend GROUP BY lang, source, metric, bin
+), placed AS (
+  SELECT lang, source, metric, bin, spread, sum(own) OVER up AS own, sum(every) OVER up AS every, sum(own) OVER g AS n, sum(every) OVER g AS total
+  FROM cells WINDOW up AS (PARTITION BY lang, source, metric ORDER BY bin), g AS (PARTITION BY lang, source, metric)
+), cut AS (
+  SELECT lang, source, metric, max(spread) AS spread, min(bin) FILTER (100 * (total * own + 20 * every) >= 25 * total * (n + 20)) AS low, min(bin) FILTER (100 * (total * own + 20 * every) >= 75 * total * (n + 20)) AS high
+  FROM placed GROUP BY lang, source, metric
 ), fence AS (
-  SELECT f.lang, f.source, f.metric, CASE WHEN f.total >= 100 THEN f.high + 6 * greatest(f.high - f.low, f.spread) ELSE g.high + 6 * greatest(g.high - g.low, g.spread) END AS fence
-  FROM f JOIN g USING (metric)
+  SELECT lang, source, metric, high + 6 * greatest(high - low, spread) AS fence FROM cut
 ), bad AS (
   SELECT DISTINCT v.id FROM v JOIN fence ON v.lang IS NOT DISTINCT FROM fence.lang AND v.source IS NOT DISTINCT FROM fence.source AND v.s.metric = fence.metric AND v.s.v > fence.fence
 )

@@ -226,6 +226,50 @@ def test_measures_against_brute_force():
         assert quality_rules.measure(text) == slow_measure(text), text
 
 
+def test_fences_of_small_and_large_groups_against_brute_force(spark):
+    """Quartiles of each group's documents, repeated, together with those of all, weighted to PRIOR documents."""
+    rng = random.Random(9)
+    rows = []
+    for source, n, share in (("large", 150, 0.02), ("loud", 120, 0.4), ("small", 6, 0.3), ("one", 1, 0.0), (None, 9, 0.1)):
+        for _ in range(n):
+            own = [rng.choice(["#", "*", "$"]) if rng.random() < share * rng.random() else rng.choice("abcdefghij") * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(rng.randint(55, 90))]
+            rows.append((len(rows), "en" if rng.random() < 0.8 else None, source, "\n".join(" ".join(own[k : k + 12]) for k in range(0, len(own), 12))))
+    rows.append((len(rows), "en", "small", " ".join(f"w{k}#########" for k in range(60))))
+    rows += [(len(rows), "en", "large", None), (len(rows) + 1, "en", "empty", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+
+    def figures(text):
+        n, chars, symbols, dup, repeated, lines = quality_rules.measure(text)
+        return {"symbols": 1000 * symbols // n, "repeats": 1000 * repeated // n, "dup_lines": 1000 * dup // max(lines, 1), "word_length": 1000 * chars // n}
+
+    cut = lambda v: v >> max(v.bit_length() - quality_rules.BITS, 0) << max(v.bit_length() - quality_rules.BITS, 0)
+    known = {d: figures(t) for d, _, _, t in rows if t and t.split()}
+    every = {m: sorted(cut(f[m]) for f in known.values()) for m in quality_rules.METRICS}
+
+    def fence(lang, source, m):
+        own = [cut(known[d][m]) for d, a, b, _ in rows if d in known and (a, b) == (lang, source)]
+        blend = sorted([(v, len(every[m])) for v in own] + [(v, quality_rules.PRIOR) for v in every[m]])
+        total, out = sum(w for _, w in blend), []
+        for percent in (25, 75):
+            upto = 0
+            for v, w in blend:
+                upto += w
+                if 100 * upto >= percent * total:
+                    out.append(v)
+                    break
+        return out[1] + quality_rules.FENCE * max(out[1] - out[0], quality_rules.METRICS[m])
+
+    got = {(r.lang, r.source, r.metric): r.fence for r in quality_rules.fences(quality_rules.sketch(quality_rules.with_measures(docs))).collect()}
+    groups = {(a, b) for d, a, b, _ in rows if d in known}
+    assert got == {(a, b, m): fence(a, b, m) for a, b in groups for m in quality_rules.METRICS}
+    assert len({got[a, b, "symbols"] for a, b in groups}) > 3
+    base = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
+    for d, a, b, _ in rows:
+        over = d in known and any(known[d][m] > fence(a, b, m) for m in quality_rules.METRICS)
+        assert base[d].kept == (not base[d].base_failed and not over), d
+    assert any(not r.kept and not r.base_failed for r in base.values())
+
+
 def test_quality_rules_edge_rows(spark):
     good = " ".join(f"word{k}" for k in range(80))
     rows = [(k, good + f" n{k}", "en", "s") for k in range(150)] + [(500, " ".join("$$$x" for _ in range(1)) + " " + " ".join(f"w{k}$$$" for k in range(90)), "en", "s"), (501, None, None, None), (502, "", "en", "s"), (503, "a b c " * 60, "en", "s"), (503, "a b c " * 60, "en", "s"), (504, good, None, None)]
