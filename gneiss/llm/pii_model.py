@@ -61,9 +61,10 @@ class _Writer:
         return "".join(self.pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(self.rng.integers(3, 11))))
 
     def email(self) -> str:
-        at, dot = self.pick([("@", "."), ("@", "."), (" @ ", " . "), (" @ ", "."), (" [at] ", "."), (" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" AT ", " DOT "), ("{at}", "{dot}"), ("<at>", ".")])
-        parts = [self.label() for _ in range(self.pick([1, 1, 2, 2, 3]))]
-        joint = self.pick([".", ".", "_", "-", "+"]) if dot != " dot " or self.rng.random() < 0.5 else dot
+        at, dot = self.pick([("@", "."), ("@", "."), (" @ ", " . "), (" @ ", "."), (" [at] ", "."), (" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" AT ", " DOT "), ("{at}", "{dot}"), ("<at>", "."), (" at ", "."), (" at ", "."), ("＠", "."), ("＠", "．"), (" (ät) ", "."), ("[ät]", "."), (" (ät) ", " dot ")])
+        # Beside a plain word for at and plain dots, only a name of more parts tells an address from "look at example.com".
+        parts = [self.label() for _ in range(self.pick([2, 2, 3] if (at, dot) == (" at ", ".") else [1, 1, 2, 2, 3]))]
+        joint = self.pick([".", ".", "_", "-"]) if (at, dot) == (" at ", ".") else self.pick([".", ".", "_", "-", "+"]) if dot != " dot " or self.rng.random() < 0.5 else dot
         name = joint.join(parts) + self.pick(["", "", self.digits(2), f".{self.digits(2)}"])
         return name + at + dot.join([*(self.label() for _ in range(self.pick([1, 1, 2, 2, 3]))), self.pick(["com", "org", "net", "de", "io", "fr", "edu", "es"])])
 
@@ -91,6 +92,7 @@ class _Writer:
             hexes, f'token = "{hexes}"', f"AKIA{key}", f"password={hexes[:18]}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)}.{d(2)}", f"${d(2)},{d(3)}.{d(2)}", f"{d(1)}.{d(3)}.{d(3)}",
             f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", d(int(self.rng.integers(1, 9))), f"{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"id {d(15)}x", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(4)}-{d(4)}", f"{d(4)}/{d(2)}",
             f"{d(2)}.{d(4)}, {d(2)}.{d(4)}", f"{hexes[:8]}-{d(4)}-{d(4)}-{d(4)}-{hexes[:12].ljust(12, '0')}", f"no. {d(5)}, {d(4)}, {d(4)} and {d(3)}", f"{d(2)} {d(2)} {d(1)}", f"version {d(1)}.0.", "***", "###", "&&&",
+            f"at {self.label()}.com", f"look at {self.label()}.org", f"{self.word()} at {self.label()}.de", f"({self.label()[:4]})", f"({self.word()})", "(ät)",
             "at the dot", "a dot at the end", "dot by dot", "at home", "meet at noon", "the dot com years", "look at it. Then", "[at]", "(see at end)", "[dot]", "@", "@ 5",
         ])
 
@@ -103,6 +105,10 @@ class _Writer:
             if r < 0.14:
                 kind = int(self.rng.integers(len(KINDS)))
                 own = getattr(self, KINDS[kind])()
+                if self.rng.random() < 0.25:
+                    lead = self.pick(["at ", "me at ", "us at ", "to ", "write to ", "mail ", "call "])
+                    text += lead
+                    tags += [0] * len(lead)
                 text += own
                 tags += [1 + 2 * kind] + [2 + 2 * kind] * (len(own) - 1)
             else:

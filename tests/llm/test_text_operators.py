@@ -187,6 +187,28 @@ def test_added_spans_keep_the_base_ones_and_do_not_depend_on_place(tagger):
         assert every == [(at + 11, 0, at + 42), *base]
 
 
+def test_the_gate_loses_nothing_that_decoding_every_window_finds(tagger, spark):
+    """By kind, over written spellings and over texts of the given documents."""
+    writer = pii_model._Writer(123)
+    for kind in pii_model.KINDS:
+        texts = [f"{writer.word()} {writer.word()} {getattr(writer, kind)()} {writer.word()} {writer.word()}" for _ in range(100)]
+        every = [set(found) for _, found in pii.find_spans(texts, tagger, gated=False)]
+        some = [set(found) for _, found in pii.find_spans(texts, tagger)]
+        assert sum(len(e & s) for e, s in zip(every, some)) >= 0.99 * sum(map(len, every)) > 90, kind
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").collect()]
+    assert pii.find_spans(texts, tagger) == pii.find_spans(texts, tagger, gated=False)
+
+
+def test_addresses_with_a_plain_at_and_wide_signs(tagger):
+    prose = ["The office said that you can write to {} before the end of the week, and they will answer.", "Bitte melden Sie sich unter {} wenn Sie Fragen haben.", "contact: {}\nnext line of the page", "Kontakt: {} bitte"]
+    for own in ("john.smith at example.com", "john＠example.com", "anna.berg＠firma．de"):
+        for text in (p.format(own) for p in prose):
+            assert (text.index(own), 0, text.index(own) + len(own)) in pii.find_spans([text], tagger)[0][1], text
+    for text in ("look at example.com for more", "visit us at shop.org today", "we met at paris.de. then"):
+        assert pii.find_spans([text], tagger) == [([], [])], text
+    assert all(pii.windows(t, []) == [0] for t in ("john.smith at example.com", "john＠example.com", "anna.berg (ät) firma.de"))
+
+
 def test_windows_that_are_left_out_hold_no_span():
     writer = pii_model._Writer(7)
     for kind in pii_model.KINDS:
