@@ -1,9 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 A document that holds the share c of an item's q distinct shingles lacks at most (1 - c) q of them, so of any (1 - c) q + 1 it
-holds one. The search keeps of each item the MinHash sketch of so many least shingle hashes, as its size class has it, and looks
-a whole document's shingles up among the sketches of all items: no document that holds an item is missed, wherever in it the
-item's shingles are. What meets a sketch is verified by a join on the shingles themselves.
+holds one. The search keeps of each item the MinHash sketch of so many least shingle hashes, as its size class has it, those that
+the fewest items share first, and looks a whole document's shingles up among the sketches of all items: no document that holds an
+item is missed, wherever in it the item's shingles are. Only documents and items that meet in a sketch, and of which the document
+is large enough for the item, are candidates; these are verified on all their shingles. So a phrase that many items and many
+documents share is in no sketch, and makes no pairs, unless an item has hardly anything else.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gneiss.llm.filters import hash_filter, held, maybe_in
 from gneiss.llm.session import free_name, small_batches, text_or_empty, written
@@ -23,7 +25,7 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Bits for each item's shingle in the bitmaps, up to their bound: of 8,192 other shingles one passes.
 LOOKUP_BITS = 1 << 13
-_ITEM_COLUMNS = {"gram": "string", "least": "boolean", "shingles": "long", "wanted": "long", "size": "long", "h": "long"}
+_ITEM_COLUMNS = {"gram": "string", "sketch": "long", "shingles": "long", "wanted": "long", "size": "long", "h": "long"}
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -52,7 +54,7 @@ def gram(found: Words, at: int, size: int) -> str:
 
 def item_shingles(items: DataFrame, key: str, text: str, containment: float) -> DataFrame:
     """(item_id, item_text, gram, least, shingles, wanted, size, h): each distinct shingle of each distinct item, h its hash, least whether it is in
-    the item's sketch, shingles the number of all, wanted how many of them a document has to hold.
+    the item's sketch, shingles the number of all, wanted how many of them a document has to hold. A sketch has the shingles of the fewest items, and of these the least hashes.
 
     An item of fewer than SHINGLE words is one shingle of all its words; one without words, or of null text, is left out.
     item_id may be of any type and null; item_text is a hash of the text, since items may share an id.
@@ -75,19 +77,21 @@ def item_shingles(items: DataFrame, key: str, text: str, containment: float) ->
                 size = min(SHINGLE, n)
                 runs, first = by_size[size]
                 h, at = np.unique(runs[first[k] : first[k + 1]], return_index=True)
-                least = np.arange(len(h)) < sketch_size(len(h), containment)
                 grams = pa.array([gram(found, int(found.first[k] + a), size) for a in at], pa.string())
                 whole = lambda v, kind: pa.array(np.full(len(h), v), kind)
                 ids = batch.slice(k, 1).select([0, 1])
                 same = [c.take(pa.array(np.zeros(len(h), np.int64))) for c in ids.columns]
                 wanted = int(np.ceil(containment * len(h) - 1e-9))
-                yield pa.RecordBatch.from_arrays([*same, grams, pa.array(least), whole(len(h), pa.int64()), whole(wanted, pa.int64()), whole(size, pa.int64()), pa.array(h.view(np.int64))], schema.names)
+                yield pa.RecordBatch.from_arrays([*same, grams, whole(sketch_size(len(h), containment), pa.int64()), whole(len(h), pa.int64()), whole(wanted, pa.int64()), whole(size, pa.int64()), pa.array(h.view(np.int64))], schema.names)
 
-    return given.mapInArrow(rows, schema)
+    each = written(given.mapInArrow(rows, schema), "leak-shingles")
+    shared = each.groupBy("gram").agg(F.count("*").alias("items"))
+    place = F.row_number().over(Window.partitionBy("item_id", "item_text").orderBy("items", "h", "gram"))  # an item's own shingles
+    return each.join(shared, "gram").withColumn("least", place <= F.col("sketch")).drop("sketch", "items")
 
 
-def met(column: pa.Array, sizes: list[int], sketches: np.ndarray, every: np.ndarray) -> Iterator[tuple[int, list[str]]]:
-    """(place, shingles) of the texts with a shingle among the sketches: those of their distinct shingles that may be among every item's."""
+def met(column: pa.Array, sizes: list[int], sketches: np.ndarray, every: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
+    """(place, words, shingles) of the texts with a shingle among the sketches: those of their distinct shingles that may be among every item's."""
     for lo, hi in slices(column):
         found = words(column.slice(lo, hi - lo))
         plain = found.hashes()
@@ -100,7 +104,7 @@ def met(column: pa.Array, sizes: list[int], sketches: np.ndarray, every: np.ndar
                 for at in np.flatnonzero(held(every, own)):
                     asked.setdefault(int(k), set()).add(gram(found, int(found.first[k] + at), size))
         for k in sorted(asked):
-            yield lo + k, sorted(asked[k])
+            yield lo + k, int(found.first[k + 1] - found.first[k]), sorted(asked[k])
 
 
 def _text_keys() -> tuple[Column, Column]:
@@ -109,6 +113,13 @@ def _text_keys() -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(text, F.lit("second"))
 
 
+def candidates(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(k1, k2, item_id, item_text) of the texts (k1, k2, words, grams) and items (item_shingles) that meet in the item's sketch and by their sizes can be one in the other."""
+    sketched = known.where("least").select("gram", "item_id", "item_text", "wanted")
+    pairs = found.select("k1", "k2", "words", F.explode("grams").alias("gram")).join(sketched, "gram").where("words >= wanted")
+    return pairs.select("k1", "k2", "item_id", "item_text").distinct()
+
+
 def text_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(k1, k2, item_id, shared, shingles), written: the items that each distinct text of docs (text) holds; k1 and k2 as in _text_keys.
 
@@ -124,14 +135,17 @@ def text_leaks(docs: DataFrame, items: DataFrame, containment: float = CONTAINME
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             got = list(met(batch.column(2), sizes, sketches.value, every.value))
-            places = pa.array([k for k, _ in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.array([g for _, g in got], pa.list_(pa.string()))], ["k1", "k2", "grams"])
+            places = pa.array([k for k, _, _ in got], pa.int64())
+            columns = [batch.column(0).take(places), batch.column(1).take(places), pa.array([n for _, n, _ in got], pa.int64()), pa.array([g for _, _, g in got], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "words", "grams"])
 
     k1, k2 = _text_keys()
-    found = docs.select(k1.alias("k1"), k2.alias("k2"), text_or_empty().alias("text")).mapInArrow(rows, "k1 long, k2 long, grams array<string>")
-    found = written(found, "leak-shingles").groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
-    pairs = found.select("k1", "k2", F.explode("grams").alias("gram")).join(known.select("gram", "item_id", "item_text", "shingles", "wanted"), "gram")
-    counted = pairs.groupBy("k1", "k2", "item_id", "item_text", "shingles", "wanted").agg(F.count("*").alias("shared"))
+    found = docs.select(k1.alias("k1"), k2.alias("k2"), text_or_empty().alias("text")).mapInArrow(rows, "k1 long, k2 long, words long, grams array<string>")
+    found = written(found.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.first("grams").alias("grams")), "leak-texts")
+    whole = known.groupBy("item_id", "item_text", "shingles", "wanted").agg(F.collect_list("gram").alias("own"))  # an item's own shingles
+    both = candidates(found, known).alias("c").join(whole.alias("w"), F.col("c.item_id").eqNullSafe(F.col("w.item_id")) & (F.col("c.item_text") == F.col("w.item_text")))
+    both = both.select("k1", "k2", "c.item_id", "shingles", "wanted", "own").join(found.select("k1", "k2", "grams"), ["k1", "k2"])
+    counted = both.select("k1", "k2", "item_id", F.size(F.array_intersect("grams", "own")).cast("long").alias("shared"), "shingles", "wanted")
     return written(counted.where("shared >= wanted").select("k1", "k2", "item_id", "shared", "shingles"), "leaks")
 
 

@@ -333,3 +333,19 @@ def test_pipeline_stages_take_effect(spark):
     assert kept[0] > kept[1] > kept[2] > kept[3] > 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == kept[-1] and out.agg(F.sum("n_tokens")).first()[0] == out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
+
+
+def test_a_phrase_of_many_items_and_documents_makes_no_candidates(spark, monkeypatch):
+    """Each of 80 items and 300 documents has the same passage; only the documents with an item of their own are candidates, of that item alone."""
+    rng = random.Random(12)
+    made = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    stock = made(8)
+    items = [(k, f"{made(30)} {stock} {made(6)}") for k in range(80)] + [(None, stock)]
+    docs = [(k, f"{made(40)} {stock} {made(9)}") for k in range(300)] + [(1000 + k, f"{made(5)} {items[k][1]} {made(5)}") for k in range(3)] + [(2000, " ".join(items[5][1].split()[:12]))]
+    seen = []
+    whole = decontaminate.candidates
+    monkeypatch.setattr(decontaminate, "candidates", lambda f, k: seen.append(whole(f, k).collect()) or whole(f, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaked_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), bench).collect()}
+    assert got == {(k, None) for k in range(300)} | {(1000 + k, i) for k in range(3) for i in (k, None)}
+    assert len([c for c in seen[0] if c.item_id is not None]) == 3
