@@ -81,18 +81,19 @@ def answer_units(answer: Column) -> Column:
 
 def completeness(answer: Column, allowed: Column) -> Column:
     """Struct of factual, cited and score. A unit of citations alone counts for the unit before it; one that ends in a colon doesn't count; without units the score is 1."""
-    start = F.array().cast("array<boolean>")
-
-    def step(state: Column, unit: Column) -> Column:
-        cited = F.size(valid_citations(unit, allowed)) > 0
-        last = F.size(state) - 1
-        credited = F.when(F.size(state) > 0, F.concat(F.slice(state, F.lit(1), F.greatest(last, F.lit(0))), F.array(F.element_at(state, -1) | cited))).otherwise(state)
-        alone = unit.rlike(r"^(?:\s*\[[^\[\]]+\]\s*)+$")
-        return F.when(unit.endswith(":"), state).when(alone, credited).otherwise(F.array_append(state, cited))
-
-    flags = F.aggregate(answer_units(answer), start, step)
-    cited = F.size(F.filter(flags, lambda f: f))
-    return F.struct(F.size(flags).alias("factual"), cited.alias("cited"), F.when(F.size(flags) == 0, 1.0).otherwise(cited / F.size(flags)).alias("score"))
+    marks = F.transform(answer_units(answer), lambda u: F.struct(u.endswith(":").alias("colon"), u.rlike(r"^(?:\s*\[[^\[\]]+\]\s*)+$").alias("alone"), (F.size(valid_citations(u, allowed)) > 0).alias("cited")))
+    start = F.struct(F.lit(0).alias("factual"), F.lit(0).alias("cited"), F.lit(False).alias("last"))
+
+    def step(state: Column, mark: Column) -> Column:
+        own = ~mark["colon"] & ~mark["alone"]
+        credit = ~mark["colon"] & mark["alone"] & mark["cited"] & (state["factual"] > 0) & ~state["last"]
+        return F.struct(
+            (state["factual"] + own.cast("int")).alias("factual"), (state["cited"] + (own & mark["cited"] | credit).cast("int")).alias("cited"),
+            F.when(own, mark["cited"]).otherwise(state["last"] | credit).alias("last"),
+        )
+
+    score = lambda s: F.when(s["factual"] == 0, 1.0).otherwise(s["cited"] / s["factual"])
+    return F.aggregate(marks, start, step, lambda s: F.struct(s["factual"].alias("factual"), s["cited"].alias("cited"), score(s).alias("score")))
 
 
 def claims(answer: Column, allowed: Column) -> Column:

@@ -201,15 +201,13 @@ def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
     run = lambda k, n: F.xxhash64(F.array_join(F.slice("w", k, n), " "))
     keyed = asked.where(F.size("w") > 2).withColumn("n", F.least(F.size("w") - 2, F.lit(KEY_WORDS))).select("query_id", "n", run(2, F.col("n")).alias("key"))
     worded = docs.where("text is not null").select("doc_id", F.split("text", r"\s+").alias("w"))
-    met = None
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: run(k, F.lit(n)))
-    for n in sorted(r[0] for r in keyed.select("n").distinct().collect()):  # KEY_WORDS at most
-        keys = runs(n)
-        own = worded.select("doc_id", F.explode(keys).alias("key")).join(keyed.where(F.col("n") == n).select("query_id", "key"), "key").select("query_id", "doc_id")
-        met = own if met is None else met.union(own)
+    sizes = sorted(r[0] for r in keyed.select("n").distinct().collect())  # KEY_WORDS at most
     out = _containing_short(docs, asked.where(F.size("w") <= 2))
-    if met is not None:
-        pairs = met.distinct().join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    if sizes:
+        # One pass over the texts for all lengths; where the queries' keys are few, Spark sends them to it and no run is shuffled.
+        each = worded.select("doc_id", "w", F.explode(F.array(*map(F.lit, sizes))).alias("n")).where(F.size("w") >= F.col("n"))
+        runs = each.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda k: run(k, F.col("n")))).alias("key"))
+        pairs = runs.join(keyed, ["n", "key"]).select("query_id", "doc_id").distinct().join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
         out = out.union(pairs.where(F.contains("text", F.col("query"))).select("query_id", "doc_id"))
     return out.distinct()
 
