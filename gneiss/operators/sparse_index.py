@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -11,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gneiss.functions.text import word_tokens
+from gneiss.operators.generations import Pointer, PublishConflictError, current, new_generation, publish
 from gneiss.operators.validation import issue, issues
 from gneiss.shared import shared_dir
 
@@ -102,12 +104,17 @@ def load_sparse_index(spark: SparkSession, path: str) -> SparseIndex:
 
 def sparse_index(docs: DataFrame, folder: str | None = None, epsilon: float = EPSILON) -> SparseIndex:
     """The index of rows (doc_id, text), kept in folder (by default the shared one) under the corpus's fingerprint: loaded where it's there, else built."""
-    corpus = corpus_fingerprint(docs)
-    path = f"{folder or shared_dir(docs.sparkSession)}/sparse-index-{INDEX_VERSION}-{epsilon}-{corpus}"
-    found = load_manifest(docs.sparkSession, path)
+    spark, corpus = docs.sparkSession, corpus_fingerprint(docs)
+    root = f"{folder or shared_dir(spark)}/sparse-index-{INDEX_VERSION}-{epsilon}-{corpus}"
+    begun = current(spark, root)
+    found = load_manifest(spark, f"{root}/{begun.generation}") if begun.generation else None
     if found is not None and found == Manifest(found.documents, found.average_length, corpus, epsilon=epsilon):
-        return load_sparse_index(docs.sparkSession, path)
-    return build_sparse_index(docs, path, epsilon, corpus)
+        return load_sparse_index(spark, f"{root}/{begun.generation}")
+    generation = new_generation()  # a folder of its own, so that two sessions that build the same index don't touch each other's files
+    made = build_sparse_index(docs, f"{root}/{generation}", epsilon, corpus)
+    with contextlib.suppress(PublishConflictError):  # another session's index of this corpus will be loaded next time
+        publish(spark, root, begun, Pointer(generation=generation))
+    return made
 
 
 def sparse_index_issues(docs: DataFrame, path: str) -> DataFrame:

@@ -174,11 +174,7 @@ def point_ids(spark, sf):
 
 def hybrid_topk(spark, sf):
     """Sparse and, by the stand-in embedder, dense rankings of the documents, fused."""
-    docs, queries = P._docs(spark, sf), P._queries(spark, sf)
-    vectors = docs.select("doc_id", stores.hashing_embedder(F.col("text")).alias("vector"))
-    asked = queries.select("query_id", stores.hashing_embedder(F.col("query")).alias("vector"))
-    dense = R.ranked(R.dense_scores(vectors, asked, 10), 10, "doc_id")
-    return R.fuse([dense, P.bm25_topk(spark, sf)], 10)
+    return R.fuse([P._dense(spark, sf), P.bm25_topk(spark, sf)], 10)
 
 
 QUERIES = {f.__name__: f for f in (judge_parse, claim_verdicts, evidence, judge_prompts, rag_quality, prompt_behaviour, context_retention, retriever_overlap, three_rankings, retrieval_outcomes, contextualised_hits, retrieval_decision, memory_outcomes, contextualise, history_select, corpus_sync, clean_pair_issues, clean_pair_all_issues, vector_point_issues, cache_entries, point_ids, hybrid_topk)}
@@ -191,8 +187,6 @@ _FACTS = " + ".join("(" + " OR ".join(f"contains({_NORM}, '{p}')" for p in g) +
 _OUT = f"""{P._BM25}, {P._TWO}, {P._RELEVANT}, o AS (SELECT query_id, coalesce(bool_or(other.rank <= 3), false) AS had, coalesce(bool_or(sparse.rank <= 3), false) AS has FROM rel LEFT JOIN other USING (query_id, doc_id) LEFT JOIN sparse USING (query_id, doc_id) GROUP BY query_id),
 oc AS (SELECT query_id, CASE WHEN NOT had AND has THEN 'IMPROVED' WHEN had AND NOT has THEN 'REGRESSED' ELSE 'UNCHANGED' END AS outcome FROM o)"""
 _N = lambda x: f"trim(regexp_replace(lower({x}), '[{_S}]+', ' ', 'g'))"
-_EMBEDDED = lambda t, key, x="": f"""{x}wb AS (SELECT {key} AS doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS b FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {t})),
-  {x}v AS (SELECT doc_id, b, count(*)::DOUBLE AS n FROM {x}wb GROUP BY ALL), {x}vn AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM {x}v GROUP BY doc_id)"""
 ORACLE = {
     "judge_parse": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'PARTIALLY_SUPPORTED' WHEN 5 THEN 'UNSUPPORTED' END AS verdict, CASE doc_id % 6 WHEN 2 THEN 'invalid verdict' WHEN 3 THEN 'empty reason' WHEN 4 THEN 'invalid JSON' END AS error FROM documents",
     "claim_verdicts": "SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'A') THEN 'SUPPORTED' WHEN bool_or(l_returnflag IN ('A', 'N')) THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict FROM lineitem GROUP BY l_orderkey",
@@ -230,8 +224,6 @@ ORACLE = {
       WHEN vec_id % 16 = 13 THEN ['MISSING_VECTOR'] WHEN vec_id % 16 = 14 THEN ['DIMENSION_MISMATCH'] ELSE [] END) AS code FROM embeddings) SELECT 'ERROR' AS severity, code, count(*) AS n FROM i GROUP BY code""",
     "point_ids": """SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS point_id
       FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id::VARCHAR)) AS h FROM documents)""",
-    "hybrid_topk": f"""WITH {P._BM25}, {_EMBEDDED('documents', 'doc_id')}, {_EMBEDDED('benchmark', 'item_id', 'q')}, vs AS (SELECT v.doc_id, qv.doc_id AS query_id, sum(v.n * qv.n) AS dot FROM v JOIN qv USING (b) GROUP BY ALL),
-      sc AS (SELECT query_id, doc_id, round(dot / (vn.norm * qvn.norm), 6) AS score FROM vs JOIN vn USING (doc_id) JOIN qvn ON qvn.doc_id = query_id), other AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10),
-      sparse AS (SELECT query_id, doc_id, rank FROM top), {P._fused('f', 10)} SELECT * FROM f""",
+    "hybrid_topk": f"WITH {P._BM25}, {P._TWO}, {P._fused('f', 10)} SELECT * FROM f",
     "cache_entries": "SELECT event_type, count(*) AS n FROM events WHERE ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-02 00:00:00' GROUP BY event_type",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gneiss.functions.text import STOP_WORDS
-from gneiss.operators import context as C, evaluation as E, retrieval as R
+from gneiss.operators import context as C, evaluation as E, retrieval as R, stores
 from gneiss.operators.sparse_index import sparse_index
 from gneiss.shared import written
 
@@ -84,13 +84,16 @@ def score_threshold(spark, sf):
     return R.dense_scores(_vectors(spark, sf), _asked(spark, sf), least=0.5)
 
 
+def _dense(spark, sf):
+    """The documents by the stand-in embedder, ranked for each item."""
+    vectors = _docs(spark, sf).select("doc_id", stores.hashing_embedder(F.col("text")).alias("vector"))
+    asked = _queries(spark, sf).select("query_id", stores.hashing_embedder(F.col("query")).alias("vector"))
+    return R.ranked(R.dense_scores(vectors, asked, LIMIT), LIMIT, "doc_id")
+
+
 def _two_lists(spark, sf):
-    """Two rankings of the same documents: by score, and by score for the root of the text's length; written, since many queries read them more than once."""
-    scores = written(_sparse(spark, sf), "scores")
-    sparse = R.ranked(scores, LIMIT, "doc_id").select("query_id", "doc_id", "rank")
-    lengths = _docs(spark, sf).select("doc_id", F.char_length("text").alias("n"))
-    other = R.ranked(scores.join(lengths, "doc_id").withColumn("score", F.round(F.col("score") * 100 / F.sqrt(F.col("n") + 1.0), 6)), LIMIT, "doc_id").select("query_id", "doc_id", "rank")
-    return written(other, "ranked"), written(sparse, "ranked")
+    """The dense and the sparse ranking of the documents, each with candidates of its own; written, since many queries read them more than once."""
+    return tuple(written(hits.select("query_id", "doc_id", "rank"), "ranked") for hits in (_dense(spark, sf), bm25_topk(spark, sf)))
 
 
 def rrf_fusion(spark, sf):
@@ -201,8 +204,13 @@ q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS term FROM q) GROUP BY ALL),
 scores AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN qt USING (term) JOIN idf USING (term), stats GROUP BY ALL) WHERE score <> 0),
 top AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10)"""
-_TWO = """sparse AS (SELECT query_id, doc_id, rank FROM top),
-other AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s2 DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(score * 100 / sqrt(length(text) + 1.0), 6) AS s2 FROM scores JOIN d USING (doc_id))) WHERE rank <= 10)"""
+#: Counts of words by their MD5, modulo 64, of the rows of a table; and the dense ranking by their cosine beside the sparse one.
+_EMBEDDED = lambda t, key, x="": f"""{x}wb AS (SELECT {key} AS doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS b FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {t})),
+  {x}v AS (SELECT doc_id, b, count(*)::DOUBLE AS n FROM {x}wb GROUP BY ALL), {x}vn AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM {x}v GROUP BY doc_id)"""
+_TWO = f"""{_EMBEDDED('documents', 'doc_id')}, {_EMBEDDED('benchmark', 'item_id', 'q')}, vs AS (SELECT v.doc_id, qv.doc_id AS query_id, sum(v.n * qv.n) AS dot FROM v JOIN qv USING (b) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, round(dot / (vn.norm * qvn.norm), 6) AS score FROM vs JOIN vn USING (doc_id) JOIN qvn ON qvn.doc_id = query_id),
+other AS MATERIALIZED (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10),
+sparse AS (SELECT query_id, doc_id, rank FROM top)"""
 _RELEVANT = "rel AS (SELECT DISTINCT query_id, doc_id FROM q, d WHERE contains(d.text, q.query))"
 
 
