@@ -7,10 +7,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from gneiss.llm import rans
 from gneiss.llm.session import new_path, only_cache, small_batches, text_or_empty, written
@@ -206,7 +208,7 @@ def encoder(path: str, special: bool) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = True, segment: int = SEGMENT_TOKENS) -> None:
-    """Writes docs' ids to the folder path: Parquet files of rows (part, number, data), data a segment of rans.py.
+    """Writes docs' ids to the folder path: Parquet files of rows (part, number, data), data a segment of rans.py; doc_ids that aren't integers are in a further column, names, beside their segment.
 
     The rows of docs (doc_id, text) are in ascending order of doc_id, nulls first, then of their texts' hashes:
     parts hold ranges of them, and a part's segments follow each other by number. A range of equal doc_ids is cut
@@ -214,13 +216,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = Tru
     special: whether special tokens' strings in a text become those tokens, as is the library's default.
     """
     small_batches(docs.sparkSession)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    given = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
     tie = F.xxhash64("text")
     ordered = given.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
 
     def segments(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number, before = encoder(tokenizer, special), 0, 0
-        keys: list[int | None] = []
+        keys: list[Any] = []
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         waiting: list[str] = []
@@ -236,8 +239,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = Tru
             chars = 0
 
         def closed() -> pa.RecordBatch:
-            data = rans.encode(keys, np.concatenate(counts), np.concatenate(ids), before)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([data], pa.binary())], ["part", "number", "data"])
+            data = rans.encode(keys if whole else list(range(len(keys))), np.concatenate(counts), np.concatenate(ids), before)
+            row = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(row if whole else [*row, pa.array([keys], pa.list_(pa.string()))], ["part", "number", "data", *(() if whole else ("names",))])
 
         for batch in found:
             part = batch.column(2)[0].as_py() if batch.num_rows and part is None else part
@@ -256,38 +260,53 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, special: bool = Tru
         if keys:
             yield closed()
 
-    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(segments, "part int, number int, data binary").write.parquet(path)
+    sent = ordered.select(F.col("doc_id").cast("long" if whole else "string").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
+    sent.mapInArrow(segments, "part int, number int, data binary" + ("" if whole else ", names array<string>")).write.parquet(path)
+
+
+def _segments(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """(part, data, names) of the files, names null where doc_ids are integers; and the type of the doc_ids."""
+    found = spark.read.parquet(path)
+    named = "names" in found.columns
+    names = F.col("names") if named else F.lit(None).cast("array<string>").alias("names")
+    return found.select("part", "data", names), "string" if named else "long"
+
+
+def _ids(doc_ids: list, names: list | None) -> pa.Array:
+    return pa.array(doc_ids, pa.int64()) if names is None else pa.array(names, pa.string())
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, ids) of every document in the files of write_tokens; ids as an array of longs."""
+    """(doc_id, ids) of every document in the files of write_tokens; ids as an array of longs, doc_id as a long or, if it was none, a string."""
+    given, kind = _segments(spark, path)
 
     def rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for data in batch.column(0):
+            for data, names in zip(batch.column(1), batch.column(2).to_pylist()):
                 doc_ids, counts, ids, _ = rans.decode(data.as_py())
                 at = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int64)))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([_ids(doc_ids, names), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int64)))], ["doc_id", "ids"])
 
-    return spark.read.parquet(path).select("data").mapInArrow(rows, "doc_id long, ids array<long>")
+    return given.mapInArrow(rows, f"doc_id {kind}, ids array<long>")
 
 
 def summarise_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files of write_tokens.
 
     start: the ids of all documents before it. A part's segments know the ids before them in the part; those of the
-    parts before are summed over one row for each part.
+    parts before are summed over one row for each part. doc_id is a long or, if it was none, a string.
     """
+    given, kind = _segments(spark, path)
 
     def rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for part, data, names in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 doc_ids, counts, ids, before = rans.decode(data.as_py())
                 at = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(at[:-1] + before), pa.array(counts), pa.array(crcs, pa.int64())],
+                    [pa.array([part] * len(doc_ids), pa.int32()), _ids(doc_ids, names), pa.array(at[:-1] + before), pa.array(counts), pa.array(crcs, pa.int64())],
                     ["part", "doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -295,7 +314,7 @@ def summarise_tokens(spark: SparkSession, path: str) -> DataFrame:
     kept = spark.conf.get(key, "10000")
     spark.conf.set(key, str(SEGMENTS_IN_BATCH))
     try:
-        found = written(spark.read.parquet(path).select("part", "data").mapInArrow(rows, "part int, doc_id long, start long, n_tokens long, ids_crc32 long"), "tokens-read")
+        found = written(given.mapInArrow(rows, f"part int, doc_id {kind}, start long, n_tokens long, ids_crc32 long"), "tokens-read")
     finally:
         spark.conf.set(key, kept)
     sums = found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -304,7 +323,9 @@ def summarise_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, special: bool = True) -> DataFrame:
-    """Writes docs' tokens to a new folder in the shared one and returns what the files hold of each document."""
+    """Writes docs' tokens to a new folder in the shared one and returns what the files hold of each document, doc_id in its own type. Ids of any orderable type, and null, are allowed."""
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, special)
-    return summarise_tokens(docs.sparkSession, path)
+    found = summarise_tokens(docs.sparkSession, path)
+    kind = docs.schema["doc_id"].dataType
+    return found if isinstance(kind, IntegralType) else found.withColumn("doc_id", F.col("doc_id").cast(kind))

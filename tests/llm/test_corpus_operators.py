@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -335,6 +336,22 @@ def test_pipeline_stages_take_effect(spark):
     assert out.count() == kept[-1] and out.agg(F.sum("n_tokens")).first()[0] == out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
 
 
+def test_token_files_with_ids_that_are_no_integers(spark, tmp_path):
+    """Strings and decimals, null, repeated: in the order of the ids, and back in their own type."""
+    known = Tokenizer.from_file(BPE)
+    texts = {"b": "Hello, world.", "a": "", "ä": "über 12", "c": None, None: "null id"}
+    for kind, given in (("string", list(texts.items()) + [("b", "Hello, world.")]), ("decimal(9,2)", [(Decimal("1.50"), "x y"), (Decimal("-3.00"), "z"), (None, "w")])):
+        docs = spark.createDataFrame(given, f"doc_id {kind}, text string").repartition(3)
+        got = sorted(token_store.tokenize(docs, BPE, False).collect(), key=lambda r: r.start)
+        order = sorted(given, key=lambda g: (g[0] is not None, g[0] if g[0] is not None else 0, g[1] or ""))
+        assert [r.doc_id for r in got] == [g[0] for g in order]
+        ids = [[*known.encode(t or "", add_special_tokens=False).ids, 0] for _, t in order]
+        assert [r.n_tokens for r in got] == list(map(len, ids)) and [r.ids_crc32 for r in got] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in ids]
+        path = str(tmp_path / kind[:3])
+        token_store.write_tokens(docs, path, BPE, False)
+        assert sorted(map(str, (list(r.ids) for r in token_store.read_tokens(spark, path).collect()))) == sorted(map(str, ids))
+
+
 def test_a_phrase_of_many_items_and_documents_makes_no_candidates(spark, monkeypatch):
     """Each of 80 items and 300 documents has the same passage; only the documents with an item of their own are candidates, of that item alone."""
     rng = random.Random(12)
