@@ -240,7 +240,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """docs without the text, with n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     spans: kind:start:end in code points, end exclusive, by start and then kind, comma-joined: the base spans and
-    those the tagger adds; n_*: their numbers; base_sha256: the hex digest of the base spans' string. A null text is
+    those the tagger adds; n_*: the numbers of the base spans; base_sha256: the hex digest of their string. A null text is
     empty and has none. One row per row of docs; its other columns stay, those of these names replaced.
     """
     small_batches(docs.sparkSession)
@@ -255,7 +255,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             got = find_spans(batch.column(batch.num_columns - 1).to_pylist(), shared.value)
-            counts = [pa.array([sum(s[1] == k for s in every) for _, every in got], pa.int64()) for k in range(len(KINDS))]
+            counts = [pa.array([sum(s[1] == k for s in own) for own, _ in got], pa.int64()) for k in range(len(KINDS))]
             digests = pa.array([hashlib.sha256(shown(b).encode()).hexdigest() for b, _ in got], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, digests, pa.array([shown(every) for _, every in got], pa.string())], [*rest, *names])
 
