@@ -186,7 +186,8 @@ def routed_chunks(spark, sf):
     docs = _routed_inputs(spark, sf)
     sizes = F.when(F.size("rows") > 0, F.array(F.size("rows"))).otherwise(F.array().cast("array<int>"))
     profiled = P.profile(docs.select("doc_id", "file_type", "text", F.col("page_texts").alias("pages"), sizes.alias("tables")))
-    decisions = P.route(profiled).select("doc_id", F.explode("decisions").alias("d")).select("doc_id", "d.strategy")
+    # Written, since each chunker reads them more than once: documents are profiled in one pass.
+    decisions = written(P.route(profiled).select("doc_id", F.explode("decisions").alias("d")).select("doc_id", "d.strategy"), "decisions")
     pages = docs.select("doc_id", F.posexplode("page_texts").alias("k", "text")).select("doc_id", (F.col("k") + 1).alias("page_number"), "text")
     tables = docs.where(F.size("rows") > 0).select("doc_id", F.lit("t").alias("table_id"), F.array(F.lit("line"), F.lit("text")).alias("headers"), "rows")
     same = ("doc_id", "chunk_index", "token_count")
