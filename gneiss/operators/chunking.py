@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from gneiss.functions.text import SPACE, chunk_id
+from gneiss.shared import small_batches
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,7 @@ def with_windows(docs: DataFrame, config: ChunkConfig, text: str, name: str = "w
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
         return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.name for f in _WINDOW]))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, windows(F.col(text)))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gneiss.functions.text import SPACE
 from gneiss.operators.chunking import ChunkConfig
-from gneiss.shared import written
+from gneiss.shared import small_batches, written
 
 CHUNK_SCHEMA = "doc_id long, strategy string, chunk_index int, chunk_text string, chunk_type string, section_path array<string>, start_char int, end_char int, token_count int"
 TABLE_CHUNKS = "doc_id long, table_id string, chunk_index int, chunk_text string, token_count int"
@@ -338,6 +338,7 @@ def chunk(docs: DataFrame, config: ChunkConfig) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["doc_id", "strategy", "chunk_index", "chunk_text", "chunk_type", "section_path", "start_char", "end_char", "token_count"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(batches, CHUNK_SCHEMA)
 
 
@@ -352,6 +353,7 @@ def chunk_tables(tables: DataFrame, config: ChunkConfig) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()])], ["doc_id", "table_id", "chunk_index", "chunk_text", "token_count"])
 
+    small_batches(tables.sparkSession)
     return tables.select("doc_id", "table_id", "headers", "rows").mapInArrow(batches, TABLE_CHUNKS)
 
 
