@@ -50,10 +50,10 @@ SQL: dict[str, SqlFunction] = {
     "chunk": SqlFunction(
         "t STRING, size INT, overlap INT",
         "TABLE (chunk_index INT, chunk_text STRING, token_count INT)",
-        f"""SELECT w.pos, regexp_replace(array_join(w.col, ''), r'[{_S}]+$', ''), size(w.col)
-        FROM (SELECT regexp_extract_all(chunk.t, r'{T.TOKEN}[{_S}]*', 0) AS p, chunk.size AS n, chunk.size - chunk.overlap AS step) c,
-        LATERAL posexplode(transform(sequence(0, CAST(greatest(0, ceil((size(c.p) - c.n) / c.step)) AS INT) * c.step, c.step), k -> slice(c.p, k + 1, c.n))) w
-        WHERE size(c.p) > 0""",
+        # One array expression of the text alone: Spark generates its rows where the text is, where a subquery would be joined to it by the text.
+        f"""SELECT inline(flatten(transform(array(regexp_extract_all(chunk.t, r'{T.TOKEN}[{_S}]*', 0)), p -> transform(
+            filter(sequence(0, CAST(greatest(0, ceil((size(p) - chunk.size) / (chunk.size - chunk.overlap))) AS INT) * (chunk.size - chunk.overlap), chunk.size - chunk.overlap), k -> size(p) > 0),
+            (k, i) -> named_struct('chunk_index', i, 'chunk_text', regexp_replace(array_join(slice(p, k + 1, chunk.size), ''), r'[{_S}]+$', ''), 'token_count', greatest(0, least(size(p) - k, chunk.size)))))))""",
     ),
 }
 
