@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gneiss.operators.generations import Pointer, current, new_generation, publish
-from gneiss.operators.retrieval import SCORED_AT_ONCE, best, dense_scores, ranked, scored
+from gneiss.operators.retrieval import VECTORS_AT_ONCE, Leaders, dense_scores, gathered, ranked
 from gneiss.shared import shared_dir
 
 INDEX_VERSION = "2"
 #: Rows that centroids are fitted on at most, those with the least hashes of their ids and vectors; and the most lists.
 FIT_ROWS, MOST_LISTS = 100_000, 4096
 FIT_ROUNDS = 12
+#: Rows of the sample that one task of the fit has, and rows that are held against all centroids at once.
+FIT_ROWS_A_TASK, FILED_AT_ONCE = 2048, 1024
 #: How many rows are searched for exactly when an index is built, for their first so many neighbours; a search probes as many lists as find this share of those.
 CALIBRATED, NEIGHBOURS, RECALL = 200, 10, 0.95
 #: Query vectors of one pass.
@@ -70,8 +72,13 @@ def _nearness(q: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
 def fit_centroids(vectors: DataFrame, metric: str, lists: int | None = None, fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Centroids by k-means over at most fit_rows rows; as many as the root of the number of rows, but at most MOST_LISTS and one for each eight rows of the sample."""
     n = vectors.count()
-    # The sample's own number is bounded, so the fit's work is too, however many rows there are.
-    sample = vectors.orderBy(F.xxhash64("doc_id", "vector")).limit(min(n, fit_rows)).select("vector")
+    # The sample's own number is bounded, so the fit's work is too, however many rows there are. Only hashes meet in one task: the sample is dealt out again, or one task would fit alone.
+    rows = min(n, fit_rows)
+    sample = vectors.select("vector", F.xxhash64("doc_id", "vector").alias("own"))
+    if n > rows:
+        last = sample.select("own").orderBy("own").limit(rows).agg(F.max("own")).first()[0]
+        sample = sample.where(F.col("own") <= last)  # rows of the same hash as the last come along
+    sample = sample.repartition(-(-rows // FIT_ROWS_A_TASK), "own").sortWithinPartitions("own").select("vector")
     if metric == "cosine":
         norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
         sample = sample.select(F.when(norm > 0, F.transform("vector", lambda x: x / norm)).otherwise(F.col("vector")).alias("vector"))
@@ -95,8 +102,10 @@ def filed(vectors: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
             flat = own.flatten().to_numpy(zero_copy_only=False)
             if len(flat) != len(own) * shared.value.shape[1] or len(own) and (own.value_lengths().to_numpy() != shared.value.shape[1]).any():
                 raise ValueError("the vectors have different lengths")
-            near = _nearness(flat.reshape(len(own), -1), shared.value, metric) if len(own) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.argmax(axis=1).astype(np.int32))], [*batch.schema.names, "list"])
+            matrix, nearest = flat.reshape(len(own), shared.value.shape[1]), np.zeros(len(own), np.int32)
+            for lo in range(0, len(own), FILED_AT_ONCE):
+                nearest[lo : lo + FILED_AT_ONCE] = _nearness(matrix[lo : lo + FILED_AT_ONCE], shared.value, metric).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest)], [*batch.schema.names, "list"])
 
     return vectors.mapInArrow(batches, StructType([*vectors.schema.fields, StructField("list", IntegerType())]))
 
@@ -165,10 +174,10 @@ def probes(index: VectorIndex, matrix: np.ndarray, probed: int | None = None) ->
 
 
 def indexed_scores(index: VectorIndex, queries: DataFrame, limit: int, probed: int | None = None, where: str | None = None, least: float | None = None) -> DataFrame:
-    """(query_id, doc_id, score) of the best limit rows in the lists that each query (query_id, vector) probes, by exact scores rounded to 6 places; at most limit a query and batch, so rank them.
+    """(query_id, doc_id, score) of the best limit rows in the lists that each query (query_id, vector) probes, by exact scores rounded to 6 places; at most limit a query and task, so rank them.
 
-    The queries are taken in blocks. Only lists that some query of the block probes are read (they are partitions of the table), a batch is scored with
-    the queries that probe its list, and where, an expression of the carried columns, filters rows as they are read. Of each query the best limit rows are then kept.
+    The queries are taken in blocks. Only lists that some query of the block probes are read (they are partitions of the table), a list's rows are scored with
+    the queries that probe it, and where, an expression of the carried columns, filters rows as they are read. A task keeps the best limit rows of each query over all its lists.
     """
     if limit <= 0:
         raise ValueError("limit must be over zero")
@@ -186,18 +195,16 @@ def indexed_scores(index: VectorIndex, queries: DataFrame, limit: int, probed: i
 
         def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, by_list = shared.value
-            for batch in found:
+            leaders = Leaders(len(ids), limit, least)
+            for batch in gathered(found, VECTORS_AT_ONCE):
                 lists, keys = batch.column(2).to_numpy(), np.array(batch.column(0).to_pylist(), np.int64)
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
-                parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                parts = []
                 for k in np.unique(lists):
-                    at, own = np.flatnonzero(lists == k), by_list[int(k)]
-                    for lo in range(0, len(own), SCORED_AT_ONCE):
-                        some = own[lo : lo + SCORED_AT_ONCE]
-                        score = scored(q[some], v[at], metric)
-                        i, j = best(score, keys[at], limit, least)
-                        parts.append((ids[some[i]], keys[at[j]], score[i, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in parts])) for c in range(3)], ["query_id", "doc_id", "score"])
+                    at = np.flatnonzero(lists == k)
+                    parts += leaders.near(q, v[at], keys[at], metric, by_list[int(k)])
+                leaders.merge(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[leaders.k]), pa.array(leaders.keys), pa.array(leaders.scores)], ["query_id", "doc_id", "score"])
 
         return rows.mapInArrow(batches, "query_id long, doc_id long, score double")
 
